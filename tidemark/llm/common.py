@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word is a run of anything but these six ASCII spaces.
@@ -73,3 +73,14 @@ def labelled_ids(labels: DataFrame, label: str, most: int, rows: Column | None =
     if not by_class:
         return ids.orderBy(*order).limit(most)
     return ids.where("y = 1").orderBy(*order).limit(most // 2).unionAll(ids.where("y = 0").orderBy(*order).limit(most // 2))
+
+
+def ranked(df: DataFrame, *order: Column, out: str = "rank") -> DataFrame:
+    """df with its place in this order, from 0, without bringing the rows into one task.
+
+    The sorted rows are written with their task's number; only the tasks' counts are summed up in one place.
+    """
+    rows = kept(df.orderBy(*order).withColumns({"_task": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}))
+    before = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("_task").count().select("_task", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
+    return rows.join(F.broadcast(starts), "_task").withColumn(out, F.col("_start") + F.col("_at")).drop("_task", "_at", "_start")
