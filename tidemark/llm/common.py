@@ -84,3 +84,13 @@ def ranked(df: DataFrame, *order: Column, out: str = "rank") -> DataFrame:
     before = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy("_task").count().select("_task", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
     return rows.join(F.broadcast(starts), "_task").withColumn(out, F.col("_start") + F.col("_at")).drop("_task", "_at", "_start")
+
+
+#: A set of ids of at most so many rows is broadcast; a larger one is joined by a shuffle.
+BROADCAST_ROWS = 400_000
+
+
+def checked(ids: DataFrame) -> DataFrame:
+    """ids, written out, and marked for broadcast only if they were counted to be few."""
+    ids = kept(ids)
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids

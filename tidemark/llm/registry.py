@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from tidemark.llm.mixing import op3_mixing
+from tidemark.llm.near_dedup import op5_near_dedup
 from tidemark.llm.quality_rules import op9_quality_rules
 from tidemark.llm.sharding import op8_sharding
 
 QUERIES = {
     "op3_mixing": op3_mixing,
+    "op5_near_dedup": op5_near_dedup,
     "op8_sharding": op8_sharding,
     "op9_quality_rules": op9_quality_rules,
 }
