@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tidemark.llm.bpe import op4_byte_bpe
 from tidemark.llm.mixing import op3_mixing
 from tidemark.llm.near_dedup import op5_near_dedup
 from tidemark.llm.quality_rules import op9_quality_rules
@@ -9,6 +10,7 @@ from tidemark.llm.sharding import op8_sharding
 
 QUERIES = {
     "op3_mixing": op3_mixing,
+    "op4_byte_bpe": op4_byte_bpe,
     "op5_near_dedup": op5_near_dedup,
     "op8_sharding": op8_sharding,
     "op9_quality_rules": op9_quality_rules,
