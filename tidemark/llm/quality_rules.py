@@ -105,10 +105,10 @@ def learn(x: np.ndarray, y: np.ndarray, seed: int = 7) -> list[Rule]:
 def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> list[Rule]:
     ids = F.broadcast(labelled_ids(labels, "quality", most))
     rows = with_stats(docs.select("doc_id", "text").join(ids, "doc_id"), "text", "s")
-    got = rows.select("y", *(c.alias(k) for k, c in features("s").items())).orderBy("y", *FEATURES).collect()
-    if len({r.y for r in got}) < 2:
+    got = sorted(tuple(r) for r in rows.select("y", *(c.alias(k) for k, c in features("s").items())).collect())
+    if len({r[0] for r in got}) < 2:
         return []
-    return learn(np.array([r[1:] for r in got], float), np.array([r.y for r in got]))
+    return learn(np.array([r[1:] for r in got], float), np.array([r[0] for r in got]))
 
 
 def verdict(rules: list[Rule], stats: str) -> Column:

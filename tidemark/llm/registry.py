@@ -5,6 +5,7 @@ from __future__ import annotations
 from tidemark.llm.bpe import op4_byte_bpe
 from tidemark.llm.mixing import op3_mixing
 from tidemark.llm.near_dedup import op5_near_dedup
+from tidemark.llm.quality_rank import op10_quality_rank
 from tidemark.llm.quality_rules import op9_quality_rules
 from tidemark.llm.sharding import op8_sharding
 
@@ -14,6 +15,7 @@ QUERIES = {
     "op5_near_dedup": op5_near_dedup,
     "op8_sharding": op8_sharding,
     "op9_quality_rules": op9_quality_rules,
+    "op10_quality_rank": op10_quality_rank,
 }
 
 ORACLE_SQL: dict[str, str] = {}
