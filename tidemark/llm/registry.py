@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tidemark.llm.bpe import op4_byte_bpe
+from tidemark.llm.line_dedup import OP1_SQL, op1_line_dedup
 from tidemark.llm.mixing import op3_mixing
 from tidemark.llm.near_dedup import op5_near_dedup
 from tidemark.llm.quality_rank import op10_quality_rank
@@ -10,6 +11,7 @@ from tidemark.llm.quality_rules import op9_quality_rules
 from tidemark.llm.sharding import op8_sharding
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op3_mixing": op3_mixing,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_near_dedup": op5_near_dedup,
@@ -18,4 +20,4 @@ QUERIES = {
     "op10_quality_rank": op10_quality_rank,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL}
