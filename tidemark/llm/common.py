@@ -62,17 +62,17 @@ def small_batches(spark: SparkSession, rows: int = 128) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
 
-def labelled_ids(labels: DataFrame, label: str, most: int, rows: Column | None = None, by_class: bool = False) -> DataFrame:
+def labelled_ids(labels: DataFrame, label: str, most: int, rows: Column | None = None, ones: int | None = None) -> DataFrame:
     """At most `most` labelled ids (doc_id, y), the first ones in hash order: a proven bound, safe to broadcast.
 
-    by_class: at most most/2 ids of either label. Ids with a null id or label take no part.
+    ones: at most so many of them with label 1. Ids with a null id or label take no part.
     """
     ids = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).where(F.lit(True) if rows is None else rows)
     ids = ids.select("doc_id", F.col(label).cast("int").alias("y")).groupBy("doc_id").agg(F.max("y").alias("y"))
     order = (F.xxhash64("doc_id"), "doc_id")
-    if not by_class:
+    if ones is None:
         return ids.orderBy(*order).limit(most)
-    return ids.where("y = 1").orderBy(*order).limit(most // 2).unionAll(ids.where("y = 0").orderBy(*order).limit(most // 2))
+    return ids.where("y = 1").orderBy(*order).limit(ones).unionAll(ids.where("y = 0").orderBy(*order).limit(most - ones))
 
 
 def ranked(df: DataFrame, *order: Column, out: str = "rank") -> DataFrame:

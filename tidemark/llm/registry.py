@@ -9,12 +9,14 @@ from tidemark.llm.near_dedup import op5_near_dedup
 from tidemark.llm.quality_rank import op10_quality_rank
 from tidemark.llm.quality_rules import op9_quality_rules
 from tidemark.llm.sharding import op8_sharding
+from tidemark.llm.toxicity import op6_toxicity
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op3_mixing": op3_mixing,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_near_dedup": op5_near_dedup,
+    "op6_toxicity": op6_toxicity,
     "op8_sharding": op8_sharding,
     "op9_quality_rules": op9_quality_rules,
     "op10_quality_rank": op10_quality_rank,
