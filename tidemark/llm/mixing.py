@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD, fresh, kept, ranked, table
+from tidemark.llm.common import WORD, fresh, kept, ranked, small_batches, table
 
 #: Words in a block, slots in an output shard, chunks of a source.
 BLOCK, SHARD_SLOTS, CHUNKS = 256, 4096, 1024
@@ -119,6 +119,7 @@ def _placed(block: int):
 
 def placements(p: DataFrame, block: int = BLOCK) -> DataFrame:
     """rank, shard, j (the source's slot), block (the number that it gets) and take (words from the block's start)."""
+    small_batches(p.sparkSession, 10_000)
     slots = p.agg(F.sum("slots")).first()[0] or 0
     shards = max(1, -(-slots // SHARD_SLOTS))
     pairs = p.where("slots > 0").select("rank", "slots", F.lit(shards).alias("shards"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
@@ -200,13 +201,12 @@ def _cut(columns: list[str], lists: str):
 
 def mixed_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """The mix as documents: a row per document and pass, with the text that this pass takes of it and docs' columns."""
-    spark = docs.sparkSession
     _, sources, got = mixed(docs, block)
     n, lists, kd, kt, ks = sources.select("rank", "blocks"), *(fresh(docs, c) for c in ("taken_spans", "key_id", "key_text", "key_source"))
     got = got.join(n, "rank").withColumn("turn", F.floor(F.col("j") / F.col("blocks")))
     per = got.groupBy(F.hash("doc_id").alias(kd), F.col("text_key").alias(kt), F.xxhash64("source", "doc_id").alias(ks)).agg(F.collect_list(F.struct("at", "turn", "first", "n")).alias(lists))
     keyed = docs.withColumns({kd: F.hash("doc_id"), kt: F.xxhash64("text"), ks: F.xxhash64("source", "doc_id")}).dropDuplicates([kd, kt, ks])
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 128)
+    small_batches(docs.sparkSession, 128)
     return keyed.join(per, [kd, kt, ks]).drop(kd, kt, ks).mapInPandas(_cut(docs.columns, lists), docs.schema)
 
 

@@ -10,6 +10,7 @@ from tidemark.llm.quality_rank import op10_quality_rank
 from tidemark.llm.quality_rules import op9_quality_rules
 from tidemark.llm.sharding import op8_sharding
 from tidemark.llm.toxicity import op6_toxicity
+from tidemark.llm.warc import OP7_SQL, op7_warc
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
@@ -17,9 +18,10 @@ QUERIES = {
     "op4_byte_bpe": op4_byte_bpe,
     "op5_near_dedup": op5_near_dedup,
     "op6_toxicity": op6_toxicity,
+    "op7_warc": op7_warc,
     "op8_sharding": op8_sharding,
     "op9_quality_rules": op9_quality_rules,
     "op10_quality_rank": op10_quality_rank,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op7_warc": OP7_SQL}
