@@ -6,6 +6,7 @@ from tidemark.llm.bpe import op4_byte_bpe
 from tidemark.llm.line_dedup import OP1_SQL, op1_line_dedup
 from tidemark.llm.mixing import op3_mixing
 from tidemark.llm.near_dedup import op5_near_dedup
+from tidemark.llm.neighbours import op2_neighbours
 from tidemark.llm.quality_rank import op10_quality_rank
 from tidemark.llm.quality_rules import op9_quality_rules
 from tidemark.llm.sharding import op8_sharding
@@ -14,6 +15,7 @@ from tidemark.llm.warc import OP7_SQL, op7_warc
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_neighbours": op2_neighbours,
     "op3_mixing": op3_mixing,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_near_dedup": op5_near_dedup,
