@@ -1,22 +1,55 @@
-"""The training-data pipeline: each stage takes (spark, docs, sf_dir) and returns a DataFrame."""
+"""The training-data pipeline: quality rules, line dedup, near-dedup, mixing to target weights, encoding.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame with the columns of documents; the last returns doc_id,
+n_tokens, ids (little-endian unsigned 32-bit integers) and the digest of the bytes that they decode to. A document
+that the mix takes twice has two rows.
+"""
 
 from __future__ import annotations
 
 import uuid
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidemark.llm.bpe import encoded
 from tidemark.llm.common import shared_dir, table
+from tidemark.llm.line_dedup import line_deduped
+from tidemark.llm.mixing import mixed_documents
+from tidemark.llm.near_dedup import one_of_each
 from tidemark.llm.quality_rules import quality_filter
 
+TOKENIZER, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejected documents go."""
     return quality_filter(docs, table(spark, sf_dir, "labels"))
 
 
-STAGES = [("quality rules", quality)]
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later repeated runs of lines go; a document that becomes empty stays, as an empty one."""
+    return line_deduped(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays."""
+    return one_of_each(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents, or parts of them, as often as the sources' targets take them."""
+    return mixed_documents(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return encoded(docs, TOKENIZER, PATTERN).select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [("quality rules", quality), ("line dedup", lines), ("near dedup", near), ("mixing", mix), ("byte-level BPE", encode)]
 
-#: The first stage's rules are learned, which SQL can't express; tests/llm holds the stages against brute force.
+#: The first stage's rules are learned and the mix is pseudorandom, which SQL can't express; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
