@@ -132,9 +132,13 @@ def judged(docs: DataFrame, rules: list[Rule], out: str) -> DataFrame:
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that are kept, with docs' own columns."""
-    out = fresh(docs, "judged")
-    return judged(docs, fit(docs, labels), out).where(F.col(f"{out}.kept")).drop(out)
+    """The rows of docs that are kept, with docs' own columns.
+
+    The row number keeps Spark from moving the filter below the statistics, where it would repeat them inside themselves.
+    """
+    out, row = fresh(docs, "judged"), fresh(docs, "row_number")
+    df = judged(docs, fit(docs, labels), out).withColumn(row, F.monotonically_increasing_id())
+    return df.where(F.col(f"{out}.kept") & (F.col(row) >= 0)).drop(out, row)
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
