@@ -7,8 +7,9 @@ of its shingle set. In each of TREES independent trees a node of the tree choose
 1. At the first level each class is held against the smallest class of its node, which is one comparison for each
    class and node, however large a group of copies is. What links goes into components.
 2. Nodes that still hold several components are compared exhaustively if they are small; the large ones branch
-   again. A node whose classes are in one component already is done: no link between texts is lost by that, as it
-   could not change a component. What is still large at the deepest level is compared block by block.
+      again. A node whose classes are in one component already is done: no link between texts is lost by that, as it
+   could not change a component. What is still large at the deepest level is a dense group: there every class outside
+   the group's largest component is held against all others, in blocks of full shingle sets.
 
 Pairs whose minhashes agree in under SKETCH of K coordinates are passed over (at similarity 0.75 that loses a pair
 with probability under 1e-6); all others are confirmed on the full shingle sets. Nothing but counts comes to the driver.
@@ -32,7 +33,9 @@ from tidemark.llm.common import checked, fresh, kept, small_batches, table
 from tidemark.llm.shingles import chunks, mix, shingle_hashes, word_hashes
 
 #: Coordinates of the sketch, independent trees, largest node that is compared exhaustively, deepest level.
-K, TREES, SMALL, DEEPEST = 64, 12, 32, 8
+K, TREES, SMALL, DEEPEST = 64, 12, 32, 3
+#: Classes in a block of a dense group.
+BLOCK = 256
 #: Similarity in hundredths, and the number of equal coordinates under which a pair is not confirmed.
 SIMILAR, SKETCH = 75, 32
 
@@ -178,14 +181,18 @@ def _row_id(doc_id: str) -> Column:
     return F.coalesce(F.col(doc_id), F.lit(2**63 - 1))
 
 
+def _texts(need: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """key and text of the classes in need (key). A class's text is that of one row; no other text travels."""
+    need = checked(classes.join(need, "key", "left_semi").select("key", "row.id", "row.text_key"))
+    return kept(docs.select(_row_id("doc_id").alias("id"), F.xxhash64("text").alias("text_key"), "text").join(need, ["id", "text_key"]).select("key", "text").dropDuplicates(["key"]))
+
+
 def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts are linked. A class's text is that of one row; only texts of pairs travel."""
+    """The pairs (a, b) whose texts are linked."""
+    t = _texts(pairs.select(F.col("a").alias("key")).unionAll(pairs.select(F.col("b").alias("key"))).distinct(), classes, docs)
     small_batches(pairs.sparkSession, 64)
-    need = pairs.select(F.col("a").alias("key")).unionAll(pairs.select(F.col("b").alias("key"))).distinct()
-    need = checked(classes.join(need, "key", "left_semi").select("key", "row.id", "row.text_key"))
-    t = kept(docs.select(_row_id("doc_id").alias("id"), F.xxhash64("text").alias("text_key"), "text").join(need, ["id", "text_key"]).select("key", "text"))
     with_a = pairs.join(t.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a")
-    return with_a.join(t.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb").mapInArrow(_confirm, "a binary, b binary")
+    return kept(with_a.join(t.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb").mapInArrow(_confirm, "a binary, b binary"))
 
 
 def _labelled(rows: DataFrame, comps: DataFrame) -> DataFrame:
@@ -201,33 +208,77 @@ def links(classes: DataFrame, docs: DataFrame) -> DataFrame:
     s = classes.select("key", "sketch")
     pairs = nodes.where("key > low").select(F.col("low").alias("a"), F.col("key").alias("b")).distinct()
     pairs = pairs.join(s.select(F.col("key").alias("a"), F.col("sketch").alias("sa")), "a").join(s.select(F.col("key").alias("b"), F.col("sketch").alias("sb")), "b")
-    found = kept(_confirmed(kept(pairs.select("a", "b", "sa", "sb").mapInArrow(_close, "a binary, b binary")), classes, docs))
-    rows, first = _labelled(nodes.drop("low"), components(found)), True
+    found = _confirmed(kept(pairs.select("a", "b", "sa", "sb").mapInArrow(_close, "a binary, b binary")), classes, docs)
+    rows = _labelled(nodes.drop("low"), components(found))
     for level in range(1, DEEPEST + 1):
         size = rows.groupBy("tree", "path").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").drop("lo", "hi")
         rows = rows.join(size, ["tree", "path"])
-        rows = kept(rows.join(s, "key") if first else rows)
-        first = False
+        rows = kept(rows.join(s, "key") if level == 1 else rows)
         inner = rows.where(F.col("n") <= SMALL).groupBy("tree", "path").agg(*(F.collect_list(c).alias(c + ("es" if c == "sketch" else "s")) for c in ("key", "comp", "sketch")))
-        pairs = inner.select("keys", "comps", "sketches").mapInArrow(_within, "a binary, b binary")
-        large = rows.where(F.col("n") > SMALL).drop("n")
-        if level == DEEPEST:
-            pairs = pairs.unionAll(_blocks(large))
-        more = kept(_confirmed(kept(pairs.distinct()), classes, docs))
+        small_batches(classes.sparkSession, 1024)
+        pairs = kept(inner.select("keys", "comps", "sketches").mapInArrow(_within, "a binary, b binary").distinct())
+        more = _confirmed(pairs, classes, docs)
         found = found.unionAll(more)
-        if level == DEEPEST or not large.limit(1).count():
+        large = rows.where(F.col("n") > SMALL).drop("n")
+        if not large.limit(1).count():
             return found
-        rows = large.select("tree", "path", "key", "comp", "sketch").mapInArrow(_branch, "tree int, path long, key binary, comp binary, sketch binary")
-        if more.limit(1).count():
-            rows = _labelled(rows, components(found))
-    return found
+        if level == 1:
+            large = _labelled(large, components(found))
+        if level < DEEPEST:
+            small_batches(classes.sparkSession, 1024)
+            rows = large.select("tree", "path", "key", "comp", "sketch").mapInArrow(_branch, "tree int, path long, key binary, comp binary, sketch binary")
+            rows = kept(rows)
+    return found.unionAll(_dense(large, classes, docs))
 
 
-def _blocks(large: DataFrame) -> DataFrame:
-    """The exact way for nodes that stay large: all pairs of different components, sketch against sketch."""
-    x = large.select("tree", "path", F.col("key").alias("a"), F.col("comp").alias("ca"), F.col("sketch").alias("sa"))
-    y = large.select("tree", "path", F.col("key").alias("b"), F.col("comp").alias("cb"), F.col("sketch").alias("sb"))
-    return x.join(y, ["tree", "path"]).where("a < b and ca <> cb").select("a", "b", "sa", "sb").mapInArrow(_close, "a binary, b binary")
+def _in_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Units of a dense group (key, comp and text in lists): links that join different components, by exact set sizes."""
+    for batch in batches:
+        a, b = [], []
+        for row in range(len(batch)):
+            keys, comps = batch.column("keys")[row].as_py(), np.unique(np.array(batch.column("comps")[row].as_py(), object), return_inverse=True)[1]
+            raw = [t.as_buffer() for t in batch.column("texts")[row].values]
+            bounds = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+            h, per = _distinct(*shingle_hashes(*word_hashes(np.frombuffer(b"".join(raw), np.uint8), bounds)))
+            code, times = np.unique(h, return_inverse=True, return_counts=True)[1:]
+            shared = np.cumsum(times > 1) - 1
+            both = np.zeros((len(keys), len(keys)), np.float32)
+            owner, at, on = np.repeat(np.arange(len(keys)), per), shared[code], times[code] > 1
+            owner, at = owner[on], at[on]
+            for low in range(0, int((times > 1).sum()), 4096):  # shingles that two texts have, some columns at a time
+                part = (at >= low) & (at < low + 4096)
+                have = np.zeros((len(keys), 4096), np.float32)
+                have[owner[part], at[part] - low] = 1
+                both += have @ have.T
+            i, j = np.nonzero(np.triu(100 * both >= SIMILAR * (per[:, None] + per[None, :] - both), 1) & (comps[:, None] != comps[None, :]))
+            _, one = np.unique(np.minimum(comps[i], comps[j]) * len(keys) + np.maximum(comps[i], comps[j]), return_index=True)
+            for x, y in zip(i[one], j[one], strict=True):
+                x, y = sorted((keys[x], keys[y]))
+                a.append(x)
+                b.append(y)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
+
+def _dense(large: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links in nodes that stay large. The largest component's classes meet only the others; a unit holds two blocks at most."""
+    node = ["tree", "path"]
+    counts = large.groupBy(*node, "comp").agg(F.count("*").alias("c"))
+    core = counts.groupBy(*node).agg(F.max_by("comp", F.struct("c", "comp")).alias("core"), F.max("c").alias("c"), F.sum("c").alias("n"))
+    core = core.select(*node, "core", F.ceil(F.col("c") / BLOCK).cast("int").alias("of_core"), F.ceil((F.col("n") - F.col("c")) / BLOCK).cast("int").alias("of_rest"))
+    rows = large.select(*node, "key", "comp").join(core, node)
+    inner = F.col("comp") == F.col("core")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("key", "path"), F.when(inner, F.col("of_core")).otherwise(F.col("of_rest"))).cast("int"))
+    b = F.col("block")
+    against_rest = F.transform(F.sequence(F.lit(0), F.col("of_rest") - 1), lambda x: F.when(inner, F.struct(x.alias("i"), b.alias("j"), F.lit(1).alias("k"))).otherwise(F.struct(F.least(x, b).alias("i"), F.greatest(x, b).alias("j"), F.lit(0).alias("k"))))
+    against_core = F.transform(F.sequence(F.lit(0), F.col("of_core") - 1), lambda x: F.struct(b.alias("i"), x.alias("j"), F.lit(1).alias("k")))
+    units = rows.withColumn("unit", F.explode(F.when(inner, against_rest).otherwise(F.concat(against_rest, against_core))))
+    texts = _texts(units.select("key").distinct(), classes, docs)
+    units = units.select(*node, "unit", "key", "comp").join(texts, "key")
+    lists = units.groupBy(*node, "unit").agg(*(F.collect_list(c).alias(c + "s") for c in ("key", "comp", "text")))
+    small_batches(classes.sparkSession, 1)
+    found = kept(lists.select("keys", "comps", "texts").mapInArrow(_in_block, "a binary, b binary").distinct())
+    small_batches(classes.sparkSession, 1024)
+    return found
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
