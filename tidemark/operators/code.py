@@ -201,7 +201,9 @@ def scanner(language: str):
         return None
     starts, pairs = syntax
     ends = dict(pairs)
-    token = re.compile("|".join([*(f"(?P<line>{'|'.join(map(re.escape, starts))})" for _ in starts[:1]), *(f"(?P<block>{'|'.join(map(re.escape, ends))})" for _ in pairs[:1]), r"(?P<text>([\"'`])(?:\\.|(?!\2).)*\2?)".replace(r"\2", "(?P=quote)").replace("([\"'`])", "(?P<quote>[\"'`])"), r"(?P<space>\s+)", r"(?P<code>.)"]), re.DOTALL)
+    either = lambda name, words: f"(?P<{name}>{'|'.join(map(re.escape, words))})"
+    parts = [either("line", starts)] * bool(starts) + [either("block", ends)] * bool(ends)
+    token = re.compile("|".join([*parts, r"""(?P<text>"(?:\\.|[^"\\])*(?:"|\\?$)|'(?:\\.|[^'\\])*(?:'|\\?$)|`(?:\\.|[^`\\])*(?:`|\\?$))""", r"(?P<space>\s+)", "(?P<code>.)"]), re.DOTALL)
 
     def scan(code: str, inside: str) -> tuple[bool, str]:
         at, seen = 0, False
@@ -213,7 +215,7 @@ def scanner(language: str):
                 at, inside = at + len(inside), ""
                 continue
             m = token.match(code, at)
-            kind = m.lastgroup if m.lastgroup != "quote" else "text"
+            kind = m.lastgroup
             if kind == "line":
                 break
             if kind == "block":
