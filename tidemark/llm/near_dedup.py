@@ -35,7 +35,7 @@ from tidemark.llm.shingles import chunks, mix, shingle_hashes, word_hashes
 #: Coordinates of the sketch, independent trees, largest node that is compared exhaustively, deepest level.
 K, TREES, SMALL, DEEPEST = 64, 12, 32, 3
 #: Classes in a block of a dense group.
-BLOCK = 256
+BLOCK = 512
 #: Similarity in hundredths, and the number of equal coordinates under which a pair is not confirmed.
 SIMILAR, SKETCH = 75, 32
 
@@ -271,9 +271,8 @@ def _dense(large: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     b = F.col("block")
     against_rest = F.transform(F.sequence(F.lit(0), F.col("of_rest") - 1), lambda x: F.when(inner, F.struct(x.alias("i"), b.alias("j"), F.lit(1).alias("k"))).otherwise(F.struct(F.least(x, b).alias("i"), F.greatest(x, b).alias("j"), F.lit(0).alias("k"))))
     against_core = F.transform(F.sequence(F.lit(0), F.col("of_core") - 1), lambda x: F.struct(b.alias("i"), x.alias("j"), F.lit(1).alias("k")))
-    units = rows.withColumn("unit", F.explode(F.when(inner, against_rest).otherwise(F.concat(against_rest, against_core))))
-    texts = _texts(units.select("key").distinct(), classes, docs)
-    units = units.select(*node, "unit", "key", "comp").join(texts, "key")
+    texts = _texts(large.select("key").distinct(), classes, docs)
+    units = rows.join(texts, "key").select(*node, F.explode(F.when(inner, against_rest).otherwise(F.concat(against_rest, against_core))).alias("unit"), "key", "comp", "text")
     lists = units.groupBy(*node, "unit").agg(*(F.collect_list(c).alias(c + "s") for c in ("key", "comp", "text")))
     small_batches(classes.sparkSession, 1)
     found = kept(lists.select("keys", "comps", "texts").mapInArrow(_in_block, "a binary, b binary").distinct())
