@@ -231,8 +231,14 @@ def links(classes: DataFrame, docs: DataFrame) -> DataFrame:
     return found.unionAll(_dense(large, classes, docs))
 
 
+def _root(up: list[int], x: int) -> int:
+    while up[x] != x:
+        up[x] = x = up[up[x]]
+    return x
+
+
 def _in_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Units of a dense group (key, comp and text in lists): links that join different components, by exact set sizes."""
+    """Units of a dense group (key, comp and text in lists): by exact set sizes, links that join what isn't joined yet."""
     for batch in batches:
         a, b = [], []
         for row in range(len(batch)):
@@ -252,10 +258,14 @@ def _in_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 both += have @ have.T
             i, j = np.nonzero(np.triu(100 * both >= SIMILAR * (per[:, None] + per[None, :] - both), 1) & (comps[:, None] != comps[None, :]))
             _, one = np.unique(np.minimum(comps[i], comps[j]) * len(keys) + np.maximum(comps[i], comps[j]), return_index=True)
-            for x, y in zip(i[one], j[one], strict=True):
-                x, y = sorted((keys[x], keys[y]))
-                a.append(x)
-                b.append(y)
+            up = list(range(len(keys)))
+            for x, y in zip(i[one], j[one], strict=True):  # a forest of links is enough
+                p, q = _root(up, comps[x]), _root(up, comps[y])
+                if p != q:
+                    up[p] = q
+                    x, y = sorted((keys[x], keys[y]))
+                    a.append(x)
+                    b.append(y)
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
 
