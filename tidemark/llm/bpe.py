@@ -28,7 +28,7 @@ from tidemark.llm.common import small_batches, table
 from tidemark.llm.shingles import chunks
 
 #: Bytes of text worked on at once, and known pieces kept.
-SLICE, KNOWN = 1 << 20, 300_000
+SLICE, KNOWN = 3 << 20, 1_000_000
 ENCODED = "doc_id long, n_tokens long, ids binary, decoded binary"
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -54,7 +54,8 @@ WITH RECURSIVE step(k, tok, live) AS (
 SELECT k >> 16 AS piece, list(tok ORDER BY k) AS ids FROM step WHERE NOT live GROUP BY 1
 """
 
-DECODE = "SELECT doc, string_agg(hex, '' ORDER BY pos) AS hex FROM tokens JOIN vocabulary USING (tok) GROUP BY doc"
+#: A token's bytes are written as the characters with these numbers (0 as 256), so that any bytes make a string.
+DECODE = "SELECT doc, string_agg(chars, '' ORDER BY pos) FROM tokens JOIN vocabulary USING (tok) GROUP BY doc"
 
 
 @lru_cache(1)
@@ -64,7 +65,7 @@ def ranks(path: str) -> dict[bytes, int]:
 
 
 class Codec:
-    """One partition's database: the merge table, the vocabulary and the pieces met so far."""
+    """A task's database: the merge table, the vocabulary and the pieces met so far."""
 
     def __init__(self, path: str, pattern: str):
         import duckdb
@@ -81,7 +82,7 @@ class Codec:
                     right.append(b)
                     merged.append(rank)
         pairs = pa.table({"pair": pa.array(np.array(left, np.int64) << 32 | np.array(right, np.int64)), "merged": pa.array(merged, pa.int32())})  # noqa: F841
-        words = pa.table({"tok": pa.array(self.ranks.values(), pa.int32()), "hex": pa.array([t.hex() for t in self.ranks])})  # noqa: F841
+        words = pa.table({"tok": pa.array(self.ranks.values(), pa.int32()), "chars": pa.array([t.decode("latin-1").replace("\0", "Ā") for t in self.ranks])})  # noqa: F841
         self.db.execute("CREATE TABLE merges AS SELECT * FROM pairs")
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM words")
         self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
@@ -136,13 +137,13 @@ class Codec:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after another, and how many each has."""
         found = [self.pattern.findall(t) for t in texts]
+        pieces = list(chain.from_iterable(found))
         if len(self.known) > KNOWN:
             self.forget()
-        new = list(dict.fromkeys(p for f in found for p in f if p not in self.known))
+        new = list(set(pieces) - self.known.keys())
         if new:
             self.learn(new)
-        known = self.known
-        number = np.array([known[p] for f in found for p in f], np.int64)
+        number = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
         size = self.starts[number + 1] - self.starts[number]
         ends = np.cumsum(size)
         ids = self.ids[np.repeat(self.starts[number] - (ends - size), size) + np.arange(int(size.sum()))]
@@ -156,15 +157,20 @@ class Codec:
         self.db.unregister("tokens")
         out = [b""] * len(counts)
         for doc, text in got:
-            out[doc] = bytes.fromhex(text)
+            out[doc] = text.replace("Ā", "\0").encode("latin-1")
         return out
 
 
+@lru_cache(1)
+def codec_of(path: str, pattern: str) -> Codec:
+    """The database of this Python worker; the next partition that it takes finds the pieces of the last one."""
+    return Codec(path, pattern)
+
+
 def _run(path: str, pattern: str, digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = None
         for b in batches:
-            codec = codec or Codec(path, pattern)
+            codec = codec_of(path, pattern)
             for first, last, _, _ in chunks(b.column("text"), SLICE):
                 ids, counts = codec.encode([t or "" for t in b.column("text")[first:last].to_pylist()])
                 back = codec.decode(ids, counts)
@@ -182,7 +188,7 @@ def _run(path: str, pattern: str, digest: bool):
 
 def encoded(docs: DataFrame, path: str, pattern: str, digest: bool = False) -> DataFrame:
     """One row per document: ids as little-endian unsigned 32-bit integers and the bytes that they decode to, or the digests of both."""
-    small_batches(docs.sparkSession, 256)
+    small_batches(docs.sparkSession, 1024)
     return docs.select("doc_id", "text").mapInArrow(_run(path, pattern, digest), DIGESTS if digest else ENCODED)
 
 

@@ -58,8 +58,9 @@ def fold(doc_id: Column, k: int) -> Column:
 
 
 def small_batches(spark: SparkSession, rows: int = 128) -> None:
-    """Arrow batches that stay small when texts are long."""
+    """Arrow batches that stay small, in rows and, where texts are long, in bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)
 
 
 def labelled_ids(labels: DataFrame, label: str, most: int, rows: Column | None = None, ones: int | None = None) -> DataFrame:
