@@ -26,8 +26,7 @@ BLOCKS = "address|article|aside|blockquote|br|dd|div|dl|dt|figcaption|figure|foo
 SILENT = ("head", "script", "style", "noscript", "template")
 ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "copy": "©", "reg": "®", "trade": "™", "middot": "·", "bull": "•", "hellip": "…", "ndash": "–", "mdash": "—", "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "laquo": "«", "raquo": "»", "euro": "€", "pound": "£", "deg": "°", "times": "×"}
 
-COMMENT = r"(?s)<!--.*?(?:-->|\z)"
-SILENCED = [rf"(?is)<{t}(?:\s[^>]*)?>.*?(?:</{t}\s*>|\z)" for t in SILENT]
+SILENCED = r"(?is)<(?:!--.*?(?:-->|\z)|" + "|".join(rf"{t}(?:\s[^>]*)?>.*?(?:</{t}\s*>|\z)" for t in SILENT) + ")"
 BREAK = rf"(?i)</?(?:{BLOCKS})(?:\s[^>]*)?/?>"
 TAG = r"<[/!?]?[a-zA-Z][^>]*>"
 TITLE = r"(?is)<title(?:\s[^>]*)?>(.*?)</title\s*>"
@@ -45,23 +44,21 @@ def record_id(*parts: Column) -> Column:
 
 
 def unescaped(t: Column) -> Column:
-    """Numeric references, the named ones above, and &amp; last."""
-    point = lambda x: F.coalesce(F.regexp_extract(x, r"^([0-9]{1,7});", 1).try_cast("int"), F.conv(F.nullif(F.regexp_extract(x, r"^[xX]([0-9a-fA-F]{1,6});", 1), F.lit("")), 16, 10).try_cast("int"))
+    """Numeric references and the named ones above, by what follows an ampersand; &amp; itself last, so that it is read once."""
+    named = F.create_map(*(F.lit(x) for kv in ENTITIES.items() for x in kv))
     fine = lambda n: n.between(1, 0xD7FF) | n.between(0xE000, 0x10FFFF)
     char = lambda n: F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
-    one = lambda x: let(point(x), lambda n: F.when(fine(n), F.concat(char(n), F.regexp_replace(x, r"^[xX]?[0-9a-fA-F]{1,7};", ""))).otherwise(F.concat(F.lit("&#"), x)))
-    t = F.array_join(F.transform(F.split(t, "&#"), lambda x, i: F.when(i == 0, x).otherwise(one(x))), "")
-    for name, c in ENTITIES.items():
-        t = F.replace(t, F.lit(f"&{name};"), F.lit(c))
-    return F.replace(t, F.lit("&amp;"), F.lit("&"))
+    point = lambda k: F.when(k.rlike("^#[0-9]{1,7}$"), F.substring(k, F.lit(2), F.lit(7)).try_cast("int")).when(k.rlike("^#[xX][0-9a-fA-F]{1,6}$"), F.conv(F.substring(k, F.lit(3), F.lit(6)), 16, 10).try_cast("int"))
+    value = lambda k: F.coalesce(F.try_element_at(named, k), let(point(k), lambda n: F.when(n == 38, "&amp;").when(fine(n), char(n))))
+    after = lambda x, k: F.substring(x, F.length(k) + 2, F.length(x))
+    one = lambda x: let(F.substring_index(x, ";", 1), lambda k: F.when(F.length(k).between(2, 9) & (F.length(k) < F.length(x)), F.coalesce(F.concat(value(k), after(x, k)), F.concat(F.lit("&"), x))).otherwise(F.concat(F.lit("&"), x)))
+    return F.replace(F.array_join(F.transform(F.split(t, "&(?!amp;)"), lambda x, i: F.when(i == 0, x).otherwise(one(x))), ""), F.lit("&amp;"), F.lit("&"))
 
 
 def plain_text(html: Column) -> Column:
-    t = F.regexp_replace(html, COMMENT, "")
-    for p in SILENCED:
-        t = F.regexp_replace(t, p, "")
-    t = unescaped(F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r"[\t\n\x0B\f\r ]+", " "), BREAK, "\n"), TAG, ""))
-    return F.btrim(F.regexp_replace(F.regexp_replace(t, "[  ]+", " "), " ?\n[ \n]*", "\n"), F.lit(" \n"))
+    t = F.regexp_replace(F.regexp_replace(html, SILENCED, ""), r"[\t\n\x0B\f\r]", " ")
+    t = unescaped(F.regexp_replace(F.regexp_replace(t, BREAK, "\n"), TAG, ""))
+    return F.btrim(F.regexp_replace(F.regexp_replace(t, "[ \u00a0]{2,}|\u00a0", " "), " ?\n[ \n]*", "\n"), F.lit(" \n"))
 
 
 def responses(pages: DataFrame) -> DataFrame:
@@ -111,13 +108,13 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql_unescaped(c: str) -> str:
-    point = r"coalesce(try_cast(regexp_extract(x, '^([0-9]{1,7});', 1) AS INT), try_cast('0x' || nullif(regexp_extract(x, '^[xX]([0-9a-fA-F]{1,6});', 1), '') AS INT))"
+    k = "string_split(x, ';')[1]"
+    point = rf"CASE WHEN regexp_matches({k}, '^#[0-9]{{1,7}}$') THEN try_cast(substr({k}, 2) AS INT) WHEN regexp_matches({k}, '^#[xX][0-9a-fA-F]{{1,6}}$') THEN try_cast('0x' || substr({k}, 3) AS INT) END"
     fine = f"({point} BETWEEN 1 AND 55295 OR {point} BETWEEN 57344 AND 1114111)"
-    part = rf"CASE WHEN i = 1 THEN x WHEN {fine} THEN chr({point}) || regexp_replace(x, '^[xX]?[0-9a-fA-F]{{1,7}};', '') ELSE '&#' || x END"
-    c = f"array_to_string(list_transform(string_split({c}, '&#'), lambda x, i: {part}), '')"
-    for name, to in ENTITIES.items():
-        c = f"replace({c}, '&{name};', {_quoted(to)})"
-    return f"replace({c}, '&amp;', '&')"
+    named = " ".join(f"WHEN {_quoted(n)} THEN {_quoted(to)}" for n, to in (ENTITIES | {"amp": "&"}).items())
+    value = f"CASE {k} {named} ELSE CASE WHEN {fine} THEN chr({point}) END END"
+    one = f"CASE WHEN length({k}) BETWEEN 2 AND 9 AND length({k}) < length(x) THEN coalesce({value} || substr(x, length({k}) + 2), '&' || x) ELSE '&' || x END"
+    return f"array_to_string(list_transform(string_split({c}, '&'), lambda x, i: CASE WHEN i = 1 THEN x ELSE {one} END), '')"
 
 
 def _quoted(s: str) -> str:
@@ -125,10 +122,9 @@ def _quoted(s: str) -> str:
 
 
 def _sql_text(c: str) -> str:
-    for p in (COMMENT, *SILENCED):
-        c = f"regexp_replace({c}, {_quoted(p)}, '', 'g')"
-    c = rf"regexp_replace(regexp_replace(regexp_replace({c}, '[\t\n\x0B\f\r ]+', ' ', 'g'), {_quoted(BREAK)}, chr(10), 'g'), {_quoted(TAG)}, '', 'g')"
-    return rf"trim(regexp_replace(regexp_replace({_sql_unescaped(c)}, '[ \x{{a0}}]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), ' ' || chr(10))"
+    c = rf"regexp_replace(regexp_replace({c}, {_quoted(SILENCED)}, '', 'g'), '[\t\n\x0B\f\r]', ' ', 'g')"
+    c = f"regexp_replace(regexp_replace({c}, {_quoted(BREAK)}, chr(10), 'g'), {_quoted(TAG)}, '', 'g')"
+    return rf"trim(regexp_replace(regexp_replace({_sql_unescaped(c)}, '[ \x{{a0}}]{{2,}}|\x{{a0}}', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), ' ' || chr(10))"
 
 
 def _sql_digest(c: str) -> str:
