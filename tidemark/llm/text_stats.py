@@ -36,7 +36,11 @@ def _repeated(windows: Column) -> Column:
 
 
 def with_stats(df: DataFrame, text: str, out: str) -> DataFrame:
-    """df with a struct column `out` of counts (long). A null text counts as an empty one."""
+    """df with a struct column `out` of counts (long). A null text counts as an empty one.
+
+    The row number, always true here, keeps Spark from moving a later filter below the statistics, where it would repeat
+    them inside themselves.
+    """
     t, w = F.coalesce(F.col(text), F.lit("")), f"{out}_w"
     df = df.withColumn(w, F.transform(words(F.col(text)), lambda x: F.xxhash64(x)))
     df = df.withColumn(f"{w}in", F.when(F.size(w) >= WINDOW, F.transform(F.sequence(F.lit(0), F.size(w) - WINDOW), lambda i: F.xxhash64(*(F.get(F.col(w), i + k) for k in range(WINDOW))))).otherwise(F.array().cast("array<long>")))
@@ -53,7 +57,8 @@ def with_stats(df: DataFrame, text: str, out: str) -> DataFrame:
         "n_digit": F.regexp_count(t, F.lit("[0-9]")),
         "n_distinct": F.size(F.array_distinct(w)),
     }
-    return df.withColumn(out, F.struct(*(c.cast("long").alias(k) for k, c in n.items()))).drop(w, f"{w}in", f"{w}lines")
+    every = F.monotonically_increasing_id() >= 0
+    return df.withColumn(out, F.when(every, F.struct(*(c.cast("long").alias(k) for k, c in n.items())))).drop(w, f"{w}in", f"{w}lines")
 
 
 def features(stats: str) -> dict[str, Column]:
