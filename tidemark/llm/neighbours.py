@@ -29,7 +29,7 @@ from tidemark.llm.common import kept, table
 #: Projected dimensions, neighbours, and the confidence at which the search stops.
 M, NEIGHBOURS, CONFIDENCE = 8, 20, 0.98
 #: Rows in a shard, queries in a block, points in a leaf, leaves verified between two tests.
-SHARD, QUERIES, LEAF, STEP, SEED = 8192, 1024, 32, 4, 2
+SHARD, QUERIES, LEAF, STEP, SEED = 8192, 1024, 128, 2, 2
 
 
 def chi_square(x: np.ndarray) -> np.ndarray:
@@ -70,28 +70,33 @@ def search(x: np.ndarray, first_id: np.ndarray, queries: np.ndarray, longest: fl
     for j in range(M):
         gap += np.square(np.maximum(0, np.maximum(low[:, j] - pq[:, j, None], pq[:, j, None] - high[:, j])))
     visit = np.argsort(gap, axis=1, kind="stable")
-    size = np.diff(starts)
+    xs, ids = x[order], first_id[order]
     best, score = np.full((q, k), -1), np.full((q, k), -np.inf)
-    ids = np.append(first_id, np.iinfo(np.int64).max)
     active = np.arange(q)
     for turn in range(0, len(low), STEP):
-        now = visit[active, turn : turn + STEP]
-        places = starts[now][:, :, None] + np.arange(size.max())
-        rows = np.where(np.arange(size.max()) < size[now][:, :, None], order[np.minimum(places, n - 1)], -1).reshape(len(active), -1)
-        got = np.where(rows >= 0, np.einsum("qrd,qd->qr", x[rows], queries[active]), -np.inf)
-        rows, got = np.hstack([best[active], rows]), np.hstack([score[active], got])
-        top = np.lexsort((ids[rows], -got), axis=1)[:, :k]
-        best[active], score[active] = np.take_along_axis(rows, top, 1), np.take_along_axis(got, top, 1)
+        whose, which, values = [np.repeat(active, k)], [best[active].ravel()], [score[active].ravel()]
+        now = visit[active, turn : turn + STEP].ravel()
+        asked, by_leaf = np.repeat(active, now.size // len(active)), np.argsort(now, kind="stable")
+        for part in np.split(by_leaf, np.flatnonzero(np.diff(now[by_leaf])) + 1):
+            leaf, of = now[part[0]], asked[part]
+            got = queries[of] @ xs[starts[leaf] : starts[leaf + 1]].T
+            i, j = np.nonzero(got >= score[of, -1:])  # no worse than the k-th best so far
+            whose.append(of[i])
+            which.append(starts[leaf] + j)
+            values.append(got[i, j])
+        whose, which, values = (np.concatenate(v) for v in (whose, which, values))
+        sort = np.lexsort((np.where(which >= 0, ids[which], np.iinfo(np.int64).max), -values, whose))
+        sort = sort[np.arange(len(sort)) - np.searchsorted(whose[sort], whose[sort]) < k]
+        best[active], score[active] = which[sort].reshape(-1, k), values[sort].reshape(-1, k)
         if turn + STEP >= len(low):
             break
         kth = 2 * longest**2 - 2 * score[active, -1] * longest / length[active]
         ahead = gap[active, visit[active, turn + STEP]]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            ratio = np.where(np.isfinite(kth), ahead / np.maximum(kth, 1e-300), 0)
+        ratio = np.where(np.isfinite(kth), ahead / np.maximum(np.where(np.isfinite(kth), kth, 1), 1e-300), 0)
         active = active[chi_square(ratio) < CONFIDENCE]
         if not len(active):
             break
-    return best, score
+    return np.where(best >= 0, order[best], -1), score
 
 
 def _unit(longest: float, k: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
