@@ -271,7 +271,8 @@ def _score(model: tuple):
                 buckets = rows_of(hashes, model[1])
                 idx, owner = windows(number, counts, len(buckets))
                 top = _per_text(score_windows(net, buckets, idx), owner).astype(float)
-                score = 1 / (1 + np.exp(-np.clip(model[2] * top + model[3], -700, 700)))
+                # rounded, as the last digits of single precision depend on a text's company in its batch
+                score = np.round(1 / (1 + np.exp(-np.clip(model[2] * top + model[3], -700, 700))), 6)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id")[first:last].cast(pa.int64()), pa.array(score, pa.float64())], ["doc_id", "score"])
 
     return run
