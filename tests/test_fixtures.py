@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import numeric, status, text
-from tidemark.operators import code, control, diffs, feedback, issues, report
+from tidemark.operators import code, control, diffs, feedback, issues, report, rollup
 from tidemark.sources import trees, views
 from tidemark.streaming import feedback as stream
 
@@ -282,3 +282,24 @@ def test_text_functions(spark):
     row = spark.createDataFrame([("a\r\nb c\n", "Foo::Bar.baz", "ab 你好吗 x_1", "，3, 1,1", '```json\n{"a": 1}\n```')], "a string, b string, c string, d string, e string")
     got = row.select(text.split_lines(F.col("a")), text.symbol_key(F.col("b")), text.word_set(F.col("c")), text.lines_key(F.col("d")), text.json_text(F.col("e")), text.percent_encoded(F.lit("a b~*/")), text.cut(F.lit("x" * 50), 30), numeric.rate(F.lit(1), F.lit(0)), text.issue_type(F.lit("Code-Style")), code.expand_braces("a{b,c{d,e}}f")[0] == F.lit("abf")).first()
     assert got[0] == ["a", "b", "c"] and got[1] == "baz" and got[2] == ["ab", "x_1", "你好", "好吗"] and got[3] == "1,3" and got[4] == '{"a": 1}' and got[5] == "a%20b~%2A%2F" and got[6].startswith("x" * 10 + "\n") and got[7] == 0.0 and got[8] == "code_style"
+
+
+def test_rollups(spark):
+    f = spark.createDataFrame([("f1", "t", "a.c", "", 3, ("partial",), [block(0, ["x"], True, 2, issues=[(5, None, None), (1, None, "filtered")], score=140), block(1, score=20)])], FILE)
+    rows = rollup.block_rows(f).orderBy("block_id").collect()
+    assert [(r.logic_score, r.overall, len(r.issues)) for r in rows] == [(100, 100, 1), (20, 20, 0)]
+    assert one(rollup.file_checkpoint(f)) == {"task_id": "t", "files": 1, "reviewed": 0, "incomplete": 1, "blocks": 2}
+    stored = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string")
+    assert sorted(map(tuple, rollup.upserted(stored, spark.createDataFrame([(2, "c"), (3, "d")], stored.schema), "id").collect())) == [(1, "a"), (2, "c"), (3, "d")]
+    assert rollup.merged_rules({"a": [1], "b": {"c": [1], "d": 1}, "language": "C"}, {"a": [2], "b": {"c": [2], "d": 2}, "language": "x"}) == {"a": [1, 2], "b": {"c": [1, 2], "d": 2}, "language": "C"}
+    assert rollup.distinct_values([{"a": 1}, 2, {"a": 1}, 2]) == [{"a": 1}, 2]
+    with pytest.raises(views.RequestError):
+        rollup.saved_feedback("reject", " ")
+    m = {r.path: (r.lines, r.full) for r in rollup.manifest(spark.createDataFrame([("a", None, "ADDED"), ("b", "c", "RENAMED")], "path string, old_path string, change_type string"), 1).collect()}
+    assert m == {"a": (["RENAMED c -> b"], True), "b": (["ADDED a"], True)}
+
+
+def test_snapshots(spark):
+    s = spark.createDataFrame([("t", 1, 0, ""), ("t", 2, 1, ""), ("t", 3, 2, "completed"), ("u", 1, 0, "")], "task_id string, trigger_revision int, state int, completion_status string")
+    assert [(r.state, r.completion_status) for r in control.superseded(s, F.lit("t"), 4).orderBy("task_id", "trigger_revision").collect()] == [(3, "superseded"), (3, "superseded"), (2, "completed"), (0, "")]
+    assert sorted((r.task_id, r.trigger_revision) for r in control.carried_forward(s, F.lit("t"), 9).collect()) == [("t", 1), ("t", 3), ("t", 9), ("u", 1)]

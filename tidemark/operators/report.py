@@ -78,9 +78,9 @@ def merged_counts(a: Column, b: Column) -> Column:
 
 
 def owners(issues: DataFrame) -> DataFrame:
-    """Severe and other reportable issues of each owner."""
-    shown = issues.where(reportable(F.col("filter_status"))).withColumn("owner", F.trim("file_author"))
-    return shown.where("owner <> ''").groupBy("owner").agg(F.count_if(F.col("severity") == 5).alias("severe"), F.count_if(F.coalesce(F.col("severity") != 5, F.lit(True))).alias("other"))
+    """Severe and other reportable issues of each owner; a blank one is an owner too."""
+    shown = issues.where(reportable(F.col("filter_status"))).withColumn("owner", F.trim(F.coalesce("file_author", F.lit(""))))
+    return shown.groupBy("owner").agg(F.count_if(F.col("severity") == 5).alias("severe"), F.count_if(F.coalesce(F.col("severity") != 5, F.lit(True))).alias("other"))
 
 
 def last_messages(messages: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import numeric, status, text
 from tidemark.functions.status import reportable
-from tidemark.operators import code, control, diffs, feedback, issues, report
+from tidemark.operators import code, control, diffs, feedback, issues, report, rollup
 from tidemark.plans.proxy import nested_files, role, sql, table
 from tidemark.sources import trees, views
 
@@ -284,7 +284,7 @@ def merged_usage(spark, d):
     return a.join(b, "p", "full_outer").select("p", text.counts_text(report.merged_counts(F.coalesce("x", none), F.coalesce("y", none))).alias("counts"))
 
 
-@query(f"SELECT trim(file_author) AS owner, count(*) FILTER (severity = 5) AS severe, count(*) FILTER (severity <> 5) AS other FROM issue WHERE {SHOWN} AND trim(file_author) <> '' GROUP BY 1", "issue")
+@query(f"SELECT trim(file_author) AS owner, count(*) FILTER (severity = 5) AS severe, count(*) FILTER (severity <> 5) AS other FROM issue WHERE {SHOWN} GROUP BY 1", "issue")
 def owner_counts(spark, d):
     return report.owners(role(spark, d, "issue"))
 
@@ -580,3 +580,107 @@ def scalar_functions(spark, d):
 def parsed_numbers(spark, d):
     n = F.array_sort(F.array_distinct(text.numbers(F.col("props"))))
     return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"), F.get(n, 0).alias("first_number"))
+
+
+# --- roll-ups
+
+
+@query("SELECT id, CASE WHEN state = 1 THEN 100 + greatest(0, date_diff('millisecond', create_time, TIMESTAMP '1998-07-01')) ELSE 100 END::BIGINT AS spent FROM task", "task")
+def live_process_time(spark, d):
+    now = F.lit("1998-07-01 00:00:00").cast("timestamp_ntz")
+    return role(spark, d, "task").select("id", rollup.live_time(F.lit(100), F.col("state"), F.col("create_time"), now).cast("long").alias("spent"))
+
+
+@query("""SELECT id, sha256('{"copy_from_version": "' || copy_from_version || '", "project_id": "' || project_id || '", "review_version": "' || review_version || '"}') AS submission_key FROM task""", "task")
+def submission_keys(spark, d):
+    return role(spark, d, "task").select("id", rollup.submission_key(F.col("project_id"), F.col("review_version"), F.col("copy_from_version")).alias("submission_key"))
+
+
+@query("SELECT id, greatest(llm_prompt_tokens, coalesce(b.n, 0))::BIGINT AS prompt_baseline FROM task LEFT JOIN (SELECT task_id, sum(line_no) * 1000 AS n FROM issue GROUP BY task_id) b ON b.task_id = id", "task", "issue")
+def usage_baseline(spark, d):
+    b = role(spark, d, "issue").groupBy("task_id").agg((F.sum("line_no") * 1000).alias("n"))
+    return role(spark, d, "task").join(b, F.col("id") == F.col("task_id"), "left").select("id", rollup.baseline(F.col("llm_prompt_tokens"), F.col("n")).alias("prompt_baseline"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_mktsegment NOT IN ('logic', 'BUILDING') THEN 'unsupported type: ' || c_mktsegment WHEN c_custkey % 2 = 0 THEN 'missing required fields: suggestion, evidence' END AS error FROM customer WHERE c_mktsegment <> 'BUILDING' OR c_custkey % 2 = 0 OR true".replace("NOT IN ('logic', 'BUILDING')", "<> 'BUILDING'"))
+def comment_validation(spark, d):
+    c = table(spark, d, "customer")
+    half = F.when(F.col("c_custkey") % 2 == 0, F.lit("  ")).otherwise(F.lit("x"))
+    kind = F.when(F.col("c_mktsegment") == "BUILDING", F.lit("security")).otherwise(F.col("c_mktsegment"))
+    c = c.withColumns({"type": kind, "severity": F.lit("high"), "description": F.lit("x"), "suggestion": half, "issue_line_numbers": F.lit("1"), "existing_code": F.lit("x"), "evidence": half})
+    return rollup.checked_comments(c).select("c_custkey", "error")
+
+
+@query("WITH x AS (SELECT source AS path, doc_id AS place, text, greatest(0, 12000 - coalesce(sum(length(text)) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::INT AS room FROM documents) SELECT path, place, least(length(text), room)::INT AS n, room > 0 AND length(text) > room AS cut FROM x")
+def related_diff_budget(spark, d):
+    t = table(spark, d, "documents").select(F.col("source").alias("path"), F.col("doc_id").alias("place"), F.col("text").alias("diff_text"))
+    return rollup.inlined(t).select("path", "place", F.length("excerpt").alias("n"), "cut")
+
+
+@query("WITH w AS (SELECT conv_id, turn, role, greatest(1, sum(length(coalesce(text, ''))) OVER (PARTITION BY conv_id) // 4)::BIGINT AS tokens, min(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id) AS first, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations) SELECT conv_id, turn, tokens, role = 'system' OR coalesce(turn = first, false) OR back <= 2 AS keep, tokens > 600 AS compress FROM w")
+def kept_messages(spark, d):
+    return rollup.kept_messages(table(spark, d, "conversations"), 2, 1000, 0.6).select("conv_id", "turn", "tokens", "keep", "compress")
+
+
+@query("WITH k AS (SELECT event_id AS id, event_type || user_id AS k, row_number() OVER w AS n, first_value(event_id) OVER w AS f FROM events WHERE event_id < 3000 WINDOW w AS (PARTITION BY event_type, user_id ORDER BY event_id)), g AS (SELECT k, row_number() OVER (ORDER BY id) AS group_id FROM k WHERE n = 2) SELECT id, group_id::INT AS group_id, CASE WHEN n > 1 THEN f END AS duplicate_of FROM k LEFT JOIN g USING (k)")
+def duplicate_groups(spark, d):
+    e = table(spark, d, "events").where("event_id < 3000").select(F.col("event_id").alias("id"), "event_type", "user_id")
+    return rollup.duplicate_groups(e, F.concat("event_type", F.col("user_id").cast("string")), ["id"]).select("id", "group_id", "duplicate_of")
+
+
+@query("SELECT count(*) = count(DISTINCT id) AND bool_and(known) AS exact FROM (SELECT o_orderkey AS id, true AS known FROM orders)")
+def group_cover(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"))
+    return rollup.exact_cover(o, o)
+
+
+@query("WITH g AS (SELECT p_size AS group_id, count(*) AS n, count(DISTINCT lower(p_type)) AS t, count(DISTINCT p_size % 4) AS s, count(DISTINCT p_brand) AS r FROM part WHERE p_partkey % 9 = 0 GROUP BY p_size) SELECT group_id, n > 1 AND t = 1 AND r = 1 AS safe FROM g")
+def semantic_group_safety(spark, d):
+    p = table(spark, d, "part").where("p_partkey % 9 = 0")
+    p = p.select(F.col("p_size").alias("group_id"), F.col("p_partkey").alias("place"), F.col("p_type").alias("type"), (F.col("p_size") % 4).alias("severity"), F.col("p_brand").alias("rule_id"), F.lit("").alias("existing_code"), F.col("p_name").alias("description"))
+    return rollup.safe_groups(p)
+
+
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN NULL WHEN s_suppkey % 3 = 0 THEN s_name || '@x.org' ELSE s_name || '@corp.example' END AS address, coalesce(n_name, s_nationkey::VARCHAR) AS display_name FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey AND n_nationkey % 2 = 0")
+def owner_routing(spark, d):
+    s = table(spark, d, "supplier").withColumn("account", F.col("s_nationkey").cast("string"))
+    owner = F.when(F.col("s_suppkey") % 5 == 0, " ").when(F.col("s_suppkey") % 3 == 0, F.concat("s_name", F.lit("@x.org"))).otherwise(F.col("s_name"))
+    names = table(spark, d, "nation").where("n_nationkey % 2 = 0").select(F.col("n_nationkey").cast("string").alias("account"), F.col("n_name").alias("name"))
+    s = s.withColumn("address", rollup.mail_address(owner, "corp.example"))
+    return rollup.display_name(s, names, "account").select("s_suppkey", "address", "display_name")
+
+
+@query("SELECT path, CASE WHEN path LIKE '%/de/%' AND (path LIKE '%.c' OR path LIKE '%.h') THEN 'german-c' WHEN path LIKE 'src1/%' THEN 'one' WHEN path LIKE '%.py' THEN 'python' END AS rule_id FROM (SELECT DISTINCT path FROM tree)", "tree")
+def first_rule(spark, d):
+    return code.first_rule(role(spark, d, "tree").select("path").distinct(), [("german-c", "*/de/*.{c,h}"), ("one", "src1/*"), ("python", "**/*.py")])
+
+
+@query("WITH c AS (SELECT DISTINCT path FROM tree WHERE path LIKE '%.c'), f AS (SELECT path FROM c UNION SELECT left(path, length(path) - 1) || 'h' FROM c), n AS (SELECT path, string_split(path, '/')[-1] AS name FROM f) SELECT path, related, 100 AS score FROM (SELECT a.path, b.path AS related, row_number() OVER (PARTITION BY a.path ORDER BY b.path) AS k FROM n a JOIN n b ON left(a.name, length(a.name) - 1) = left(b.name, length(b.name) - 1) AND a.name <> b.name) WHERE k <= 8", "tree")
+def related_files(spark, d):
+    c = role(spark, d, "tree").where("path like '%.c'").select("path").distinct()
+    both = c.union(c.select(F.regexp_replace("path", "c$", "h"))).withColumns({"language": F.lit("General"), "text": F.lit("")})
+    return code.related_files(both).select("path", "related", "score")
+
+
+# --- rows only: order-dependent or sequence-matching operators, held against worked cases in the tests
+
+
+@query()
+def merged_issues(spark, d):
+    i = role(spark, d, "issue").where("block_id < 4").withColumns({"issue_id": F.col("line_no"), "type": F.lit("logic"), "issue_line_numbers": F.col("line_no").cast("string"), "description": F.col("feedback_type"), "suggestion": F.lit(""), "rule_id": F.lit(""), "existing_code": F.lit("")})
+    return issues.merged_in_file(i).orderBy("file_name", "block_id", "issue_id")
+
+
+@query()
+def comment_only_blocks(spark, d):
+    lines = F.transform(F.split("text", "\n"), lambda x, i: text.diff_line(i + 1, F.lit("+"), x))
+    t = role(spark, d, "tree").select(F.col("doc_id").cast("string").alias("path"), trees.language(F.col("path")).alias("language"), F.posexplode(diffs.split_blocks(lines, 300)).alias("block_id", "diff_lines"))
+    return code.comment_only(t)
+
+
+@query()
+def line_diffs(spark, d):
+    t = role(spark, d, "tree").groupBy("path").agg(F.min_by("text", "doc_id").alias("a"), F.max_by("text", "doc_id").alias("b"))
+    base = t.select("path", F.col("a").alias("text"), F.md5(F.col("a").cast("binary")).alias("md5"))
+    head = t.select("path", F.col("b").alias("text"), F.md5(F.col("b").cast("binary")).alias("md5"))
+    return diffs.changed_targets(diffs.compared(base, head), base, head)
