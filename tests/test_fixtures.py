@@ -303,3 +303,19 @@ def test_snapshots(spark):
     s = spark.createDataFrame([("t", 1, 0, ""), ("t", 2, 1, ""), ("t", 3, 2, "completed"), ("u", 1, 0, "")], "task_id string, trigger_revision int, state int, completion_status string")
     assert [(r.state, r.completion_status) for r in control.superseded(s, F.lit("t"), 4).orderBy("task_id", "trigger_revision").collect()] == [(3, "superseded"), (3, "superseded"), (2, "completed"), (0, "")]
     assert sorted((r.task_id, r.trigger_revision) for r in control.carried_forward(s, F.lit("t"), 9).collect()) == [("t", 1), ("t", 3), ("t", 9), ("u", 1)]
+
+
+def test_guessed_lines_and_background(spark):
+    found = spark.createDataFrame([("a.c", 1, "security", "buffer overflow", ""), ("a.c", 2, "logic", "the counter is never reset", ""), ("a.c", 3, "logic", "no", "")], "path string, issue_id int, type string, description string, suggestion string")
+    lines = spark.createDataFrame([("a.c", 4, "counter += 1;"), ("a.c", 7, "strcpy(a, b);"), ("a.c", 9, "reset(counter);")], "path string, line_no int, code string")
+    assert sorted((r.issue_id, r.line_no) for r in issues.guessed_lines(found, lines).collect()) == [(1, 7), (2, 9)]
+    b = spark.createDataFrame([("auth.c", "reject")], "name string, content string")
+    assert [(r.background, r.background_source) for r in rollup.with_background(spark.createDataFrame([("src/Auth.c",), ("b.c",)], "path string"), b).orderBy("path").collect()] == [("", ""), ("reject", "file-name")]
+
+
+@pytest.mark.parametrize(("state", "changed", "want"), [(0, False, 0), (1, False, 0), (2, False, 2), (3, False, 0), (2, True, 0)])
+def test_trigger_again(state, changed, want):
+    got = control.triggered({"state": state, "trigger_revision": 4}, {}, changed, BASE)
+    assert (got["state"], got["trigger_revision"]) == (want, 5)
+    assert control.triggered(None, {"project_id": "p"}, True, BASE)["state"] == 0
+    assert control.interrupted({"lease_owner": "w", "trigger_revision": 1, "state": 1}, "w", 1)["state"] == 0

@@ -66,3 +66,21 @@ def latest_comparison(tasks: DataFrame, project: str, comparison: str) -> DataFr
     if not review:
         raise RequestError("no such comparison", 404)
     return tasks.where((F.col("project_id") == project) & (F.col("review_version") == review) & (F.col("copy_from_version") == base)).orderBy(F.desc("create_time"), F.desc("id")).limit(1)
+
+
+def triggered(task: dict | None, identity: dict, changed: bool, now) -> dict:
+    """The task after a trigger: a new one waits; one whose files changed waits again at the next revision; an unchanged one stays completed if it was, else waits."""
+    if task is None:
+        return identity | {"state": 0, "trigger_count": 1, "trigger_revision": 1, "create_time": now, "update_time": now}
+    state = 2 if task["state"] == 2 and not changed else 0
+    return task | {"state": state, "trigger_count": task.get("trigger_count", 0) + 1, "trigger_revision": task.get("trigger_revision", 0) + 1, "update_time": now}
+
+
+def interrupted(task: dict, owner: str, revision: int) -> dict:
+    """The task after its worker stopped: its lease goes if the worker still held it; at the same revision it waits."""
+    out = dict(task)
+    if task.get("lease_owner") == owner:
+        out |= {"lease_owner": "", "lease_token": "", "lease_expires_at": None}
+        if task.get("trigger_revision") == revision:
+            out |= {"state": 0, "completion_status": "interrupted"}
+    return out

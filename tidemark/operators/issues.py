@@ -224,3 +224,34 @@ def numbered(issues: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     shown = reportable(F.col("filter_status"))
     seen = F.sum(F.when(shown, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))
     return issues.withColumns({"number": F.row_number().over(w) - 1, "visible_number": F.when(shown, seen).otherwise(F.lit(0))})
+
+
+#: Words in an issue's text, and what the line that it means may hold, in order; and words that say nothing.
+HINTS = [
+    (["strcpy", "strcat", "buffer", "overflow", "缓冲", "溢出"], ["strcpy(", "strcat("]),
+    (["sscanf", "%s"], ["sscanf(", "%s"]),
+    (["format", "printf", "格式化"], ["printf(", "fprintf("]),
+    (["divide", "division", "除数", "除法"], ["/ right", "/right"]),
+    (["argv", "参数", "越界"], ["argv["]),
+    (["eval", "exec"], ["eval(", "exec("]),
+    (["secret", "password", "api_key", "token", "敏感"], ["secret", "password", "api_key", "token"]),
+    (["todo", "fixme", "未完成"], ["todo", "fixme"]),
+]
+SAYS_NOTHING = ("issue", "line", "code", "suggestion", "description", "security", "logic", "performance", "readability", "style")
+
+
+def guessed_lines(found: DataFrame, lines: DataFrame) -> DataFrame:
+    """path, issue_id and the added line (path, line_no, code) that an issue's text (type, description, suggestion) means: the first line that fits
+    its first hint, else the first of those with most of its words; no row without one."""
+    spark = found.sparkSession
+    said = found.select("path", "issue_id", F.lower(F.concat_ws(" ", "type", "description", "suggestion")).alias("said"))
+    low = lines.select("path", "line_no", F.lower("code").alias("low"))
+    hints = F.broadcast(spark.createDataFrame([(i, *h) for i, h in enumerate(HINTS)], "n int, hints array<string>, patterns array<string>"))
+    holds = lambda text, words: F.exists(words, lambda w: F.contains(F.col(text), w))
+    hinted = said.join(hints, holds("said", "hints")).join(low, "path").where(holds("low", "patterns"))
+    hinted = hinted.groupBy("path", "issue_id").agg(F.min_by("line_no", F.struct("n", "line_no")).alias("line_no"))
+    words = F.slice(F.array_distinct(F.filter(F.regexp_extract_all("said", F.lit("([A-Za-z_][A-Za-z0-9_]{2,})"), F.lit(1)), lambda w: ~w.isin(*SAYS_NOTHING))), 1, 12)
+    rest = said.join(hinted, ["path", "issue_id"], "left_anti").withColumn("words", words).join(low, "path")
+    rest = rest.withColumn("score", F.size(F.filter("words", lambda w: F.contains("low", w)))).where("score > 0")
+    worded = rest.groupBy("path", "issue_id").agg(F.min_by("line_no", F.struct(-F.col("score"), F.col("line_no"))).alias("line_no"))
+    return hinted.unionByName(worded)

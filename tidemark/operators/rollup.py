@@ -193,3 +193,11 @@ def kept_messages(messages: DataFrame, recent: int = 6, limit: int = 58_888, rat
     back = F.row_number().over(by.orderBy(F.desc("turn")))
     df = messages.withColumns({"tokens": tokens, "keep": (F.col("role") == "system") | F.coalesce(F.col("turn") == first, F.lit(False)) | (back <= recent)})
     return df.withColumn("compress", F.col("tokens") > limit * ratio)
+
+
+def with_background(files: DataFrame, backgrounds: DataFrame) -> DataFrame:
+    """files with background and background_source, by base name in lower case from backgrounds (name, content): the provider's table, joined."""
+    name = F.lower(F.element_at(F.split(F.replace(F.col("path"), F.lit("\\"), F.lit("/")), "/"), -1))
+    b = backgrounds.select(F.col("name").alias("_name"), F.col("content").alias("_content"))
+    out = files.join(b, name == F.col("_name"), "left").withColumn("background", F.coalesce("_content", F.lit("")))
+    return out.withColumn("background_source", F.when(F.col("background") != "", "file-name").otherwise("")).drop("_name", "_content")
