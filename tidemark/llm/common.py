@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -23,15 +25,29 @@ def shared_dir(spark: SparkSession) -> str:
     if set_already.isDefined():
         return set_already.get()
     named = spark.conf.get("spark.checkpoint.dir", None)
-    spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemark-"))
+    if not named:
+        named = tempfile.mkdtemp(prefix="tidemark-")
+        atexit.register(shutil.rmtree, named, True)
+    spark.sparkContext.setCheckpointDir(named)
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
-def kept(df: DataFrame, *partition_by: str) -> DataFrame:
+_tables: list[str] = []
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete the tables that `kept` has written so far, once the results that read them are stored."""
+    while _tables:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_tables.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def kept(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/{uuid.uuid4().hex}.parquet"
     df.write.parquet(at)
+    _tables.append(at)
     return spark.read.schema(df.schema).parquet(at)
 
 

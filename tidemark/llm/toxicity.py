@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import fold, labelled_ids, small_batches, table
 from tidemark.llm.shingles import _BASE, _BYTE, _INVERSE, _powers, chunks, mix
 
-#: The model is fitted on at most so many labelled rows, a third of them toxic if there are as many.
-SAMPLE_ROWS = 4500
+#: The model is fitted on at most so many labelled rows, a third of them toxic if there are as many; texts with more
+#: characters than this, few as they are, are no part of the sample, so its size is bounded. Scores are of whole texts.
+SAMPLE_ROWS, SAMPLE_CHARS = 4500, 50_000
 FOLDS, HELD_OUT = 5, 0
 #: Words in a window, and from one window's start to the next.
 WINDOW, STRIDE = 32, 16
@@ -282,7 +283,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple | None:
     rows = fold(F.col("doc_id"), FOLDS) != HELD_OUT
     share = labels.where(rows & F.col("toxic").isin(0, 1)).agg(F.avg("toxic")).first()[0]
     ids = F.broadcast(labelled_ids(labels, "toxic", SAMPLE_ROWS, rows, ones=SAMPLE_ROWS // 3))
-    got = sorted((r.doc_id, r.y, r.text or "") for r in docs.select("doc_id", "text").join(ids, "doc_id").collect())
+    got = sorted((r.doc_id, r.y, r.text or "") for r in docs.select("doc_id", "text").where(F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_CHARS).join(ids, "doc_id").collect())
     if len({y for _, y, _ in got}) < 2:
         return None
     return learn([t for _, _, t in got], np.array([y for _, y, _ in got]), share)
