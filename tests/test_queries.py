@@ -33,7 +33,7 @@ def test_query(spark, db, name):
 
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE_SQL)))
 def test_rows_only(spark, name):
-    assert catalog.QUERIES[name](spark, SF).count() > 0
+    assert catalog.QUERIES[name](spark, "/root/testdata/sf0.01").count() > 0
 
 
 def test_entry(spark):
