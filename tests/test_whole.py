@@ -23,3 +23,18 @@ def test_call_graph_walks_all_edges(spark, tmp_path):
     got = catalog.QUERIES["call_graph_bfs"](spark, stored(spark, tmp_path, "lineitem", rows, "l_partkey long, l_suppkey long")).collect()
     assert sorted((r.caller, r.callee) for r in got) == sorted(want)
     assert ("f1000900", "f5000") in want
+
+
+def test_duplicate_groups_of_all_events(spark, tmp_path):
+    rng = random.Random(2)
+    rows = [(i, rng.choice(["view", "error"]), rng.randrange(60)) for i in rng.sample(range(6_000), 150)]
+    by, second = {}, {}
+    for i, t, u in sorted(rows):
+        by.setdefault((t, u), []).append(i)
+        if len(by[t, u]) == 2:
+            second[t, u] = i
+    number = {k: n for n, k in enumerate(sorted(second, key=second.get), 1)}
+    want = sorted((i, number.get((t, u)), by[t, u][0] if i != by[t, u][0] else None) for i, t, u in rows)
+    df = catalog.QUERIES["duplicate_groups"](spark, stored(spark, tmp_path, "events", rows, "event_id long, event_type string, user_id long"))
+    assert "windowspecdefinition(id#" not in df._jdf.queryExecution().toString()
+    assert sorted((r.id, r.group_id, r.duplicate_of) for r in df.collect()) == want

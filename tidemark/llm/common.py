@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.shared import clear, kept, ranked, shared_dir  # noqa: F401
+
 #: A word is a run of anything but these six ASCII spaces.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = r"[\x20\x09-\x0D]+"
@@ -19,38 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see. Only where the session names none (tests), a local one is set."""
-    set_already = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if set_already.isDefined():
-        return set_already.get()
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = tempfile.mkdtemp(prefix="tidemark-")
-        atexit.register(shutil.rmtree, named, True)
-    spark.sparkContext.setCheckpointDir(named)
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-
-
-_tables: list[str] = []
-
-
-def clear(spark: SparkSession) -> None:
-    """Delete the tables that `kept` has written so far, once the results that read them are stored."""
-    while _tables:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_tables.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def kept(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    at = f"{shared_dir(spark)}/{uuid.uuid4().hex}.parquet"
-    df.write.parquet(at)
-    _tables.append(at)
-    return spark.read.schema(df.schema).parquet(at)
-
-
 def fresh(df: DataFrame, base: str) -> str:
     """A column name that df doesn't have, whatever extra columns it carries."""
     taken, name = {c.lower() for c in df.columns}, base
@@ -92,17 +57,6 @@ def labelled_ids(labels: DataFrame, label: str, most: int, rows: Column | None =
     return ids.where("y = 1").orderBy(*order).limit(ones).unionAll(ids.where("y = 0").orderBy(*order).limit(most - ones))
 
 
-def ranked(df: DataFrame, *order: Column, out: str = "rank") -> DataFrame:
-    """df with its place in this order, from 0, without bringing the rows into one task.
-
-    The sorted rows are written with their task's number; only the tasks' counts are summed up in one place.
-    """
-    rows = kept(df.orderBy(*order).withColumns({"_task": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}))
-    before = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
-    starts = rows.groupBy("_task").count().select("_task", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
-    return rows.join(F.broadcast(starts), "_task").withColumn(out, F.col("_start") + F.col("_at")).drop("_task", "_at", "_start")
-
-
 #: A set of ids of at most so many rows is broadcast; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 400_000
 

@@ -11,6 +11,7 @@ from tidemark.functions.numeric import clamp, severity
 from tidemark.functions.status import reportable
 from tidemark.functions.text import blank, code_key, issue_type, jaccard, text_key, word_set
 from tidemark.operators.report import SCORES
+from tidemark.shared import ranked
 from tidemark.sources.views import RequestError
 
 USAGE = ("llm_prompt_tokens", "llm_completion_tokens", "llm_total_tokens", "llm_reasoning_tokens", "llm_cached_tokens", "llm_elapsed_ms")
@@ -181,7 +182,7 @@ def duplicate_groups(issues: DataFrame, key: Column, order: list[str]) -> DataFr
     df = issues.withColumn("_key", key)
     df = df.withColumns({"_n": F.row_number().over(by), "_first": F.first("id").over(by)})
     seconds = df.where("_n = 2").select("_key", *order)
-    numbers = seconds.select("_key", F.row_number().over(Window.orderBy(*order)).alias("group_id"))
+    numbers = ranked(seconds, *map(F.col, order), out="_rank").select("_key", (F.col("_rank") + 1).cast("int").alias("group_id"))
     return df.join(numbers, "_key", "left").withColumn("duplicate_of", F.when(F.col("_n") > 1, F.col("_first"))).drop("_key", "_n", "_first")
 
 

@@ -624,7 +624,7 @@ def kept_messages(spark, d):
 
 @query("WITH k AS (SELECT event_id AS id, event_type || user_id AS k, row_number() OVER w AS n, first_value(event_id) OVER w AS f FROM events WHERE event_id < 3000 WINDOW w AS (PARTITION BY event_type, user_id ORDER BY event_id)), g AS (SELECT k, row_number() OVER (ORDER BY id) AS group_id FROM k WHERE n = 2) SELECT id, group_id::INT AS group_id, CASE WHEN n > 1 THEN f END AS duplicate_of FROM k LEFT JOIN g USING (k)")
 def duplicate_groups(spark, d):
-    e = table(spark, d, "events").where("event_id < 3000").select(F.col("event_id").alias("id"), "event_type", "user_id")
+    e = table(spark, d, "events").select(F.col("event_id").alias("id"), "event_type", "user_id")
     return rollup.duplicate_groups(e, F.concat("event_type", F.col("user_id").cast("string")), ["id"]).select("id", "group_id", "duplicate_of")
 
 
