@@ -38,3 +38,18 @@ def test_duplicate_groups_of_all_events(spark, tmp_path):
     df = catalog.QUERIES["duplicate_groups"](spark, stored(spark, tmp_path, "events", rows, "event_id long, event_type string, user_id long"))
     assert "windowspecdefinition(id#" not in df._jdf.queryExecution().toString()
     assert sorted((r.id, r.group_id, r.duplicate_of) for r in df.collect()) == want
+
+
+def test_merged_issues_of_all_blocks(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(n, rng.choice([3, 39, 80, 117]), rng.randrange(1, 21), rng.choice([1, 2]), rng.choice("AR"), rng.choice("FO"), float(rng.randrange(1, 4))) for n in range(120)]
+    folded, want = set(), []
+    for _, part, _, number, flag, _, quantity in rows:
+        # without rules and code only issues of one key merge, and one of each key survives
+        key = (part, int(quantity), number, flag)
+        want.append((f"src/f{part}.c", part % 40, int(quantity), key not in folded))
+        folded.add(key)
+    schema = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_returnflag string, l_linestatus string, l_quantity double"
+    got = catalog.QUERIES["merged_issues"](spark, stored(spark, tmp_path, "lineitem", rows, schema)).collect()
+    assert sorted((r.file_name, r.block_id, r.issue_id, r.survivor) for r in got) == sorted(want)
+    assert {b for _, b, _, _ in want} >= {3, 39, 37} and not all(w[3] for w in want)

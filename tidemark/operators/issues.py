@@ -187,7 +187,7 @@ def exact_groups(issues: DataFrame, order: list[str]) -> DataFrame:
 
 def merged_in_file(issues: DataFrame) -> DataFrame:
     """issue_id and survivor of a file's issues (file_name, block_id, issue_id, ...), in order: one that equals an earlier survivor
-    goes, unless only it is reportable, when it takes the place. Order decides, so a file's issues are folded together."""
+    goes, unless only it is reportable, when it takes the place. Order decides, so a file's issues are folded together. Ids may repeat: rows are judged."""
     ready = issues.select(
         "file_name", "block_id", "issue_id", F.to_json(merge_key()).alias("key"), text_key(F.col("type")).alias("t"), "severity", F.array_distinct(numbers(F.col("issue_line_numbers"))).alias("lines"),
         F.coalesce("rule_id", F.lit("")).alias("rule"), code_key(F.col("existing_code")).alias("code"), word_set(F.col("description")).alias("words"), reportable(F.col("filter_status")).alias("shown"),
@@ -204,16 +204,17 @@ def merged_in_file(issues: DataFrame) -> DataFrame:
         return bool(x and y) and len(x & y) / len(x | y) >= 0.65
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        slots: list[dict] = []
-        for r in rows.sort_values(["block_id", "issue_id"]).to_dict("records"):
+        rows, slots = rows.sort_values(["block_id", "issue_id", "key", "shown", "rule", "code"], ignore_index=True), []
+        for n, r in enumerate(rows.to_dict("records")):
+            r["n"] = n
             at = next((k for k, s in enumerate(slots) if s["key"] == r["key"]), None)
             at = next((k for k, s in enumerate(slots) if equal(s, r)), None) if at is None else at
             if at is None:
                 slots.append(r)
             elif r["shown"] and not slots[at]["shown"]:
                 slots[at] = r
-        alive = {(s["block_id"], s["issue_id"]) for s in slots}
-        return pd.DataFrame({"file_name": rows["file_name"], "block_id": rows["block_id"], "issue_id": rows["issue_id"], "survivor": [(b, i) in alive for b, i in zip(rows["block_id"], rows["issue_id"], strict=True)]})
+        alive = {s["n"] for s in slots}
+        return pd.DataFrame({"file_name": rows["file_name"], "block_id": rows["block_id"], "issue_id": rows["issue_id"], "survivor": [n in alive for n in range(len(rows))]})
 
     return ready.groupBy("file_name").applyInPandas(fold, "file_name string, block_id int, issue_id int, survivor boolean")
 

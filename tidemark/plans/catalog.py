@@ -667,7 +667,7 @@ def related_files(spark, d):
 
 @query()
 def merged_issues(spark, d):
-    i = role(spark, d, "issue").where("block_id < 4").withColumns({"issue_id": F.col("line_no"), "type": F.lit("logic"), "issue_line_numbers": F.col("line_no").cast("string"), "description": F.col("feedback_type"), "suggestion": F.lit(""), "rule_id": F.lit(""), "existing_code": F.lit("")})
+    i = role(spark, d, "issue").withColumns({"issue_id": F.col("line_no"), "type": F.lit("logic"), "issue_line_numbers": F.col("line_no").cast("string"), "description": F.col("feedback_type"), "suggestion": F.lit(""), "rule_id": F.lit(""), "existing_code": F.lit("")})
     return issues.merged_in_file(i).orderBy("file_name", "block_id", "issue_id")
 
 
