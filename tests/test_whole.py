@@ -53,3 +53,27 @@ def test_merged_issues_of_all_blocks(spark, tmp_path):
     got = catalog.QUERIES["merged_issues"](spark, stored(spark, tmp_path, "lineitem", rows, schema)).collect()
     assert sorted((r.file_name, r.block_id, r.issue_id, r.survivor) for r in got) == sorted(want)
     assert {b for _, b, _, _ in want} >= {3, 39, 37} and not all(w[3] for w in want)
+
+
+def test_group_safety_of_all_parts(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(n, rng.choice(["STEEL", "steel "]), rng.randrange(1, 4), "B1", "red bolt") for n in range(1, 40)]
+    rows += [(40, "TIN", 7, "B1", "a"), (41, "TIN", 7, "B1", "b"), (45, "BRASS", 7, "B1", "c"), (46, "TIN", 8, "B1", "a"), (49, "TIN", 8, "B1", "b"), (54, "TIN", 9, "B1", "a"), (55, "TIN", 9, "B2", "a"), (63, "TIN", 9, "B1", "a")]
+    groups = {}
+    for _, kind, size, brand, _ in rows:
+        groups.setdefault(size, []).append((kind.strip().lower(), brand))
+    want = sorted((size, len(g) > 1 and len(set(g)) == 1) for size, g in groups.items())
+    got = catalog.QUERIES["semantic_group_safety"](spark, stored(spark, tmp_path, "part", rows, "p_partkey long, p_type string, p_size int, p_brand string, p_name string")).collect()
+    assert sorted((r.group_id, r.safe) for r in got) == want
+    assert {s for _, s in want} == {True, False}
+
+
+def test_merged_usage_of_all_events(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(rng.randrange(50), rng.choice(["view", "view", "error"])) for _ in range(200)]
+    counts = {}
+    for u, t in rows:
+        of = counts.setdefault(u % 20 - u % 2, {})
+        of[t] = of.get(t, 0) + 1
+    got = catalog.QUERIES["merged_usage"](spark, stored(spark, tmp_path, "events", rows, "user_id long, event_type string")).collect()
+    assert {r.p: r.counts for r in got} == {p: ", ".join(f"{k}={n}" for k, n in sorted(of.items())) for p, of in counts.items()}

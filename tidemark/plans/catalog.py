@@ -277,7 +277,7 @@ def tool_histogram(spark, d):
 
 @query("WITH n AS (SELECT user_id % 20 AS p, user_id % 2 AS half, event_type AS k, count(*) AS n FROM events WHERE event_type <> 'view' OR user_id % 2 = 0 GROUP BY ALL), m AS (SELECT p - p % 2 AS p, k, sum(n) AS n FROM n GROUP BY ALL) SELECT p, string_agg(k || '=' || n, ', ' ORDER BY k) AS counts FROM m GROUP BY p")
 def merged_usage(spark, d):
-    e = table(spark, d, "events").where("event_type <> 'view' or user_id % 2 = 0").select((F.col("user_id") % 20).alias("q"), "event_type")
+    e = table(spark, d, "events").select((F.col("user_id") % 20).alias("q"), "event_type")
     h = report.histogram(e, "q", "event_type")
     a, b = h.where("q % 2 = 0").select(F.col("q").alias("p"), F.col("counts").alias("x")), h.where("q % 2 = 1").select((F.col("q") - 1).alias("p"), F.col("counts").alias("y"))
     none = F.create_map().cast("map<string,bigint>")
@@ -636,7 +636,7 @@ def group_cover(spark, d):
 
 @query("WITH g AS (SELECT p_size AS group_id, count(*) AS n, count(DISTINCT lower(p_type)) AS t, count(DISTINCT p_size % 4) AS s, count(DISTINCT p_brand) AS r FROM part WHERE p_partkey % 9 = 0 GROUP BY p_size) SELECT group_id, n > 1 AND t = 1 AND r = 1 AS safe FROM g")
 def semantic_group_safety(spark, d):
-    p = table(spark, d, "part").where("p_partkey % 9 = 0")
+    p = table(spark, d, "part")
     p = p.select(F.col("p_size").alias("group_id"), F.col("p_partkey").alias("place"), F.col("p_type").alias("type"), (F.col("p_size") % 4).alias("severity"), F.col("p_brand").alias("rule_id"), F.lit("").alias("existing_code"), F.col("p_name").alias("description"))
     return rollup.safe_groups(p)
 
