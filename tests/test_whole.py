@@ -1,6 +1,8 @@
 """Queries over small tables of all ids, against brute force."""
 
+import os
 import random
+import re
 
 from tidemark.plans import catalog
 
@@ -77,3 +79,38 @@ def test_merged_usage_of_all_events(spark, tmp_path):
         of[t] = of.get(t, 0) + 1
     got = catalog.QUERIES["merged_usage"](spark, stored(spark, tmp_path, "events", rows, "user_id long, event_type string")).collect()
     assert {r.p: r.counts for r in got} == {p: ", ".join(f"{k}={n}" for k, n in sorted(of.items())) for p, of in counts.items()}
+
+
+FUNCTION = re.compile(r"^[\t ]*(?:[A-Za-z_]\w*[\t ]+|[*][\t ]*)+([A-Za-z_]\w*)[\t ]*\([^;{}]*\)[\t ]*\{", re.MULTILINE)
+
+
+def test_related_files_read_all_texts(spark, tmp_path):
+    prose = " ".join(["word"] * 20_000)
+    texts = {
+        3: f"int helper (int x) {{\n}}\nint * other(void) {{\n}}\n{prose}", 6: "int main(void) {\n helper(1);\n}\n", 603: "see 'd7.py' and \"./D8.txt\"", 9: "void far(void) {\n other(); main(1);\n}\n",
+        1: "open('d3.c')", 4: "helper(1); 'nothing'", 7: "read \"../en/d2\"", 2: "", 8: "it's 'web/en/d5.txt' here", 5: prose, 12: 'include "d3.h"',
+    }
+    rows = [(i, t, "en" if i != 9 else "de", "web") for i, t in texts.items()]
+    files = {}
+    for i, t, lang, source in rows:
+        files.setdefault(f"{source}/{lang}/d{i % 200}" + (".c", ".py", ".txt")[i % 3], []).append(t)
+    files |= {p[:-1] + "h": [""] for p in files if p.endswith(".c")}
+    quoted = {p: {q for t in ts for q in re.findall(r"""["']([^"'\r\n]+)["']""", t)} for p, ts in files.items()}
+    defined = {p: {m for t in ts for m in FUNCTION.findall(t)} if p.endswith(".c") else set() for p, ts in files.items()}
+    called = {p: {m for t in ts for m in re.findall(r"\b([A-Za-z_]\w*)\s*\(", t)} - defined[p] if p.endswith(".c") else set() for p, ts in files.items()}
+
+    def refers(a, b):
+        names = {b, b.rsplit("/", 1)[1], b.rsplit(".", 1)[0]}
+        return any({r, r.removeprefix("../"), os.path.normpath(os.path.join(os.path.dirname(a), r)), r.rsplit("/", 1)[-1]} & names for r in (q.removeprefix("./").lower() for q in quoted[a]))
+
+    want = []
+    for a in files:
+        scores = []
+        for b in set(files) - {a}:
+            (x, e), (y, f) = (p.rsplit("/", 1)[1].split(".") for p in (a, b))
+            of = [100] * (x == y and {e, f} == {"c", "h"}) + [95] * bool(called[a] & defined[b]) + [90] * refers(a, b) + [88] * bool(called[b] & defined[a]) + [85] * refers(b, a)
+            scores += [(-max(of), b)] if of else []
+        want += [(a, b, -s) for s, b in sorted(scores)[:8]]
+    got = catalog.QUERIES["related_files"](spark, stored(spark, tmp_path, "documents", rows, "doc_id long, text string, lang string, source string")).collect()
+    assert sorted((r.path, r.related, r.score) for r in got) == sorted(want)
+    assert {s for _, _, s in want} == {100, 95, 90, 88, 85}

@@ -129,7 +129,8 @@ SCORES = {"companion_source_header": 100, "current_calls_related_symbol": 95, "c
 TEST_PREFIX, TEST_SUFFIX = r"(?i)^(?:test_|spec_)", r"(?i)[._-](?:test|tests|spec)$"
 LOCALE_SUFFIX = r"(?i)[._-][a-z]{2}(?:[_-][A-Z]{2})?$"
 SOURCE_FOLDERS = r"(?i)(^|/)(?:src|source|test|tests|spec|specs)$"
-C_FUNCTION = r"(?m)^[\t ]*(?:[A-Za-z_]\w*[\t ]+|[*][\t ]*)+([A-Za-z_]\w*)[\t ]*\([^;{}]*\)[\t ]*\{"
+#: Possessive, as Java's regex recurses for each word otherwise and overflows its stack on a long line.
+C_FUNCTION = r"(?m)^[\t ]*(?:[A-Za-z_]\w*+[\t ]++(?!\()|[*][\t ]*+)++([A-Za-z_]\w*)[\t ]*\([^;{}]*\)[\t ]*\{"
 QUOTED = r"""["']([^"'\r\n]+)["']"""
 
 
@@ -155,9 +156,10 @@ def _reference_key(source: str, reference: str) -> list[str]:
 
 def related_files(tree: DataFrame, k: int = 8) -> DataFrame:
     """path, related, score (the largest of its reasons) and reasons, the k best per path. Every reason is an equality join on a key
-    of its own (name, test name, locale family, quoted name, called symbol), so files are never paired with all others."""
+    of its own (name, test name, locale family, quoted name, called symbol), so files are never paired with all others. A path may have several texts."""
     t = _name_parts(tree.select("path", "language", F.coalesce("text", F.lit("")).alias("text")))
-    a, b = (t.select(*(F.col(c).alias(f"{c}_{s}") for c in ("path", "base", "stem", "raw_stem", "ext", "family", "test_key", "locale_key", "language"))) for s in "ab")
+    files = _name_parts(tree.select("path", "language").distinct())
+    a, b = (files.select(*(F.col(c).alias(f"{c}_{s}") for c in ("path", "base", "stem", "raw_stem", "ext", "family", "test_key", "locale_key", "language"))) for s in "ab")
     pair = ["path_a", "path_b"]
     found = [
         (a.join(b, (a.stem_a == b.stem_b) & (a.family_a == b.family_b) & (a.ext_a != b.ext_b)), "companion_source_header"),
@@ -167,7 +169,7 @@ def related_files(tree: DataFrame, k: int = 8) -> DataFrame:
     keys = F.udf(_reference_key, "array<string>")
     refs = t.select(F.col("path").alias("from"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(QUOTED), F.lit(1)))).alias("q")).select("from", F.explode(keys("from", "q")).alias("key")).distinct()
     bare = F.when(F.col("ext") != "", F.lower(F.regexp_replace("path", r"\.[^./]+$", ""))).otherwise(F.lower("path"))
-    names = t.select(F.col("path").alias("to"), F.explode(F.array_distinct(F.array(F.lower("path"), F.col("base"), bare))).alias("key")).distinct()
+    names = files.select(F.col("path").alias("to"), F.explode(F.array_distinct(F.array(F.lower("path"), F.col("base"), bare))).alias("key")).distinct()
     linked = refs.join(names, "key").select("from", "to").distinct().where("from <> to")
     found += [(linked.select(F.col("from").alias("path_a"), F.col("to").alias("path_b")), "current_references_related"), (linked.select(F.col("to").alias("path_a"), F.col("from").alias("path_b")), "related_references_current")]
     c = t.where("language = 'C'")

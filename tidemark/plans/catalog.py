@@ -657,9 +657,9 @@ def first_rule(spark, d):
 
 @query("WITH c AS (SELECT DISTINCT path FROM tree WHERE path LIKE '%.c'), f AS (SELECT path FROM c UNION SELECT left(path, length(path) - 1) || 'h' FROM c), n AS (SELECT path, string_split(path, '/')[-1] AS name FROM f) SELECT path, related, 100 AS score FROM (SELECT a.path, b.path AS related, row_number() OVER (PARTITION BY a.path ORDER BY b.path) AS k FROM n a JOIN n b ON left(a.name, length(a.name) - 1) = left(b.name, length(b.name) - 1) AND a.name <> b.name) WHERE k <= 8", "tree")
 def related_files(spark, d):
-    c = role(spark, d, "tree").where("path like '%.c'").select("path").distinct()
-    both = c.union(c.select(F.regexp_replace("path", "c$", "h"))).withColumns({"language": F.lit("General"), "text": F.lit("")})
-    return code.related_files(both).select("path", "related", "score")
+    t = role(spark, d, "tree").select("path", "text")
+    headers = t.where("path like '%.c'").select(F.regexp_replace("path", "c$", "h").alias("path"), F.lit("").alias("text")).distinct()
+    return code.related_files(t.union(headers).withColumn("language", trees.language(F.col("path")))).select("path", "related", "score")
 
 
 # --- rows only: order-dependent or sequence-matching operators, held against worked cases in the tests
