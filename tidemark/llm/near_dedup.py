@@ -12,7 +12,7 @@ of its shingle set. In each of TREES independent trees a node of the tree choose
    the group's largest component is held against all others, in blocks of full shingle sets.
 
 Pairs whose minhashes agree in under SKETCH of K coordinates are passed over (at similarity 0.75 that loses a pair
-with probability under 1e-6); all others are confirmed on the full shingle sets. Nothing but counts comes to the driver.
+with probability 4.6e-6); all others are confirmed on the full shingle sets. Nothing but counts comes to the driver.
 
 Cases: null and empty texts, and those of spaces only, have no shingles and stand alone; rows with equal texts share a
 component; a null id is never the smallest, and a component of null ids has a null id and keeps no row; rows with
