@@ -1,4 +1,4 @@
-"""Tables in the folder that all executors see, and places in an order without a global window."""
+"""Tables in the folder that all executors see, and places and sums in an order without a global window."""
 
 from __future__ import annotations
 
@@ -6,18 +6,21 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see. Only where the session names none (tests), a local one is set."""
+    """The folder that all executors see. Only a local session (tests) may leave it unnamed; a temporary one is set then."""
     set_already = spark.sparkContext._jsc.sc().getCheckpointDir()
     if set_already.isDefined():
         return set_already.get()
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors see")
         named = tempfile.mkdtemp(prefix="tidemark-")
         atexit.register(shutil.rmtree, named, True)
     spark.sparkContext.setCheckpointDir(named)
@@ -27,11 +30,30 @@ def shared_dir(spark: SparkSession) -> str:
 _tables: list[str] = []
 
 
-def clear(spark: SparkSession) -> None:
-    """Delete the tables that `kept` has written so far, once the results that read them are stored."""
-    while _tables:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_tables.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def _delete(spark: SparkSession, at: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def mark() -> int:
+    """How many tables `kept` has written: what `clear` takes to delete only later ones."""
+    return len(_tables)
+
+
+def clear(spark: SparkSession, since: int = 0) -> None:
+    """Delete the tables that `kept` has written (since a mark), once the results that read them are stored."""
+    while len(_tables) > since:
+        _delete(spark, _tables.pop())
+
+
+def alone(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """make()'s result, kept; the tables that were kept on the way to it are deleted."""
+    since = mark()
+    out = kept(make())
+    own = _tables.pop()
+    clear(spark, since)
+    _tables.append(own)
+    return out
 
 
 def kept(df: DataFrame) -> DataFrame:
@@ -52,3 +74,14 @@ def ranked(df: DataFrame, *order: Column, out: str = "rank") -> DataFrame:
     before = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy("_task").count().select("_task", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
     return rows.join(F.broadcast(starts), "_task").withColumn(out, F.col("_start") + F.col("_at")).drop("_task", "_at", "_start")
+
+
+def running(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """df with the sums of all rows before each in this order, as new columns, without bringing the rows into one task."""
+    rows = kept(df.withColumns({f"_of_{k}": c for k, c in sums.items()}).orderBy(*order).withColumns({"_task": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}))
+    earlier = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("_task").agg(*(F.sum(f"_of_{k}").alias(f"_all_{k}") for k in sums))
+    starts = starts.select("_task", *(F.coalesce(F.sum(f"_all_{k}").over(earlier), F.lit(0)).alias(f"_start_{k}") for k in sums))
+    inside = Window.partitionBy("_task").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    out = rows.join(F.broadcast(starts), "_task").withColumns({k: F.col(f"_start_{k}") + F.coalesce(F.sum(f"_of_{k}").over(inside), F.lit(0)) for k in sums})
+    return out.drop("_task", "_at", *(f"_{p}_{k}" for k in sums for p in ("of", "start")))
