@@ -1,4 +1,7 @@
+import random
+
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.helpers import docs, prose
@@ -15,6 +18,66 @@ def test_matches_sql(spark):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def brute(rows):
+    """Texts without the lines that are in a run of GUARANTEE words which an earlier place has, by extending all pairs of equal lines."""
+    texts = [(i, [x.strip() and x for x in t.split("\n")]) for i, t in sorted(rows)]
+    worded = [(d, [(o, x, len(x.split())) for o, x in enumerate(lines) if x]) for d, (_, lines) in enumerate(texts)]
+    gone = {d: set() for d in range(len(texts))}
+    for d, a in worded:
+        for e, b in worded[: d + 1]:
+            for i in range(len(a)):
+                for j in range(len(b) if e < d else i):
+                    if (i and j and a[i - 1][1] == b[j - 1][1]) or a[i][1] != b[j][1]:
+                        continue
+                    n = 0
+                    while i + n < len(a) and j + n < len(b) and a[i + n][1] == b[j + n][1]:
+                        n += 1
+                    if sum(x[2] for x in a[i : i + n]) >= line_dedup.GUARANTEE:
+                        gone[d] |= set(range(i, i + n))
+    out = {}
+    for (d, a), (i, lines) in zip(worded, texts, strict=True):
+        goes = {a[k][0] for k in gone[d]}
+        places = [o for o, _, _ in a]
+        for o, x in enumerate(lines):
+            if not x and any(p < o for p in places) and any(p > o for p in places):
+                goes |= {o} if max(p for p in places if p < o) in goes and min(p for p in places if p > o) in goes else set()
+        out[i] = "\n".join(x for o, x in enumerate(lines) if o not in goes)
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_all_repeated_runs_go(spark, seed):
+    rng = random.Random(seed)
+    words = [1, 2, 3, 7, 10, 12, 20, 30, 45, 60][:: 1 if seed < 3 else -1]
+    pool = [prose(seed * 1000 + k, rng.choice(words)) for k in range(60)]
+    passages = [[rng.choice(pool) for _ in range(rng.randrange(2, 12))] for _ in range(12)]
+    rows = []
+    for i in range(90):
+        lines = []
+        for _ in range(rng.randrange(1, 4)):
+            part = rng.choice(passages)
+            a = rng.randrange(len(part))
+            lines += part[a : rng.randrange(a, len(part)) + 1] + [rng.choice(["", prose(rng.random(), 8)])] * rng.randrange(2)
+        rows.append((i, "\n".join(lines)))
+    rows += [(200, "\n".join([pool[0]] * 80)), (201, "\n\n".join(pool[:30])), (202, "\n".join(pool[:30]))]
+    # A has the middle of a passage that B and C have whole
+    middle = [prose(7000 + seed * 10 + k, 10) for k in range(7)]
+    rows += [(300, "\n".join(middle[2:5])), (301, "\n".join(middle)), (302, prose(8, 9) + "\n" + "\n".join(middle))]
+    # three texts share their first line, two the next one as well
+    rows += [(310, pool[1] + "\n" + prose(11, 30)), (311, "\n".join([pool[1], middle[0], middle[1], pool[2]])), (312, "\n".join([pool[1], middle[0], middle[1], pool[2]]))]
+    want = brute(rows)
+    got = {r.doc_id: r.text for r in line_dedup.line_deduped(docs(spark, rows)).collect()}
+    assert got == want and sum(want[i] != t for i, t in rows) > 20
+
+
+def test_common_keys_are_broadcast(spark, monkeypatch):
+    from tidemark.llm import common
+
+    monkeypatch.setattr(common, "HOT", 3)
+    rows = [(i, prose(1, 60) + "\n" + prose(100 + i, 20)) for i in range(30)] + [(50 + i, prose(200 + i % 4, 70)) for i in range(8)]
+    assert {r.doc_id: r.text for r in line_dedup.line_deduped(docs(spark, rows)).collect()} == brute(rows)
+
+
 def test_runs(spark):
     passage, own = prose(1, 60), [prose(10 + i, 30) for i in range(12)]
     half = [prose(30 + i, 20) for i in range(4)]  # a run of 80 words in four lines

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.shared import clear, kept, ranked, shared_dir  # noqa: F401
+from tidemark.shared import alone, clear, kept, ranked, running, shared_dir  # noqa: F401
 
 #: A word is a run of anything but these six ASCII spaces.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -38,12 +38,6 @@ def fold(doc_id: Column, k: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % k
 
 
-def small_batches(spark: SparkSession, rows: int = 128) -> None:
-    """Arrow batches that stay small, in rows and, where texts are long, in bytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)
-
-
 def labelled_ids(labels: DataFrame, label: str, most: int, rows: Column | None = None, ones: int | None = None) -> DataFrame:
     """At most `most` labelled ids (doc_id, y), the first ones in hash order: a proven bound, safe to broadcast.
 
@@ -57,11 +51,33 @@ def labelled_ids(labels: DataFrame, label: str, most: int, rows: Column | None =
     return ids.where("y = 1").orderBy(*order).limit(ones).unionAll(ids.where("y = 0").orderBy(*order).limit(most - ones))
 
 
-#: A set of ids of at most so many rows is broadcast; a larger one is joined by a shuffle.
-BROADCAST_ROWS = 400_000
+def sample_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id, y and text of a bounded sample of ids (doc_id, y): one row for each id, whatever the number of rows that have it."""
+    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+
+
+#: What is broadcast has at most so many rows and so many bytes, both counted; all else is joined by a shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 400_000, 32 << 20
+
 
+def checked(rows: DataFrame, size: Column | None = None) -> DataFrame:
+    """rows, written out, and marked for broadcast only if they were counted to be few. size: about how many bytes a row takes, if it isn't under 80."""
+    rows = kept(rows)
+    n, total = rows.agg(F.count("*"), F.sum(F.lit(80) if size is None else size)).first()
+    return F.broadcast(rows) if n <= BROADCAST_ROWS and (total or 0) <= BROADCAST_BYTES else rows.hint("merge")
 
-def checked(ids: DataFrame) -> DataFrame:
-    """ids, written out, and marked for broadcast only if they were counted to be few."""
-    ids = kept(ids)
-    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+
+#: A key that more than this share of all rows have is hot: there are at most HOT of them.
+HOT = 1000
+
+
+def joined_by_key(rows: DataFrame, one: DataFrame, key: list[str], times: str) -> DataFrame:
+    """rows joined with `one`, both stored tables: `one` has a row for each key, with the number of rows that have it in `times`.
+
+    A hot key's rows would all come to one task, so hot keys, at most HOT by their definition, are broadcast; the rest are joined by a shuffle.
+    """
+    total = one.agg(F.sum(times)).first()[0] or 0
+    is_hot = F.col(times) > F.lit(total // HOT)
+    hot = one.where(is_hot)
+    cold = rows.join(F.broadcast(hot.select(*key)), key, "left_anti").join(one.where(~is_hot).hint("merge"), key)
+    return rows.join(F.broadcast(hot), key).unionByName(cold)
