@@ -3,15 +3,17 @@
 Words are packed, source by source, into blocks of a fixed length. Every source has a target in words; the slots
 that this takes are dealt to output shards by multinomial draws (each source's draw is split between the two halves
 of the shards, again and again, by binomials whose seed is the half itself, so a count can be drawn anywhere,
-alone, and always comes out the same). A source's j-th slot gets the block at place j of a pseudorandom permutation
-of its block numbers, another one for each pass over the source. Placements and blocks are joined by block number.
-The last slot of a source takes only what its target still lacks.
+alone, and always comes out the same; halves that get nothing are not followed). A source's j-th slot gets the block at
+place j of a pseudorandom permutation of its block numbers, another one for each pass over the source. Placements and
+blocks are joined by block number. The last slot of a source takes only what its target still lacks.
 
-Documents' places in their source come from sums over hashed chunks, so no task holds a source.
+Documents' places in their source come from sums over hashed chunks of about CHUNK_ROWS rows, so no task holds a source;
+placements are made in as many tasks as there are sources and output shards to draw for.
 
 Cases: null or empty texts have size 0 and nothing is taken; a null source is a source of its own, the last one;
-rows with equal id, source and text are packed one by one; an empty table gives an empty result; extra columns
-are left out (`mixed_documents` keeps them, of equal rows those of one).
+rows with equal id, source and text are packed one by one; a very long text spans many blocks, its words are cut out
+one row at a time; an empty table gives an empty result; extra columns, whatever their names, are left out
+(`mixed_documents` keeps them, of equal rows those of one).
 """
 
 from __future__ import annotations
@@ -20,16 +22,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD, fresh, kept, ranked, small_batches, table
+from tidemark.llm.common import WORD, alone, fresh, kept, ranked, running, table
 
-#: Words in a block, slots in an output shard, chunks of a source.
-BLOCK, SHARD_SLOTS, CHUNKS = 256, 4096, 1024
+#: Words in a block, slots in an output shard, rows in a chunk of a source, output shards that are drawn for together.
+BLOCK, SHARD_SLOTS, CHUNK_ROWS, DRAWN = 256, 4096, 4096, 1024
 #: The weights by a source's place, the share of all words, and how often a word may be taken.
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
 SEED = 20261126
+#: Bytes of cut texts that leave a task at once.
+FLUSH = 4 << 20
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -61,19 +66,19 @@ def sized(docs: DataFrame) -> DataFrame:
 
 
 def targets(sizes: DataFrame) -> DataFrame:
-    """source, rank, source_size, weight, target: sources by code point, null last."""
-    s = ranked(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), F.asc_nulls_last("source"))
+    """source, rank, source_size, n_rows, weight, target: sources by code point, null last.
+
+    A source is full if the level, words for each unit of weight, passes its most; sources fill in order of most by weight. What is left over
+    and the weights that share it are sums over all earlier ones, so the level is found in one pass, however many sources there are.
+    """
+    s = ranked(sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows")), F.asc_nulls_last("source"))
     s = kept(s.withColumn("weight", F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("rank") % len(WEIGHTS) + 1).cast("int"))))
     most = MOST * F.col("source_size")
-    want = SHARE * (s.agg(F.sum("source_size")).first()[0] or 0)
-    level, full = 0.0, -1
-    while True:  # each pass fixes at least one more source at its most
-        under = most > F.lit(level) * F.col("weight")
-        n, filled, weights = s.agg(F.count_if(~under), F.sum(F.when(~under, most)), F.sum(F.when(under, F.col("weight")))).first()
-        if n == full or not weights:
-            break
-        level, full = (want - (filled or 0)) / weights, n
-    return s.withColumn("target", F.least(most.cast("double"), F.lit(level) * F.col("weight")))
+    total, weights = s.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
+    order = running(s.withColumn("fills", most / F.col("weight")), [F.col("fills"), F.col("rank")], {"before": most, "shared": F.col("weight")})
+    order = order.withColumn("level", (F.lit(SHARE * total) - F.col("before")) / (F.lit(weights) - F.col("shared")))
+    level = order.where("level <= fills").agg(F.min_by("level", F.struct("fills", "rank"))).first()[0]
+    return s.withColumn("target", F.least(most.cast("double"), F.lit(float("inf") if level is None else level) * F.col("weight")))
 
 
 def plan(sources: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -85,20 +90,24 @@ def plan(sources: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def _dealt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """How many of a source's slots a shard gets, and which is the first."""
+    """Of a node of the tree of halves (path: its turns from the root, a bit each, depth many): the shards that get slots of a source, how many, and which is the first."""
     for b in batches:
-        counts, starts = np.zeros(len(b), np.int64), np.zeros(len(b), np.int64)
-        for row, (rank, slots, shards, shard) in enumerate(zip(b["rank"], b["slots"], b["shards"], b["shard"], strict=True)):
-            low, high, n, start = 0, shards, slots, 0
-            while high - low > 1 and n:
+        out = []
+        for rank, slots, shards, depth, path in zip(b["rank"], b["slots"], b["shards"], b["depth"], b["path"], strict=True):
+            todo = [(0, shards, slots, 0, 0)]
+            while todo:
+                low, high, n, start, at = todo.pop()
+                if not n:
+                    continue
+                if high - low == 1:
+                    if at >= depth or not path >> at:  # a node above the depth is dealt by the leftmost path below it alone
+                        out.append((rank, low, n, start))
+                    continue
                 mid = (low + high) // 2
                 left = int(np.random.default_rng((SEED, rank, low, high)).binomial(n, (mid - low) / (high - low)))
-                if shard < mid:
-                    high, n = mid, left
-                else:
-                    low, n, start = mid, n - left, start + left
-            counts[row], starts[row] = n, start
-        yield b[["rank", "shard"]].assign(n=counts, start=starts)
+                halves = [(low, mid, left, start, at + 1), (mid, high, n - left, start + left, at + 1)]
+                todo += halves if at >= depth else [halves[path >> at & 1]]
+        yield pd.DataFrame(out, columns=["rank", "shard", "n", "start"]).astype({"rank": "int64", "shard": "int64", "n": "int64", "start": "int64"})
 
 
 def _placed(block: int):
@@ -119,21 +128,21 @@ def _placed(block: int):
 
 def placements(p: DataFrame, block: int = BLOCK) -> DataFrame:
     """rank, shard, j (the source's slot), block (the number that it gets) and take (words from the block's start)."""
-    small_batches(p.sparkSession, 10_000)
     slots = p.agg(F.sum("slots")).first()[0] or 0
     shards = max(1, -(-slots // SHARD_SLOTS))
-    pairs = p.where("slots > 0").select("rank", "slots", F.lit(shards).alias("shards"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    dealt = pairs.mapInPandas(_dealt, "rank long, shard int, n long, start long").where("n > 0")
+    depth = max(0, (-(-shards // DRAWN) - 1).bit_length())
+    nodes = p.where("slots > 0").select("rank", "slots", F.lit(shards).alias("shards"), F.lit(depth).alias("depth"), F.explode(F.sequence(F.lit(0), F.lit((1 << depth) - 1))).alias("path"))
+    dealt = nodes.repartition("rank", "path").mapInPandas(_dealt, "rank long, shard long, n long, start long").repartition("rank", "shard")
     each = dealt.select("rank", "shard", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("j"))
     each = each.join(p.select("rank", "blocks", "passes", "rest", "source_size"), "rank")
-    return each.mapInPandas(_placed(block), "rank long, shard int, j long, block long, take long")
+    return each.mapInPandas(_placed(block), "rank long, shard long, j long, block long, take long")
 
 
 def packed(sizes: DataFrame, sources: DataFrame) -> DataFrame:
     """sizes with rank and `at`, the document's first word in its source's stream; documents without words are left out."""
-    s = sources.select(F.col("source").alias("of"), "rank")
+    s = sources.select(F.col("source").alias("of"), "rank", F.ceil(F.col("n_rows") / CHUNK_ROWS).alias("chunks"))
     d = sizes.where("size > 0").join(s, F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    d = d.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(CHUNKS)).cast("int"))
+    d = d.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text_key"), F.col("chunks"))).drop("chunks")
     chunks = d.groupBy("rank", "chunk").agg(F.sum("size").alias("n"))
     before = Window.partitionBy("rank").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     chunks = chunks.select("rank", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("from"))
@@ -146,7 +155,7 @@ def spans(docs: DataFrame, placed: DataFrame, block: int = BLOCK) -> DataFrame:
     """The parts of documents that the mix takes: docs' columns, shard, j, first word and number of words."""
     first, last = F.floor(F.col("at") / block), F.floor((F.col("at") + F.col("size") - 1) / block)
     parts = docs.withColumn("block", F.explode(F.sequence(first, last)))
-    both = parts.join(placed, ["rank", "block"])
+    both = parts.join(placed.hint("merge"), ["rank", "block"])  # placements grow with the corpus: never a broadcast
     start = F.greatest("at", F.col("block") * block)
     end = F.least(F.col("at") + F.col("size"), F.col("block") * block + F.col("take"))
     return both.withColumn("first", start - F.col("at")).withColumn("n", end - start).where("n > 0").drop("take")
@@ -155,7 +164,7 @@ def spans(docs: DataFrame, placed: DataFrame, block: int = BLOCK) -> DataFrame:
 def mixed(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Sizes of all documents, sources with their targets, and the spans that the mix takes."""
     sizes = kept(sized(docs))
-    sources = kept(plan(targets(sizes), block))
+    sources = alone(docs.sparkSession, lambda: plan(targets(sizes), block))
     return sizes, sources, spans(packed(sizes, sources), placements(sources, block), block)
 
 
@@ -176,25 +185,38 @@ def _cut(columns: list[str], lists: str):
 
     word = re.compile(WORD)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def copies(text: str, spans: list[dict]) -> Iterator[str]:
+        """The text that each pass takes of a document."""
+        found = [m.span() for m in word.finditer(text)]
+        by_pass: dict[tuple, list] = {}
+        for s in spans:
+            by_pass.setdefault((s["at"], s["turn"]), []).append((s["first"], s["n"]))
+        for _, parts in sorted(by_pass.items()):
+            runs: list[list[int]] = []
+            for first, n in sorted(parts):
+                if runs and runs[-1][1] == first:
+                    runs[-1][1] += n
+                else:
+                    runs.append([first, first + n])
+            yield text if runs == [[0, len(found)]] else "\n".join(text[found[i][0] : found[k - 1][1]] for i, k in runs)
+
+    def rows(b: pa.RecordBatch, texts: list[str], of: list[int]) -> pa.RecordBatch:
+        take = pa.array(of, pa.int64())
+        made = {"text": lambda: pa.array(texts, pa.string()), "n_chars": lambda: pa.array([len(t) for t in texts], pa.int64()).cast(b.schema.field("n_chars").type)}
+        return pa.RecordBatch.from_arrays([made[c]() if c in made else b.column(c).take(take) for c in columns], columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for row in b.to_dict("records"):
-                found = [m.span() for m in word.finditer(row["text"])]
-                copies: dict[tuple, list] = {}
-                for s in row[lists]:
-                    copies.setdefault((s["at"], s["turn"]), []).append((s["first"], s["n"]))
-                for _, parts in sorted(copies.items()):
-                    runs: list[list[int]] = []
-                    for first, n in sorted(parts):
-                        if runs and runs[-1][1] == first:
-                            runs[-1][1] += n
-                        else:
-                            runs.append([first, first + n])
-                    whole = runs == [[0, len(found)]]
-                    text = row["text"] if whole else "\n".join(row["text"][found[i][0] : found[k - 1][1]] for i, k in runs)
-                    rows.append({c: row[c] for c in columns} | {"text": text} | ({"n_chars": len(text)} if "n_chars" in columns else {}))
-            yield pd.DataFrame(rows, columns=columns).astype({c: object for c in columns})
+            texts, of, size = [], [], 0
+            for i in range(len(b)):
+                for t in copies(b.column("text")[i].as_py(), b.column(lists)[i].as_py()):
+                    texts.append(t)
+                    of.append(i)
+                    size += len(t)
+                if size > FLUSH:
+                    yield rows(b, texts, of)
+                    texts, of, size = [], [], 0
+            yield rows(b, texts, of)
 
     return run
 
@@ -206,8 +228,7 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     got = got.join(n, "rank").withColumn("turn", F.floor(F.col("j") / F.col("blocks")))
     per = got.groupBy(F.hash("doc_id").alias(kd), F.col("text_key").alias(kt), F.xxhash64("source", "doc_id").alias(ks)).agg(F.collect_list(F.struct("at", "turn", "first", "n")).alias(lists))
     keyed = docs.withColumns({kd: F.hash("doc_id"), kt: F.xxhash64("text"), ks: F.xxhash64("source", "doc_id")}).dropDuplicates([kd, kt, ks])
-    small_batches(docs.sparkSession, 128)
-    return keyed.join(per, [kd, kt, ks]).drop(kd, kt, ks).mapInPandas(_cut(docs.columns, lists), docs.schema)
+    return keyed.join(per, [kd, kt, ks]).drop(kd, kt, ks).mapInArrow(_cut(docs.columns, lists), docs.schema)
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
