@@ -1,14 +1,17 @@
-"""Operator 4: byte-level BPE encoding and decoding by DuckDB's recursive queries, one database per partition.
+"""Operator 4: byte-level BPE encoding and decoding by DuckDB's recursive queries, one database per Python worker.
 
-The pattern cuts texts into pieces. Pieces that the partition hasn't met yet become token-position rows, one for
+The pattern cuts texts into pieces. Pieces that the worker hasn't met yet become token-position rows, one for
 each byte; a recursive query joins neighbouring rows with the merge table and contracts every piece's leftmost pair
-of minimum rank, until no pair is left. Decoding is an ordered aggregation of the tokens' bytes by position.
+of minimum rank, until no pair is left. Pieces of over LONG bytes contract all their pairs of minimum rank in one pass,
+from the left, none overlapping: that is the same, as a new pair always has a higher rank than the one it came from, the
+vocabulary being one in which every token encodes to itself. Decoding is an ordered aggregation of the tokens' bytes.
 
-Texts are taken in slices of a bounded number of bytes and the table of known pieces is emptied when it has grown
-past a bound, so memory doesn't follow the partition's size. Nothing is shuffled and nothing is written locally.
+Texts are taken in slices of a bounded number of bytes, and longer ones in parts of a bounded number of pieces that are
+digested one after another; the table of known pieces is emptied when it has grown past a bound. So memory follows
+neither the partition's size nor a text's. Nothing is shuffled and nothing is written locally.
 
-Cases: a null text is an empty one; both have no tokens; an empty table gives an empty result; repeated rows are
-encoded one by one; extra columns are left out.
+Cases: a null text is an empty one; both have no tokens; a null id stays null; an empty table gives an empty result; repeated
+rows are encoded one by one; a text of any length is encoded whole; extra columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -18,22 +21,23 @@ from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
 from heapq import heapify, heappop, heappush
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm.common import small_batches, table
+from tidemark.llm.common import table
 from tidemark.llm.shingles import chunks
 
-#: Bytes of text worked on at once, and known pieces kept.
-SLICE, KNOWN = 3 << 20, 1_000_000
+#: Bytes of text worked on at once, pieces of a longer text worked on at once, and known pieces kept.
+SLICE, PART, KNOWN = 3 << 20, 400_000, 300_000
 ENCODED = "doc_id long, n_tokens long, ids binary, decoded binary"
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
-#: A longer piece would need as many passes as it has bytes; it is merged by the same rule with a heap.
-LONG = 64
+#: Bytes of a piece: a longer one contracts many pairs in a pass; one beyond LONGEST would still take minutes (300,000 random
+#: letters: 160 s, and its rows 400 MB) and is merged by the same rule with a heap.
+LONG, LONGEST = 64, 16_384
 
 #: A row is a token at a position: k holds the piece's number above 16 bits of position, and positions stay dense.
 #: Every pass keeps the rows of pieces that had a pair to merge in the last one; a piece leaves when it has none.
@@ -54,6 +58,24 @@ WITH RECURSIVE step(k, tok, live) AS (
 SELECT k >> 16 AS piece, list(tok ORDER BY k) AS ids FROM step WHERE NOT live GROUP BY 1
 """
 
+#: Long pieces: every token knows the position of the next one; a pass returns the changed rows alone, contracted ones as -1.
+#: In a run of overlapping pairs every second one is taken, from the left. A piece without a pair left isn't looked at again.
+ENCODE_LONG = """
+WITH RECURSIVE step(k, tok, next) USING KEY (k) AS (
+    SELECT k, tok, lead(k) OVER (PARTITION BY k >> 16 ORDER BY k) FROM bytes_of
+  UNION
+    SELECT * FROM (
+    WITH live AS (SELECT k, tok, next FROM recurring.step WHERE tok >= 0 AND k >> 16 IN (SELECT k >> 16 FROM step)),
+    pairs AS (SELECT a.k, a.next, b.next AS after, merged, min(merged) OVER (PARTITION BY a.k >> 16) AS low
+        FROM live a JOIN live b ON b.k = a.next JOIN merges ON merges.pair = (a.tok::BIGINT << 32) | b.tok),
+    least AS (SELECT *, CASE WHEN lag(next) OVER (ORDER BY k) = k THEN 0 ELSE 1 END AS head FROM pairs WHERE merged = low),
+    runs AS (SELECT *, sum(head) OVER (ORDER BY k) AS run FROM least),
+    taken AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY k) AS place FROM runs) WHERE place % 2 = 1)
+    SELECT k, merged, after FROM taken UNION ALL SELECT next, -1, NULL FROM taken)
+)
+SELECT k >> 16 AS piece, list(tok ORDER BY k) AS ids FROM step WHERE tok >= 0 GROUP BY 1
+"""
+
 #: A token's bytes are written as the characters with these numbers (0 as 256), so that any bytes make a string.
 DECODE = "SELECT doc, string_agg(chars, '' ORDER BY pos) FROM tokens JOIN vocabulary USING (tok) GROUP BY doc"
 
@@ -93,28 +115,43 @@ class Codec:
         self.ids, self.starts = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def learn(self, pieces: list[str]) -> None:
-        """Ids of pieces that aren't known: whole tokens as they are, the others by the recursive query."""
+        """Ids of pieces that aren't known: whole tokens as they are, the others by the recursive queries."""
         raw = [p.encode("utf-8", "surrogatepass") for p in pieces]
         ids = [[self.ranks[r]] if r in self.ranks else None for r in raw]
-        todo = []
+        short, long = [], []
         for i, r in enumerate(raw):
-            if ids[i] is None and len(r) > LONG:
+            if ids[i] is None and len(r) > LONGEST:
                 ids[i] = self.merged(r)
             elif ids[i] is None:
-                todo.append(i)
-        if todo:
-            size = np.array([len(raw[i]) for i in todo])
-            data = np.frombuffer(b"".join(raw[i] for i in todo), np.uint8)
-            pos = np.arange(len(data)) - np.repeat(np.cumsum(size) - size, size)
-            self.db.register("bytes_of", pa.table({"k": pa.array(np.repeat(np.arange(len(todo)), size) << 16 | pos), "tok": pa.array(self.byte[data])}))
-            for i, found in self.db.execute(ENCODE).fetchall():
-                ids[todo[i]] = found
-            self.db.unregister("bytes_of")
+                (long if len(r) > LONG else short).append(i)
+        for i, found in self.contracted(ENCODE, [raw[i] for i in short]):
+            ids[short[i]] = found
+        while long:  # as many as have LONGEST bytes together, or one
+            n, size = 0, 0
+            while n < len(long) and (not n or size + len(raw[long[n]]) <= LONGEST):
+                size += len(raw[long[n]])
+                n += 1
+            for i, found in self.contracted(ENCODE_LONG, [raw[i] for i in long[:n]]):
+                ids[long[i]] = found
+            long = long[n:]
         first = len(self.known)
         self.known.update(zip(pieces, range(first, first + len(pieces)), strict=True))
         self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(ids), np.int32)])
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum([len(x) for x in ids])])
 
+    def contracted(self, query: str, raw: list[bytes]) -> list[tuple[int, list[int]]]:
+        """Number and ids of each piece, by a recursive query over its bytes."""
+        if not raw:
+            return []
+        size = np.array([len(r) for r in raw])
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        pos = np.arange(len(data)) - np.repeat(np.cumsum(size) - size, size)
+        self.db.register("bytes_of", pa.table({"k": pa.array(np.repeat(np.arange(len(raw)), size) << 16 | pos), "tok": pa.array(self.byte[data])}))
+        try:
+            return self.db.execute(query).fetchall()
+        finally:
+            self.db.unregister("bytes_of")
+
     def merged(self, raw: bytes) -> list[int]:
         """The same contraction for one long piece: the leftmost pair of minimum rank comes off a heap."""
         tok, n = [bytes([x]) for x in raw], len(raw)
@@ -134,9 +171,17 @@ class Codec:
                     heappush(heap, (r, a))
         return [self.ranks[t] for t in tok if t]
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts, one after another, and how many each has."""
-        found = [self.pattern.findall(t) for t in texts]
+    def parts(self, texts: list[str]) -> Iterator[tuple[int, list[list[str]]]]:
+        """The pieces of texts: the first text's number and the pieces of each from there on; a long text alone, a part at a time."""
+        if len(texts) > 1 or len(texts[0]) <= SLICE:
+            yield 0, [self.pattern.findall(t) for t in texts]
+            return
+        found = (m[0] for m in self.pattern.finditer(texts[0]))
+        while part := list(islice(found, PART)):
+            yield 0, [part]
+
+    def encode(self, found: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts' pieces, one after another, and how many each text has."""
         pieces = list(chain.from_iterable(found))
         if len(self.known) > KNOWN:
             self.forget()
@@ -167,20 +212,49 @@ def codec_of(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
+class _Digest:
+    """Takes bytes in parts; holds their digest alone."""
+
+    def __init__(self):
+        self.of = sha256()
+
+    def add(self, part: bytes) -> None:
+        self.of.update(part)
+
+    def value(self) -> str:
+        return self.of.hexdigest()
+
+
+class _Whole:
+    """Takes bytes in parts; holds them all."""
+
+    def __init__(self):
+        self.parts: list[bytes] = []
+
+    def add(self, part: bytes) -> None:
+        self.parts.append(part)
+
+    def value(self) -> bytes:
+        return b"".join(self.parts)
+
+
 def _run(path: str, pattern: str, digest: bool):
+    kind, arrow = (_Digest, pa.string()) if digest else (_Whole, pa.binary())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             codec = codec_of(path, pattern)
             for first, last, _, _ in chunks(b.column("text"), SLICE):
-                ids, counts = codec.encode([t or "" for t in b.column("text")[first:last].to_pylist()])
-                back = codec.decode(ids, counts)
-                ends = np.cumsum(counts)
-                raw = [ids[e - n : e].astype("<u4").tobytes() for e, n in zip(ends, counts, strict=True)]
-                rows = [b.column("doc_id")[first:last].cast(pa.int64()), pa.array(counts, pa.int64())]
-                if digest:
-                    rows += [pa.array([sha256(x).hexdigest() for x in raw]), pa.array([sha256(x).hexdigest() for x in back])]
-                else:
-                    rows += [pa.array(raw, pa.binary()), pa.array(back, pa.binary())]
+                texts = [t or "" for t in b.column("text")[first:last].to_pylist()]
+                n, raw, back = np.zeros(len(texts), np.int64), [kind() for _ in texts], [kind() for _ in texts]
+                for at, found in codec.parts(texts):
+                    ids, counts = codec.encode(found)
+                    ends, decoded, as_bytes = np.cumsum(counts), codec.decode(ids, counts), ids.astype("<u4")
+                    for k, (e, c) in enumerate(zip(ends, counts, strict=True)):
+                        n[at + k] += c
+                        raw[at + k].add(as_bytes[e - c : e].tobytes())
+                        back[at + k].add(decoded[k])
+                rows = [b.column("doc_id")[first:last].cast(pa.int64()), pa.array(n), pa.array([x.value() for x in raw], arrow), pa.array([x.value() for x in back], arrow)]
                 yield pa.RecordBatch.from_arrays(rows, names=[c.split()[0] for c in (DIGESTS if digest else ENCODED).split(", ")])
 
     return run
@@ -188,7 +262,6 @@ def _run(path: str, pattern: str, digest: bool):
 
 def encoded(docs: DataFrame, path: str, pattern: str, digest: bool = False) -> DataFrame:
     """One row per document: ids as little-endian unsigned 32-bit integers and the bytes that they decode to, or the digests of both."""
-    small_batches(docs.sparkSession, 1024)
     return docs.select("doc_id", "text").mapInArrow(_run(path, pattern, digest), DIGESTS if digest else ENCODED)
 
 
