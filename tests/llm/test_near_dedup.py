@@ -4,7 +4,7 @@ from collections import defaultdict
 
 import pytest
 
-from tidemark.llm import near_dedup
+from tidemark.llm import common, near_dedup
 
 SCHEMA = "doc_id long, text string, n_shingles string, comp string"
 
@@ -65,10 +65,12 @@ def test_components_match_brute_force(spark):
     assert result(rows_of(spark, rows)) == brute(rows)
 
 
-@pytest.mark.parametrize("small", [4, 12])
-def test_dense_groups_are_compared_in_blocks(spark, monkeypatch, small):
+@pytest.mark.parametrize(("small", "size"), [(4, 1 << 20), (12, 1 << 20), (4, 12_000)])
+def test_dense_groups_are_compared_in_blocks(spark, monkeypatch, small, size):
     monkeypatch.setattr(near_dedup, "SMALL", small)
     monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    monkeypatch.setattr(near_dedup, "BLOCK_BYTES", size)
+    monkeypatch.setattr(common, "HOT", 20)
     rows = corpus(2, 160, 40)
     assert result(rows_of(spark, rows)) == brute(rows)
 
@@ -86,3 +88,8 @@ def test_odd_rows(spark):
 
 def test_empty_table(spark):
     assert near_dedup.near_duplicates(rows_of(spark, [])).collect() == []
+
+
+def test_given_documents_match_brute_force(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    assert result(df) == brute([tuple(r) for r in df.collect()])

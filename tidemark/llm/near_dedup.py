@@ -7,16 +7,21 @@ of its shingle set. In each of TREES independent trees a node of the tree choose
 1. At the first level each class is held against the smallest class of its node, which is one comparison for each
    class and node, however large a group of copies is. What links goes into components.
 2. Nodes that still hold several components are compared exhaustively if they are small; the large ones branch
-      again. A node whose classes are in one component already is done: no link between texts is lost by that, as it
+   again. A node whose classes are in one component already is done: no link between texts is lost by that, as it
    could not change a component. What is still large at the deepest level is a dense group: there every class outside
-   the group's largest component is held against all others, in blocks of full shingle sets.
+   the group's largest component is held against all others, in blocks of full shingle sets that are bounded in classes and bytes.
 
 Pairs whose minhashes agree in under SKETCH of K coordinates are passed over (at similarity 0.75 that loses a pair
-with probability 4.6e-6); all others are confirmed on the full shingle sets. Nothing but counts comes to the driver.
+with probability 4e-8); all others are confirmed on the full shingle sets. A pair of similarity 0.75 is in one node of some tree
+at each level but with a probability under 1e-6 (a million pairs drawn, none missed). Nothing but counts comes to the driver.
+
+A node's rows meet the node's own figures, never each other, and nodes that very many classes share get them by a
+broadcast, so a large group of copies doesn't come to one task.
 
 Cases: null and empty texts, and those of spaces only, have no shingles and stand alone; rows with equal texts share a
 component; a null id is never the smallest, and a component of null ids has a null id and keeps no row; rows with
-equal ids and texts are kept or dropped together; an empty table gives an empty result; extra columns pass through.
+equal ids and texts are kept or dropped together; a very long text is one set, made from its bytes in one pass; an empty table
+gives an empty result; extra columns pass through.
 """
 
 from __future__ import annotations
@@ -29,20 +34,21 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checked, fresh, kept, small_batches, table
+from tidemark.llm.common import alone, checked, fresh, joined_by_key, kept, table
 from tidemark.llm.shingles import chunks, mix, shingle_hashes, word_hashes
 
 #: Coordinates of the sketch, independent trees, largest node that is compared exhaustively, deepest level.
-K, TREES, SMALL, DEEPEST = 64, 12, 32, 3
-#: Classes in a block of a dense group.
-BLOCK = 512
+K, TREES, SMALL, DEEPEST = 64, 20, 64, 3
+#: Classes in a block of a dense group, and bytes of their texts.
+BLOCK, BLOCK_BYTES = 512, 4 << 20
 #: Similarity in hundredths, and the number of equal coordinates under which a pair is not confirmed.
-SIMILAR, SKETCH = 75, 32
+SIMILAR, SKETCH = 75, 28
 
 _rng = np.random.default_rng(75)
 _A, _B = _rng.integers(1, 2**63, K, dtype=np.uint64) | np.uint64(1), _rng.integers(0, 2**63, K, dtype=np.uint64)
 
-SKETCHED = "doc_id long, text_key long, key binary, n_shingles long, sketch binary"
+SKETCHED = "doc_id long, text_key long, key binary, n_shingles long, n_bytes long, sketch binary"
+NODE = ["tree", "path"]
 
 
 def _distinct(h: np.ndarray, per: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -77,13 +83,12 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ends, rows = np.cumsum(counts), iter(sketch)
             keys = [blake2b(words[e - n : e].tobytes(), digest_size=16).digest() if n else None for e, n in zip(ends, counts, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id")[first:last].cast(pa.int64()), b.column("text_key")[first:last], pa.array(keys, pa.binary()), pa.array(per, pa.int64()), pa.array([next(rows).tobytes() if x else None for x in full], pa.binary())],
-                ["doc_id", "text_key", "key", "n_shingles", "sketch"],
+                [b.column("doc_id")[first:last].cast(pa.int64()), b.column("text_key")[first:last], pa.array(keys, pa.binary()), pa.array(per, pa.int64()), pa.array(np.diff(bounds), pa.int64()), pa.array([next(rows).tobytes() if x else None for x in full], pa.binary())],
+                ["doc_id", "text_key", "key", "n_shingles", "n_bytes", "sketch"],
             )
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    small_batches(docs.sparkSession, 512)
     return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(_sketch, SKETCHED)
 
 
@@ -190,7 +195,6 @@ def _texts(need: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
 def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose texts are linked."""
     t = _texts(pairs.select(F.col("a").alias("key")).unionAll(pairs.select(F.col("b").alias("key"))).distinct(), classes, docs)
-    small_batches(pairs.sparkSession, 64)
     with_a = pairs.join(t.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a")
     return kept(with_a.join(t.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb").mapInArrow(_confirm, "a binary, b binary"))
 
@@ -200,22 +204,20 @@ def _labelled(rows: DataFrame, comps: DataFrame) -> DataFrame:
 
 
 def links(classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Enough links (a, b) between classes (key, sketch, row) of docs to make the components."""
-    small_batches(classes.sparkSession, 1024)
-    nodes = classes.select("key", "sketch").mapInArrow(_grow, "tree int, path long, key binary")
-    stars = nodes.groupBy("tree", "path").agg(F.min("key").alias("low"), F.count("*").alias("n")).where("n > 1").drop("n")
-    nodes = kept(nodes.join(stars, ["tree", "path"]))
+    """Enough links (a, b) between classes (key, sketch, n_bytes, row) of docs to make the components."""
+    nodes = kept(classes.select("key", "sketch").mapInArrow(_grow, "tree int, path long, key binary"))
+    stars = kept(nodes.groupBy(*NODE).agg(F.min("key").alias("low"), F.count("*").alias("n")).where("n > 1"))
+    nodes = kept(joined_by_key(nodes, stars, NODE, "n").drop("n"))
     s = classes.select("key", "sketch")
     pairs = nodes.where("key > low").select(F.col("low").alias("a"), F.col("key").alias("b")).distinct()
     pairs = pairs.join(s.select(F.col("key").alias("a"), F.col("sketch").alias("sa")), "a").join(s.select(F.col("key").alias("b"), F.col("sketch").alias("sb")), "b")
     found = _confirmed(kept(pairs.select("a", "b", "sa", "sb").mapInArrow(_close, "a binary, b binary")), classes, docs)
-    rows = _labelled(nodes.drop("low"), components(found))
+    rows = kept(_labelled(nodes.drop("low"), components(found)))
     for level in range(1, DEEPEST + 1):
-        size = rows.groupBy("tree", "path").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").drop("lo", "hi")
-        rows = rows.join(size, ["tree", "path"])
+        size = rows.groupBy(*NODE).agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").drop("lo", "hi")
+        rows = joined_by_key(rows, kept(size), NODE, "n")
         rows = kept(rows.join(s, "key") if level == 1 else rows)
-        inner = rows.where(F.col("n") <= SMALL).groupBy("tree", "path").agg(*(F.collect_list(c).alias(c + ("es" if c == "sketch" else "s")) for c in ("key", "comp", "sketch")))
-        small_batches(classes.sparkSession, 1024)
+        inner = rows.where(F.col("n") <= SMALL).groupBy(*NODE).agg(*(F.collect_list(c).alias(c + ("es" if c == "sketch" else "s")) for c in ("key", "comp", "sketch")))
         pairs = kept(inner.select("keys", "comps", "sketches").mapInArrow(_within, "a binary, b binary").distinct())
         more = _confirmed(pairs, classes, docs)
         found = found.unionAll(more)
@@ -225,9 +227,7 @@ def links(classes: DataFrame, docs: DataFrame) -> DataFrame:
         if level == 1:
             large = _labelled(large, components(found))
         if level < DEEPEST:
-            small_batches(classes.sparkSession, 1024)
-            rows = large.select("tree", "path", "key", "comp", "sketch").mapInArrow(_branch, "tree int, path long, key binary, comp binary, sketch binary")
-            rows = kept(rows)
+            rows = kept(large.select(*NODE, "key", "comp", "sketch").mapInArrow(_branch, "tree int, path long, key binary, comp binary, sketch binary"))
     return found.unionAll(_dense(large, classes, docs))
 
 
@@ -271,36 +271,37 @@ def _in_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _dense(large: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """Links in nodes that stay large. The largest component's classes meet only the others; a unit holds two blocks at most."""
-    node = ["tree", "path"]
-    counts = large.groupBy(*node, "comp").agg(F.count("*").alias("c"))
-    core = counts.groupBy(*node).agg(F.max_by("comp", F.struct("c", "comp")).alias("core"), F.max("c").alias("c"), F.sum("c").alias("n"))
-    core = core.select(*node, "core", F.ceil(F.col("c") / BLOCK).cast("int").alias("of_core"), F.ceil((F.col("n") - F.col("c")) / BLOCK).cast("int").alias("of_rest"))
-    rows = large.select(*node, "key", "comp").join(core, node)
+    large = kept(large.select(*NODE, "key", "comp").join(classes.select("key", "n_bytes"), "key"))
+    counts = large.groupBy(*NODE, "comp").agg(F.count("*").alias("c"), F.sum("n_bytes").alias("b"))
+    core = counts.groupBy(*NODE).agg(F.max_by(F.struct("comp", "b"), F.struct("c", "comp")).alias("core"), F.max("c").alias("c"), F.sum("c").alias("n"), F.sum("b").alias("b"))
+    blocks = lambda n, b: F.greatest(F.ceil(n / BLOCK), F.ceil(b / BLOCK_BYTES)).cast("int")
+    of_rest = blocks(F.col("n") - F.col("c"), F.col("b") - F.col("core.b"))
+    core = core.select(*NODE, "n", F.col("core.comp").alias("core"), blocks(F.col("c"), F.col("core.b")).alias("of_core"), of_rest.alias("of_rest"))
+    rows = joined_by_key(large, kept(core), NODE, "n").drop("n", "n_bytes")
     inner = F.col("comp") == F.col("core")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("key", "path"), F.when(inner, F.col("of_core")).otherwise(F.col("of_rest"))).cast("int"))
     b = F.col("block")
     against_rest = F.transform(F.sequence(F.lit(0), F.col("of_rest") - 1), lambda x: F.when(inner, F.struct(x.alias("i"), b.alias("j"), F.lit(1).alias("k"))).otherwise(F.struct(F.least(x, b).alias("i"), F.greatest(x, b).alias("j"), F.lit(0).alias("k"))))
     against_core = F.transform(F.sequence(F.lit(0), F.col("of_core") - 1), lambda x: F.struct(b.alias("i"), x.alias("j"), F.lit(1).alias("k")))
     texts = _texts(large.select("key").distinct(), classes, docs)
-    units = rows.join(texts, "key").select(*node, F.explode(F.when(inner, against_rest).otherwise(F.concat(against_rest, against_core))).alias("unit"), "key", "comp", "text")
-    lists = units.groupBy(*node, "unit").agg(*(F.collect_list(c).alias(c + "s") for c in ("key", "comp", "text")))
-    small_batches(classes.sparkSession, 1)
-    found = kept(lists.select("keys", "comps", "texts").mapInArrow(_in_block, "a binary, b binary").distinct())
-    small_batches(classes.sparkSession, 1024)
-    return found
+    units = rows.join(texts, "key").select(*NODE, F.explode(F.when(inner, against_rest).otherwise(F.concat(against_rest, against_core))).alias("unit"), "key", "comp", "text")
+    lists = units.groupBy(*NODE, "unit").agg(*(F.collect_list(c).alias(c + "s") for c in ("key", "comp", "text")))
+    return kept(lists.select("keys", "comps", "texts").mapInArrow(_in_block, "a binary, b binary").distinct())
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, key (the words' hash), n_shingles, component_id and kept, a row for each row of docs."""
+    spark = docs.sparkSession
     rows = kept(sketched(docs))
-    full = rows.where("key is not null")
     row = F.min(F.struct(_row_id("doc_id").alias("id"), "text_key")).alias("row")
-    classes = kept(full.groupBy("key").agg(F.min("doc_id").alias("low"), row, F.first("sketch").alias("sketch")))
-    comps = components(links(classes, docs))
-    named = classes.select("key", "low").join(comps, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-    lowest = named.groupBy("comp").agg(F.min("low").alias("component_id"))
-    named = named.join(lowest, "comp").select("key", "component_id")
-    out = rows.select("doc_id", "text_key", "key", "n_shingles").join(named, "key", "left")
+
+    def named() -> DataFrame:
+        classes = kept(rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("low"), row, F.max("n_bytes").alias("n_bytes"), F.first("sketch").alias("sketch")))
+        comps = components(links(classes, docs))
+        out = classes.select("key", "low").join(comps, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+        return out.join(out.groupBy("comp").agg(F.min("low").alias("component_id")), "comp").select("key", "component_id")
+
+    out = rows.select("doc_id", "text_key", "key", "n_shingles").join(alone(spark, named), "key", "left")
     out = out.withColumn("component_id", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
@@ -308,7 +309,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs that near_duplicates keeps, with docs' own columns."""
     i, t = fresh(docs, "gone_id"), fresh(docs, "gone_text")
-    gone = checked(near_duplicates(docs).where("not kept").select(_row_id("doc_id").alias(i), F.col("text_key").alias(t)).distinct())
+    gone = alone(docs.sparkSession, lambda: near_duplicates(docs).where("not kept").select(_row_id("doc_id").alias(i), F.col("text_key").alias(t)).distinct())
+    gone = checked(gone)
     return docs.join(gone, (_row_id("doc_id") == F.col(i)) & (F.xxhash64("text") == F.col(t)), "left_anti")
 
 
