@@ -1,17 +1,18 @@
 """Operator 6: toxicity by a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
-A step of the network is a word; its input is a word embedding beside the mean embedding of the word's character
-n-grams. Words and n-grams that few of the sample's texts have share one embedding that stays 0, so a word that was
-never seen says nothing by itself and only its n-grams speak. Two GRUs read a window of words in either direction, attention
+A step of the network is a word (of a long run of letters, as in writing without spaces, a part of STEP bytes that overlaps
+the next); its input is a word embedding beside the summed embeddings of the character n-grams at all of its places, so
+every letter enters a score; punctuation doesn't. Words and n-grams that few of the sample's texts have share one embedding
+that stays 0, so a word that was never seen says nothing by itself and only its n-grams speak. Two GRUs read a window of words in either direction, attention
 pools their states, and a logistic unit scores the window. All overlapping windows of a text are scored; the text's
 score is the calibrated maximum.
 
 Labels mark texts, not windows, so training goes in rounds: first every window carries its text's label, then a toxic
 text's windows count as toxic only if they stand out, and as clean if they don't. Fitted on a bounded sample of labelled rows
-outside the held-out fold, with a fixed seed: reruns agree.
+outside the held-out fold, one row for each id, with a fixed seed: reruns agree.
 
-Cases: null and empty texts have one empty window and are scored; rows with equal texts have equal scores; an empty
-table gives an empty result; without labels of both kinds every score is 0; extra columns are left out; ids, languages,
+Cases: null and empty texts have one empty window and are scored; rows with equal texts have equal scores; all windows of a very
+long text are scored, 4096 at a time; an empty table gives an empty result; without labels of both kinds every score is 0; extra columns are left out; ids, languages,
 sources and labels are no inputs of a score.
 """
 
@@ -24,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fold, labelled_ids, small_batches, table
+from tidemark.llm.common import fold, labelled_ids, sample_texts, table
 from tidemark.llm.shingles import _BASE, _BYTE, _INVERSE, _powers, chunks, mix
 
-#: The model is fitted on at most so many labelled rows, a third of them toxic if there are as many; texts with more
-#: characters than this, few as they are, are no part of the sample, so its size is bounded. Scores are of whole texts.
-SAMPLE_ROWS, SAMPLE_CHARS = 4500, 50_000
+#: The model is fitted on at most so many labelled rows, a third of them toxic if there are as many. Of a text of more characters
+#: than this, so many parts at even distances, as many characters together, are in the sample, which bounds its size. Scores are of whole texts.
+SAMPLE_ROWS, SAMPLE_CHARS, SAMPLE_PARTS = 4500, 50_000, 20
 FOLDS, HELD_OUT = 5, 0
 #: Words in a window, and from one window's start to the next.
 WINDOW, STRIDE = 32, 16
@@ -37,15 +38,18 @@ DW, DC, H, HA = 8, 8, 8, 8
 ROUNDS, BATCH, RATE, DECAY, SEED = 4, 1024, 0.02, 0.5, 6
 #: Texts of the sample that must have a word, or an n-gram, before it gets an embedding of its own.
 LEAST_TEXTS, LEAST_GRAM_TEXTS = 5, 10
-#: Character n-grams of a word: where they start and how long they are, from the front, and lengths from the back.
-FRONT, BACK = ((0, 3), (0, 4), (0, 5), (1, 3), (2, 3), (3, 3)), (3, 4)
+#: Bytes of a word, and how many a part of a longer one shares with the next.
+STEP, SHARED = 16, 3
+#: Character n-grams of a word: lengths at its front, at its back, and at all places between; and what their sum is divided by.
+FRONT, BACK, INSIDE, SHRINK = (3, 4, 5), (3, 4), (3, 4), 8
+GRAMS = len(FRONT) + len(BACK) + sum(STEP - n for n in INSIDE)
 
 _LETTER = np.zeros(256, bool)
 _LETTER[48:58] = _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
 
 
 def word_features(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct words' hashes (words x 1 + n-grams), each word's number among them, and how many words each text has."""
+    """Distinct words' hashes (words x 1 + n-grams; 0 for none), each word's number among them, and how many words each text has."""
     n = len(data)
     inside = _LETTER[data]
     first, last = inside.copy(), inside.copy()
@@ -55,21 +59,33 @@ def word_features(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.
     first[bounds[:-1][full]] = inside[bounds[:-1][full]]
     last[bounds[1:][full] - 1] = inside[bounds[1:][full] - 1]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    parts = np.maximum(1, -(-(end - start - SHARED) // (STEP - SHARED)))
+    turn = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
+    start = np.repeat(start, parts) + turn * (STEP - SHARED)
+    end = np.minimum(start + STEP, np.repeat(end, parts))
     counts = np.diff(np.searchsorted(start, bounds))
     if not len(start):
-        return np.zeros((0, 1 + len(FRONT) + len(BACK)), np.uint64), np.zeros(0, np.int64), counts
+        return np.zeros((0, 1 + GRAMS), np.uint64), np.zeros(0, np.int64), counts
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE[data] * _powers(_BASE, n), out=sums[1:])
     back = _powers(_INVERSE, n + 1)
     hashed = lambda a, b, tag: mix((sums[b] - sums[a]) * back[a] + np.uint64(tag))
     whole, at, number = np.unique(hashed(start, end, 0), return_index=True, return_inverse=True)
     s, e = start[at], end[at]
-    grams = []
-    for k, (skip, size) in enumerate(FRONT):
-        a = np.minimum(s + skip, e)
-        grams.append(hashed(a, np.minimum(a + size, e), 1 + k))
-    grams += [hashed(np.maximum(e - size, s), e, 101 + size) for size in BACK]
-    return np.stack([whole, *grams], 1), number, counts
+    out = np.zeros((len(whole), 1 + GRAMS), np.uint64)
+    out[:, 0], column = whole, 1
+    for size in FRONT:
+        out[:, column] = hashed(s, np.minimum(s + size, e), size)
+        column += 1
+    for size in BACK:
+        out[:, column] = hashed(np.maximum(e - size, s), e, 100 + size)
+        column += 1
+    for size in INSIDE:
+        for skip in range(1, STEP - size + 1):
+            there = np.flatnonzero(s + skip + size <= e)
+            out[there, column] = hashed(s[there] + skip, s[there] + skip + size, 200 + size)
+            column += 1
+    return out, number, counts
 
 
 def rows_of(hashes: np.ndarray, known: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -87,7 +103,7 @@ def common(hashes: np.ndarray, text: np.ndarray, number: np.ndarray, columns: ra
     for c in columns:
         h, code = np.unique(hashes[:, c], return_inverse=True)
         pairs = np.unique(text * len(h) + code[number])
-        found.append(h[np.bincount(pairs % len(h), minlength=len(h)) >= least])
+        found.append(h[(np.bincount(pairs % len(h), minlength=len(h)) >= least) & (h != 0)])
     return np.unique(np.concatenate(found))
 
 
@@ -126,7 +142,7 @@ class Network:
         x[:-1, :DW] = self.p["words"][buckets[:, 0]]
         for k in range(1, buckets.shape[1]):
             x[:-1, DW:] += self.p["grams"][buckets[:, k]]
-        x[:-1, DW:] /= buckets.shape[1] - 1
+        x[:-1, DW:] /= SHRINK
         return x
 
     def forward(self, x: np.ndarray, idx: np.ndarray, keep: list | None = None) -> np.ndarray:
@@ -198,7 +214,7 @@ class Network:
         b, per_word = buckets[used], per_word[used]
         words, grams = len(self.p["words"]), len(self.p["grams"])
         g["words"] = np.stack([np.bincount(b[:, 0], per_word[:, k], words) for k in range(DW)], 1).astype(np.float32)
-        many = np.repeat(per_word[:, DW:], b.shape[1] - 1, 0) / (b.shape[1] - 1)
+        many = np.repeat(per_word[:, DW:], b.shape[1] - 1, 0) / SHRINK
         g["grams"] = np.stack([np.bincount(b[:, 1:].ravel(), many[:, k], grams) for k in range(DC)], 1).astype(np.float32)
         g["words"][-1] = g["grams"][-1] = 0
         return g
@@ -282,8 +298,11 @@ def _score(model: tuple):
 def fit(docs: DataFrame, labels: DataFrame) -> tuple | None:
     rows = fold(F.col("doc_id"), FOLDS) != HELD_OUT
     share = labels.where(rows & F.col("toxic").isin(0, 1)).agg(F.avg("toxic")).first()[0]
-    ids = F.broadcast(labelled_ids(labels, "toxic", SAMPLE_ROWS, rows, ones=SAMPLE_ROWS // 3))
-    got = sorted((r.doc_id, r.y, r.text or "") for r in docs.select("doc_id", "text").where(F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_CHARS).join(ids, "doc_id").collect())
+    ids = labelled_ids(labels, "toxic", SAMPLE_ROWS, rows, ones=SAMPLE_ROWS // 3)
+    part = SAMPLE_CHARS // SAMPLE_PARTS
+    parts = F.transform(F.sequence(F.lit(0), F.lit(SAMPLE_PARTS - 1)), lambda i: F.substring("text", (i * (F.length("text") - part) / (SAMPLE_PARTS - 1)).cast("int") + 1, F.lit(part)))
+    text = F.when(F.length("text") <= SAMPLE_CHARS, F.col("text")).otherwise(F.array_join(parts, "\n"))
+    got = sorted((r.doc_id, r.y, r.text or "") for r in sample_texts(docs, ids).select("doc_id", "y", text.alias("text")).collect())
     if len({y for _, y, _ in got}) < 2:
         return None
     return learn([t for _, _, t in got], np.array([y for _, y, _ in got]), share)
@@ -295,7 +314,6 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     if model is None:
         out = docs.select("doc_id", F.lit(0.0).alias("score"))
     else:
-        small_batches(docs.sparkSession, 512)
         out = docs.select("doc_id", "text").mapInArrow(_score(model), "doc_id long, score double")
     held = F.coalesce(fold(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
