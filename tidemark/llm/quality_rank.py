@@ -8,9 +8,10 @@ that is returned is the logistic of strength minus threshold.
 A feature is a clipped, standardised statistic of the text or the square of one; no id, label, language or source
 is among them. The statistics are built-in expressions; only the sample's feature rows come to the driver.
 
-Cases: a null text counts as an empty one and is scored; rows with equal texts have equal scores; an empty table
-gives an empty result; without labels of both kinds every score is 0.5; extra columns are left out; labels of null
-ids or other values than 0 and 1 take no part.
+Cases: a null text counts as an empty one and is scored; rows with equal texts have equal scores; a very long text is
+counted whole; an id that several rows have is one row of the sample; an empty table gives an empty result; without labels of
+both kinds every score is 0.5; extra columns, whatever their names, are left out; labels of null ids or other values than 0 and
+1 take no part.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fold, kept, labelled_ids, table
+from tidemark.llm.common import fold, kept, labelled_ids, sample_texts, table
 from tidemark.llm.text_stats import FEATURES, features, with_stats
 
 #: The model is fitted on at most so many labelled rows, and so many pairs of them.
@@ -69,8 +70,7 @@ def learn(x: np.ndarray, y: np.ndarray) -> Ranker:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Ranker | None:
-    ids = F.broadcast(labelled_ids(labels, "quality", SAMPLE_ROWS, fold(F.col("doc_id"), FOLDS) != HELD_OUT))
-    rows = with_stats(docs.select("doc_id", "text").join(ids, "doc_id"), "text", "s")
+    rows = with_stats(sample_texts(docs, labelled_ids(labels, "quality", SAMPLE_ROWS, fold(F.col("doc_id"), FOLDS) != HELD_OUT)), "text", "s")
     got = sorted(tuple(r) for r in rows.select("y", *(c.alias(k) for k, c in features("s").items())).collect())
     if len({r[0] for r in got}) < 2:
         return None

@@ -4,8 +4,11 @@ Sequential covering: one conjunction of thresholds after another is grown on two
 sample and pruned on the rest; the list becomes an ordered Spark CASE expression. Nothing but built-in
 expressions runs on the executors; only the sample's feature rows come to the driver.
 
-Cases: a null or empty text has no words and fails the base rule; repeated rows are judged alike; an empty table
-gives an empty result; without labels of both kinds the list is empty and keeps what the base rule keeps;
+Rules are learned from labelled rows that pass the base rule, as it alone judges the others; one row for each id.
+
+Cases: a null or empty text has no words and fails the base rule; repeated rows are judged alike; a very long text is
+counted whole, its windows sorted only if one repeats; an empty table gives an empty result; without labels of both
+kinds the list is empty and keeps what the base rule keeps;
 extra columns, whatever their names, pass through `quality_filter` untouched.
 """
 
@@ -17,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fresh, labelled_ids, table
+from tidemark.llm.common import fresh, labelled_ids, sample_texts, table
 from tidemark.llm.text_stats import FEATURES, features, with_stats
 
 #: The classifier is fitted on at most so many labelled rows.
@@ -103,8 +106,7 @@ def learn(x: np.ndarray, y: np.ndarray, seed: int = 7) -> list[Rule]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> list[Rule]:
-    ids = F.broadcast(labelled_ids(labels, "quality", most))
-    rows = with_stats(docs.select("doc_id", "text").join(ids, "doc_id"), "text", "s")
+    rows = with_stats(sample_texts(docs, labelled_ids(labels, "quality", most)), "text", "s").where(~base_failed("s"))
     got = sorted(tuple(r) for r in rows.select("y", *(c.alias(k) for k, c in features("s").items())).collect())
     if len({r[0] for r in got}) < 2:
         return []

@@ -1,4 +1,8 @@
-"""Statistics of a text as built-in Spark expressions: no Python runs on the executors."""
+"""Statistics of a text as built-in Spark expressions: no Python runs on the executors.
+
+Cases: a null text counts as an empty one, for which all counts are 0; a text of fewer words than a window has no windows; a very
+long text is counted whole, in one row; columns of other names are left alone, so the output's name must be new.
+"""
 
 from __future__ import annotations
 
