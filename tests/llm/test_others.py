@@ -49,8 +49,8 @@ def exact(rows, k, query):
 
 @pytest.mark.parametrize("spread", [0.1, 1.0])
 def test_neighbours_against_brute_force(spark, monkeypatch, spread):
-    monkeypatch.setattr(neighbours, "SHARD", 500)
-    monkeypatch.setattr(neighbours, "QUERIES", 64)
+    monkeypatch.setattr(neighbours, "SHARD", 200)
+    monkeypatch.setattr(neighbours, "QUERIES", 16)
     rng = np.random.default_rng(1)
     centres = rng.standard_normal((10, 24))
     rows = [(i, (centres[i % 10] + spread * rng.standard_normal(24)).tolist()) for i in range(1500)]
@@ -69,6 +69,29 @@ def test_neighbours_against_brute_force(spark, monkeypatch, spread):
     assert few.count() == 2 and neighbours.neighbours(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_recall_on_the_given_embeddings(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "SHARD", 512)
+    path = "/root/testdata/sf0.1"
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{path}/embeddings.parquet").collect() if r.embedding]
+    want = exact(rows, 20, 20)
+    got = defaultdict(list)
+    for r in neighbours.op2_neighbours(spark, path).collect():
+        got[r.query_id].append(r.vec_id)
+    assert set(got) == set(want)
+    assert np.mean([len(set(got[q]) & {i for i, _ in want[q]}) / 20 for q in want]) >= 0.95
+
+
+def test_clustered_vectors_are_not_all_verified():
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((64, 32))
+    x = np.repeat(centres, 64, 0) + 0.1 * rng.standard_normal((4096, 32))
+    shard = neighbours.Shard(x, np.arange(4096), float(np.linalg.norm(x, axis=1).max()))
+    best, _ = shard.search(x[::100], 20, np.full(41, -np.inf))
+    exact_best = np.argsort(-(x[::100] @ x.T), axis=1)[:, :20]
+    assert np.mean([len(set(a) & set(b)) / 20 for a, b in zip(best, exact_best, strict=True)]) > 0.9
+    assert shard.verified < 0.5 * 41 * 4096
+
+
 def test_warc_matches_sql_and_files(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW pages AS SELECT * FROM '{SF}/pages.parquet'")
