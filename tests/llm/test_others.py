@@ -1,5 +1,7 @@
 """Sharding, neighbours, WARC."""
 
+import json
+import zlib
 from collections import defaultdict
 
 import duckdb
@@ -28,6 +30,32 @@ def test_shards_are_even_and_gapless(spark):
     assert sharding.sharded(docs(spark, [])).count() == 0
 
 
+def test_shards_of_given_documents(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = sharding.op8_sharding(spark, SF).collect()
+    assert {(r.doc_id, r.size, r.text_crc32, r.law, r.grown_shard) for r in got} == {(i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode()), "bytes", None) for i, t in texts.items()}
+    load, places = [0] * 40, [[] for _ in range(40)]
+    for r in got:
+        load[r.shard] += r.size
+        places[r.shard].append(r.slot)
+    assert all(sorted(p) == list(range(len(p))) for p in places)
+    # a shard passes the mean by its last slot at most
+    assert max(load) <= sum(load) / 40 + max(sum(r.size for r in got if r.virtual_slot == v) for v in {r.virtual_slot for r in got})
+
+
+def test_versions_of_the_map(spark, tmp_path):
+    path, rows = str(tmp_path / "map"), [(i, prose(i, 5 + i % 40)) for i in range(400)] + [(1000, prose(5, 30_000))]
+    df = docs(spark, rows).withColumns({"slot": F.lit(1), "shard": F.lit("x"), "size": F.lit(2), "at": F.lit(3)})
+    first = {r.doc_id: r.shard for r in sharding.sharded(df, 8, path).collect()}
+    assert sharding.versions(spark, path) == [1]
+    second = {r.doc_id: r.shard for r in sharding.sharded(df.where("doc_id % 10 <> 0"), 9, path).collect()}
+    assert sharding.versions(spark, path) == [1, 2] and set(second.values()) == set(range(9))
+    assert sum(second[i] != first[i] for i in second) < 0.3 * len(second)
+    old, new = ({r.slot: r.shard for r in sharding.load_map(spark, path, v).collect()} for v in (1, 2))
+    assert len(old) == sharding.SLOTS and old != new and new == {r.slot: r.shard for r in sharding.load_map(spark, path).collect()}
+    assert first[1000] not in {first[i] for i in first if i != 1000} or sum(first[i] == first[1000] for i in first) < 60
+
+
 def test_rebalancing_edits_the_map():
     rng = np.random.default_rng(4)
     weight = {s: (int(b), 1) for s, b in enumerate(rng.integers(1, 1000, sharding.SLOTS))}
@@ -113,8 +141,16 @@ def test_warc_text(spark):
     out = warc.derivatives(warc.responses(pages)).collect()
     of = {(r.page_id, r.record_type): r for r in out}
     assert of[1, "conversion"].block == "x y\ncafé <b> &lt; &amp;\ntwo words\n1\n2\nl &unknown; &#0;"
-    assert '"title":"A & B","links":["/l?a=1&b=2"]' in of[1, "metadata"].block
+    about = json.loads(of[1, "metadata"].block)
+    assert (about["title"], about["links"], about["http_status"], about["http_headers"]) == ("A & B", ["/l?a=1&b=2"], 200, {"Content-Type": "text/html; charset=utf-8"})
     assert len(out) == 10 and of[2, "conversion"].block == "" and of[3, "conversion"].block == ("word " * 30_000).strip()
     assert of[1, "metadata"].refers_to == of[1, "conversion"].refers_to and of[1, "metadata"].record_id != of[1, "conversion"].record_id
     assert of[None, "conversion"].source_digest == "sha1:3I42H3S6NNFQ2MSVX7XZKYAYSCX5QBYJ"
     assert warc.derivatives(warc.responses(pages.limit(0))).count() == 0
+
+
+def test_a_url_cannot_forge_headers(spark):
+    pages = spark.createDataFrame([(1, "http://a/\r\nWARC-Type: response\n\nx", "<p>x")], "page_id long, url string, html string")
+    for r in warc.derivatives(warc.responses(pages)).select(warc.as_warc().alias("w")).collect():
+        head, _, _ = r.w.partition("\r\n\r\n")
+        assert [line.split(": ")[0] for line in head.split("\r\n")].count("WARC-Type") == 1 and "http://a/%0D%0AWARC-Type: response%0A%0Ax" in head

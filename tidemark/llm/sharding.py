@@ -2,30 +2,33 @@
 
 Records are hashed into thousands of fixed slots; bytes are summed per slot; a versioned slot-to-shard map, stored
 as a table, says where each slot lives. The map is made by giving each slot, largest first, to the lightest
-shard, and is edited, never remade, when shards are rebalanced. The map has one row per slot, a bound that doesn't
-grow with the data, so it may come to the driver and be broadcast.
+shard, and is edited, never remade, when shards are rebalanced: each edit is stored beside the earlier ones as the next
+version, which is never overwritten. The map has one row per slot, a bound that doesn't grow with the data, so it may come to
+the driver and be broadcast.
 
 Law of the query: `bytes` (shards nearly equal in bytes). A record's place in its shard is its slot's offset there
 plus its rank inside the slot, so no task ever holds a shard.
 
 Cases: a null text has no bytes and checksum 0; a null id hashes like any value; rows with equal id and text share a
-slot and get places of their own; an empty table gives an empty result; extra columns are left out.
+slot and get places of their own; a very long text is one record, whose bytes are counted; an empty table gives an empty result;
+extra columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
 
 import heapq
 import json
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import kept, table
+from tidemark.llm.common import kept, shared_dir, table
 
 SLOTS, SHARDS = 8192, 40
 #: What a record takes besides its text.
 OVERHEAD = 16
-MAP = "version int, slot int, shard int, bytes long, n_rows long, at long"
+MAP = "slot int, shard int, bytes long, n_rows long, at long"
 
 
 def slot_of(*key: Column) -> Column:
@@ -82,28 +85,62 @@ def rebalanced(old: dict[int, int], weight: dict[int, tuple[int, int]], shards:
     return out
 
 
-def map_table(spark: SparkSession, shard_of: dict[int, int], weight: dict[int, tuple[int, int]], version: int = 1) -> DataFrame:
-    """The map as a stored table; `at` is where a slot's first row stands in its shard."""
-    at, rows = {}, []
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """The versions that are stored under a path, in order."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in fs.listStatus(at)] if fs.exists(at) else []
+    return sorted(int(n.removeprefix("version=")) for n in names if n.startswith("version="))
+
+
+def store_map(spark: SparkSession, path: str, shard_of: dict[int, int], weight: dict[int, tuple[int, int]]) -> int:
+    """Store a map as the next version, and return its number; `at` is where a slot's first row stands in its shard.
+
+    Of two writers of one version the second fails.
+    """
+    version, at, rows = max(versions(spark, path), default=0) + 1, {}, []
     for slot in sorted(shard_of):
         b, n = weight.get(slot, (0, 0))
-        rows.append([version, slot, shard_of[slot], b, n, at.get(shard_of[slot], 0)])
+        rows.append([slot, shard_of[slot], b, n, at.get(shard_of[slot], 0)])
         at[shard_of[slot]] = at.get(shard_of[slot], 0) + n
     names = [c.split()[0] for c in MAP.split(", ")]
     as_json = json.dumps([dict(zip(names, r, strict=True)) for r in rows])
-    return kept(spark.range(1).select(F.explode(F.from_json(F.lit(as_json), f"array<struct<{MAP.replace(' ', ':').replace(',:', ', ')}>>")).alias("m")).select("m.*"))
+    made = spark.range(1).select(F.explode(F.from_json(F.lit(as_json), f"array<struct<{MAP.replace(' ', ':').replace(',:', ', ')}>>")).alias("m")).select("m.*")
+    made.coalesce(1).write.mode("errorifexists").parquet(f"{path}/version={version}")
+    return version
 
 
-def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """doc_id, size, text_crc32, virtual_slot, shard and slot, the place in the shard, without gaps from 0."""
-    rows = kept(sized(docs))
+def load_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """A version of the map, the latest one if none is named."""
+    return spark.read.schema(MAP).parquet(f"{path}/version={max(versions(spark, path)) if version is None else version}")
+
+
+def rebalance(spark: SparkSession, path: str, rows: DataFrame, shards: int) -> int:
+    """Edit the latest version for the records as they are now (sized) and so many shards; the number of the new version."""
     weight = slot_bytes(rows)
-    plan = F.broadcast(map_table(docs.sparkSession, new_map(weight, shards), weight).select(F.col("slot").alias("virtual_slot"), "shard", "at"))
+    old = {r.slot: r.shard for r in load_map(spark, path).collect()}
+    return store_map(spark, path, rebalanced(old, weight, shards), weight)
+
+
+def placed(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """Records (sized) with shard and slot, the place in the shard, without gaps from 0, by a version of the map that was made for them."""
+    plan = F.broadcast(plan.select(F.col("slot").alias("virtual_slot"), "shard", "at"))
     in_slot = Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size")
     ranked = rows.withColumn("n_before", F.row_number().over(in_slot) - 1)
     return ranked.join(plan, "virtual_slot").withColumn("slot", F.col("at") + F.col("n_before")).drop("at", "n_before")
 
 
+def sharded(docs: DataFrame, shards: int = SHARDS, path: str | None = None) -> DataFrame:
+    """doc_id, size, text_crc32, virtual_slot, shard and slot. path: where the map's versions are; a folder of its own if none is named."""
+    spark = docs.sparkSession
+    path = path or f"{shared_dir(spark)}/{uuid.uuid4().hex}-map"
+    rows = kept(sized(docs))
+    if versions(spark, path):
+        return placed(rows, load_map(spark, path, rebalance(spark, path, rows, shards)))
+    weight = slot_bytes(rows)
+    return placed(rows, load_map(spark, path, store_map(spark, path, new_map(weight, shards), weight)))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharded(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")

@@ -1,13 +1,14 @@
-"""Operator 7: WARC derivatives. Each response becomes a metadata record (title, links, sizes, as JSON) and a plain-text
-conversion record, linked to it.
+"""Operator 7: WARC derivatives. Each response becomes a metadata record (title, links, sizes, the source's HTTP status and
+headers, as JSON) and a plain-text conversion record, linked to it.
 
 A derived record names the response in WARC-Refers-To, keeps its target, date and payload digest, and has an id made
 from its own type and the response's id, so reruns give the same records. Everything is a projection in built-in
 expressions: no shuffle, and a page never meets another one.
 
 Cases: a null page is an empty response; a null URL leaves the target out; equal rows give equal records; unclosed
-comments, scripts and styles reach to the end; unknown entities stay as they are; an empty table gives an empty
-result; extra columns are left out.
+comments, scripts and styles reach to the end; unknown entities stay as they are; line ends in a URL are
+percent-encoded, so they can't end a header; a very long page is one record; an empty table gives an empty result; extra columns,
+whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -77,21 +78,25 @@ def derivatives(found: DataFrame) -> DataFrame:
             "links": F.transform(F.regexp_extract_all("html", F.lit(LINK), F.lit(1)), unescaped),
         }
     )
-    meta = F.to_json(F.struct("title", F.col("links"), F.octet_length("html").alias("html_bytes"), F.octet_length("text").alias("text_bytes")))
+    head = F.split(F.substring_index("block", "\r\n\r\n", 1), "\r\n")
+    headers = F.map_from_entries(F.transform(F.slice(head, 2, F.size(head)), lambda x: F.struct(F.substring_index(x, ":", 1), F.trim(F.substring(x, F.locate(":", x) + 1, F.length(x))))))
+    status = F.regexp_extract(head[0], r"^HTTP/\S+ (\d+)", 1).try_cast("int")
+    meta = F.to_json(F.struct("title", F.col("links"), F.octet_length("html").alias("html_bytes"), F.octet_length("text").alias("text_bytes"), status.alias("http_status"), headers.alias("http_headers")))
     each = F.explode(F.array(F.struct(F.lit("metadata").alias("record_type"), F.lit("application/json").alias("content_type"), meta.alias("block")), F.struct(F.lit("conversion").alias("record_type"), F.lit("text/plain").alias("content_type"), F.col("text").alias("block"))))
     df = df.select("page_id", F.col("record_id").alias("refers_to"), "target_uri", "warc_date", F.col("payload_digest").alias("source_digest"), each.alias("r")).select("*", "r.*").drop("r")
     return df.withColumns({"record_id": record_id(F.col("record_type"), F.col("refers_to")), "content_length": F.octet_length("block").cast("long"), "block_digest": sha1_base32(F.encode("block", "UTF-8"))})
 
 
-def as_warc(records: DataFrame) -> Column:
+def as_warc() -> Column:
     """A derived record in the file format, without the two line ends that follow it."""
-    head = {"WARC-Type": "record_type", "WARC-Record-ID": "record_id", "WARC-Refers-To": "refers_to", "WARC-Target-URI": "target_uri", "WARC-Date": "warc_date", "WARC-Source-Payload-Digest": "source_digest", "WARC-Block-Digest": "block_digest", "Content-Type": "content_type", "Content-Length": "content_length"}
-    return F.concat(F.lit("WARC/1.1\r\n"), F.concat_ws("\r\n", *(F.concat(F.lit(f"{k}: "), F.col(c).cast("string")) for k, c in head.items())), F.lit("\r\n\r\n"), F.col("block"))
+    head = {"WARC-Type": "record_type", "WARC-Record-ID": "record_id", "WARC-Refers-To": "refers_to", "WARC-Refers-To-Target-URI": "target_uri", "WARC-Refers-To-Date": "warc_date", "WARC-Target-URI": "target_uri", "WARC-Date": "warc_date", "WARC-Source-Payload-Digest": "source_digest", "WARC-Block-Digest": "block_digest", "Content-Type": "content_type", "Content-Length": "content_length"}
+    value = lambda c: F.replace(F.replace(F.col(c).cast("string"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+    return F.concat(F.lit("WARC/1.1\r\n"), F.concat_ws("\r\n", *(F.concat(F.lit(f"{k}: "), value(c)) for k, c in head.items())), F.lit("\r\n\r\n"), F.col("block"))
 
 
 def write_warc(records: DataFrame, path: str) -> None:
     """Compressed WARC files, one for each task: the text writer, with WARC's end of record as its line end."""
-    records.select(as_warc(records).alias("value")).write.option("compression", "gzip").option("lineSep", "\r\n\r\n").text(path)
+    records.select(as_warc().alias("value")).write.option("compression", "gzip").option("lineSep", "\r\n\r\n").text(path)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
@@ -144,7 +149,7 @@ t AS (SELECT *, {_sql_text('html')} AS text,
     trim(regexp_replace({_sql_unescaped(f"coalesce(regexp_extract(html, {_quoted(TITLE)}, 1), '')")}, '[\t\n\x0B\f\r ]+', ' ', 'g'), ' ') AS title,
     list_transform(regexp_extract_all(html, {_quoted(LINK)}, 1), lambda u: {_sql_unescaped('u')}) AS links FROM r),
 b AS (SELECT *, 'metadata' AS record_type, 'application/json' AS content_type,
-    to_json({{'title': title, 'links': links, 'html_bytes': strlen(html), 'text_bytes': strlen(text)}})::VARCHAR AS block FROM t
+    to_json({{'title': title, 'links': links, 'html_bytes': strlen(html), 'text_bytes': strlen(text), 'http_status': 200, 'http_headers': {{'Content-Type': 'text/html; charset=utf-8'}}}})::VARCHAR AS block FROM t
   UNION ALL SELECT *, 'conversion', 'text/plain', text FROM t)
 SELECT page_id, refers_to, target_uri, '{DATE}' AS warc_date, source_digest, record_type, content_type, block,
     {_sql_id("concat_ws('|', record_type, refers_to)")} AS record_id, strlen(block)::BIGINT AS content_length, {_sql_digest('block')} AS block_digest
