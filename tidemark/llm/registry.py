@@ -5,7 +5,7 @@ from __future__ import annotations
 from tidemark.llm.bpe import op4_byte_bpe
 from tidemark.llm.line_dedup import OP1_SQL, op1_line_dedup
 from tidemark.llm.mixing import op3_mixing
-from tidemark.llm.near_dedup import op5_near_dedup
+from tidemark.llm.near_dedup import OP5_SQL, op5_near_dedup
 from tidemark.llm.neighbours import op2_neighbours
 from tidemark.llm.quality_rank import op10_quality_rank
 from tidemark.llm.quality_rules import op9_quality_rules
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_quality_rank": op10_quality_rank,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op7_warc": OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op5_near_dedup": OP5_SQL, "op7_warc": OP7_SQL}
