@@ -19,8 +19,8 @@ A node's rows meet the node's own figures, never each other, and nodes that very
 broadcast, so a large group of copies doesn't come to one task.
 
 Cases: null and empty texts, and those of spaces only, have no shingles and stand alone; rows with equal texts share a
-component; a null id is never the smallest, and a component of null ids has a null id and keeps no row; rows with
-equal ids and texts are kept or dropped together; a very long text is one set, made from its bytes in one pass; an empty table
+component; a null id is never the smallest, and a component of null ids has a null id and keeps no row, but goes whole
+through `one_of_each`, which has no id to choose by; rows with equal ids and texts are kept or dropped together; a very long text is one set, made from its bytes in one pass; an empty table
 gives an empty result; extra columns pass through.
 """
 
@@ -307,9 +307,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs that near_duplicates keeps, with docs' own columns."""
+    """The rows of docs that near_duplicates keeps, and those of components without any id, with docs' own columns."""
     i, t = fresh(docs, "gone_id"), fresh(docs, "gone_text")
-    gone = alone(docs.sparkSession, lambda: near_duplicates(docs).where("not kept").select(_row_id("doc_id").alias(i), F.col("text_key").alias(t)).distinct())
+    gone = alone(docs.sparkSession, lambda: near_duplicates(docs).where("not kept and component_id is not null").select(_row_id("doc_id").alias(i), F.col("text_key").alias(t)).distinct())
     gone = checked(gone)
     return docs.join(gone, (_row_id("doc_id") == F.col(i)) & (F.xxhash64("text") == F.col(t)), "left_anti")
 
