@@ -52,7 +52,7 @@ def test_dashboard(spark):
 
 
 def test_feedback_report_and_blank_author(spark):
-    rows = [("t", "auth.c", "dahai", 5, "agree", None), ("t", "auth.c", "dahai", 5, None, None), ("t", "auth.c", "dahai", 4, "reject", None), ("t", "auth.c", "dahai", 5, None, "FILTERED")]
+    rows = [("t", "auth.c", "mallow", 5, "agree", None), ("t", "auth.c", "mallow", 5, None, None), ("t", "auth.c", "mallow", 4, "reject", None), ("t", "auth.c", "mallow", 5, None, "FILTERED")]
     i = spark.createDataFrame(rows, "task_id string, file_name string, file_author string, " + ISSUE)
     got = one(feedback.counted(i))
     assert (got["severe_count"], got["severe_feedback_count"], got["severe_feedback_rate"], got["severe_agree_rate"], got["issue_count"], got["feedback_rate"]) == (2, 1, 50.0, 100.0, 3, 66.7)
@@ -62,7 +62,7 @@ def test_feedback_report_and_blank_author(spark):
     assert one(feedback.by_author(blank, blank))["issue_count"] == 2
 
 
-LOG = [("project-a", "release-1", "master", "dahai", 5, "agree", 0), ("project-a", "release-1", "master", "dahai", 5, "reject", 1), ("project-b", "release-2", "0_version", "xiaoming", 3, "agree", 2), ("project-b", "release-2", "0_version", "", 4, "reject", 3), ("outside", "old", "master", "dahai", 5, "agree", -2)]
+LOG = [("project-a", "release-1", "master", "mallow", 5, "agree", 0), ("project-a", "release-1", "master", "mallow", 5, "reject", 1), ("project-b", "release-2", "0_version", "sorrel", 3, "agree", 2), ("project-b", "release-2", "0_version", "", 4, "reject", 3), ("outside", "old", "master", "mallow", 5, "agree", -2)]
 LOG_SCHEMA = "id string, project_id string, review_version string, copy_from_version string, file_author string, severity int, feedback_type string, create_time timestamp"
 
 
@@ -146,7 +146,12 @@ def test_compare_and_diff(spark):
 def test_folds_match_python(spark):
     rng = random.Random(3)
     rows = [(i, [("x" * rng.randrange(120)) for _ in range(rng.randrange(0, 30))], [rng.randrange(1, 30) for _ in range(12)]) for i in range(20)]
-    df = spark.createDataFrame(rows, "i int, lines array<string>, costs array<int>").select("i", diffs.split_blocks(F.col("lines"), 40).alias("b"), diffs.admitted(F.col("costs"), 60).alias("ok"))
+    df = spark.createDataFrame(rows, "i int, lines array<string>, costs array<int>").select("i", "costs", diffs.split_blocks(F.col("lines"), 40).alias("b"))
+    each = df.select("i", F.posexplode("costs").alias("k", "cost"))
+    oks = {}
+    for r in diffs.admitted(each, "i", ["k"], "cost", 60).orderBy("i", "k").collect():
+        oks.setdefault(r.i, []).append(r.ok)
+    assert diffs.admitted(each, "i", ["k"], "cost", 0).where("not ok").count() == 0
     for r, (_, lines, costs) in zip(df.orderBy("i").collect(), rows, strict=True):
         blocks, used = [], 0
         for x in lines:
@@ -159,7 +164,7 @@ def test_folds_match_python(spark):
         for c in costs:
             ok.append(c <= left)
             left -= c * ok[-1]
-        assert (r.b, r.ok) == (blocks, ok)
+        assert (r.b, oks[r.i]) == (blocks, ok)
 
 
 @pytest.mark.parametrize(
@@ -202,6 +207,31 @@ def test_findings_support_issues(spark):
     assert [(r.issue_id, r.sources, r.rule_ids, r.least_confidence) for r in issues.corroborated(i, f).collect()] == [(1, ["ExampleSAST"], ["R1"], 0.95)]
 
 
+def test_findings_paths(spark):
+    uris = ["c++/x.cpp", "src/100%.c", ".github/w.yml", "file:///root/p/src/x.c", "file:///other/x.c", "/root/p/./y.c", "https://a/b.c", "a%20b.c", "./z//q.c", "a\\\\b.c", "x/../y.c", ""]
+    results = ",".join('{"ruleId": "R", "level": "Error", "message": {"text": "m"}, "locations": [{"physicalLocation": {"artifactLocation": {"uri": "%s"}, "region": {"startLine": 3, "endLine": 1}}}]}' % u for u in uris)
+    value = '{"runs": [{"tool": {"driver": {}}, "results": [%s, {"message": {}}, {"locations": []}]}]}' % results
+    f = trees.findings(spark.createDataFrame([("reports/scan.sarif", value), ("bad", "{")], "path string, value string"), "/root/p").collect()
+    assert sorted(r.file_name for r in f) == sorted(["c++/x.cpp", "src/100%.c", ".github/w.yml", "src/x.c", "y.c", "a b.c", "z/q.c", "a/b.c"])
+    assert {(r.level, r.analyzer, r.start_line, r.end_line) for r in f} == {("error", "scan", 3, 3)}
+
+
+def test_reports_are_bounded(spark, tmp_path):
+    for name, size in (("a.sarif", 10), ("b.json", 10), ("c.txt", 10), ("sub/d.sarif", 10), ("big.sarif", 5000)):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("x" * size)
+    assert sorted(r.path for r in trees.read_reports(spark, str(tmp_path), ["*.sarif", "*.json"], 1000).collect()) == ["a.sarif", "b.json", "sub/d.sarif"]
+
+
+def test_references_between_files(spark):
+    rows = [("src/a.c", "C", '#include "util.h"'), ("lib/util.c", "C", ""), ("foo.c", "C", ""), ("x.py", "Python", "open('x/foo')"), ("web/p/q.js", "JavaScript", "import './r/s'; import '../t.js'; import 'n/../m.js'"), ("web/p/r/s.ts", "TypeScript", ""), ("web/t.js", "JavaScript", ""), ("web/p/m.js", "JavaScript", "")]
+    got = {(r.path, r.related): r.score for r in code.related_files(spark.createDataFrame(rows, "path string, language string, text string")).collect()}
+    assert got["src/a.c", "lib/util.c"] == 90 and got["lib/util.c", "src/a.c"] == 85
+    assert ("x.py", "foo.c") not in got
+    assert got["web/p/q.js", "web/p/r/s.ts"] == 90 and got["web/p/q.js", "web/t.js"] == 90
+    assert got["web/p/q.js", "web/p/m.js"] == 90  # by its name after a slash
+
+
 def test_symbols(spark):
     tree = spark.createDataFrame([("entry.c", "int add_one(int x) {\n  return x;\n}\nint calculate(int x) {\n  return add_one(x);\n}"), ("main.c", "int main(void) {\n  return calculate(1);\n}")], "path string, text string")
     lines = code.code_lines(tree)
@@ -247,15 +277,22 @@ def test_merge_in_file(spark):
 
 def test_control_plane(spark):
     t0 = dt.datetime(2026, 7, 10, 8)
-    schema = "id string, state int, task_type int, dispatch_priority int, create_time timestamp, lease_expires_at timestamp, automatic_retry_pending boolean, retry_count int, next_retry_time timestamp"
+    schema = "id string, state int, task_type int, dispatch_priority int, create_time timestamp, lease_expires_at timestamp, automatic_retry_pending boolean, retry_count int, next_retry_time timestamp, lease_token string, completion_status string"
     rows = [("full", 0, 3, 0, t0 - dt.timedelta(minutes=10)), ("late", 0, 1, 0, t0 - dt.timedelta(minutes=1)), ("early", 0, 1, 0, t0 - dt.timedelta(minutes=5))]
-    df = spark.createDataFrame([(*r, None, False, 0, None) for r in rows], schema)
+    df = spark.createDataFrame([(*r, None, False, 0, None, None, None) for r in rows], schema)
     assert control.next_task(df, F.lit(t0)).first().id == "early"
-    manual = control.manual_retry({"state": 3, "failed_blocks": 1})
-    assert (manual["state"], manual["dispatch_priority"], manual["manual_retry_count"]) == (0, 100, 1)
-    with pytest.raises(views.RequestError) as e:
-        control.manual_retry({"state": 1})
-    assert e.value.code == 409
+    manual = control.manual_retry({"state": 3, "retry_count": 2}, {"failed": 1, "pending": 0, "running": 0}, t0)
+    assert (manual["state"], manual["dispatch_priority"], manual["manual_retry_count"], manual["completion_status"], manual["retry_count"]) == (0, 100, 1, "retry_pending", 2)
+    assert control.manual_retry(manual, {}) is manual
+    for task, failures, code_ in [(None, {}, 404), ({"state": 1}, {}, 409), ({"state": 2}, {"failed": 1}, 409), ({"state": 0}, {"failed": 1}, 409), ({"state": 3}, {"failed": 0}, 409), ({"state": 3}, {"failed": 1, "pending": 1}, 409), ({"state": 3, "lease_token": "x"}, {"failed": 1}, 409)]:
+        with pytest.raises(views.RequestError) as e:
+            control.manual_retry(task, failures)
+        assert e.value.code == code_
+    leased = [("waiting", 0, "w", t0 + dt.timedelta(1)), ("untokened", 1, "", t0 + dt.timedelta(1)), ("lapsed", 1, "w", t0), ("live", 1, "w", t0 + dt.timedelta(1)), ("superseded", 3, "", None), ("failed", 3, "", None)]
+    more = spark.createDataFrame([(i, s, 1, 0, t0, e, True, 0, None, k, "superseded" if i == "superseded" else "failed") for i, s, k, e in leased], schema)
+    assert {r.id for r in more.where(control.eligible(F.lit(t0))).collect()} == {"untokened", "lapsed", "failed"}
+    claim = control.claimed({"state": 0, "retry_failed_only": True}, "me", "token", t0)
+    assert (claim["state"], claim["completion_status"], claim["lease_expires_at"]) == (1, "retry_running", t0 + dt.timedelta(seconds=120))
     assert [r[0] for r in spark.range(4).select(numeric.retry_delay(F.col("id").cast("int"))).collect()] == [30, 30, 60, None]
     old = spark.createDataFrame([("1", "0_version", 2), ("2", "master", 2)], "id string, copy_from_version string, task_type int")
     once = diffs.migrated_types(old)

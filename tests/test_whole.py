@@ -100,8 +100,13 @@ def test_related_files_read_all_texts(spark, tmp_path):
     called = {p: {m for t in ts for m in re.findall(r"\b([A-Za-z_]\w*)\s*\(", t)} - defined[p] if p.endswith(".c") else set() for p, ts in files.items()}
 
     def refers(a, b):
-        names = {b, b.rsplit("/", 1)[1], b.rsplit(".", 1)[0]}
-        return any({r, r.removeprefix("../"), os.path.normpath(os.path.join(os.path.dirname(a), r)), r.rsplit("/", 1)[-1]} & names for r in (q.removeprefix("./").lower() for q in quoted[a]))
+        near = os.path.relpath(b, os.path.dirname(a))
+        names, (stem, ext) = {b, b.rsplit("/", 1)[1], near, b.rsplit(".", 1)[0], near.rsplit(".", 1)[0]}, b.rsplit("/", 1)[1].split(".")
+        for r in (q.removeprefix("./").lower() for q in quoted[a]):
+            last = r.rsplit("/", 1)[-1].rsplit(".", 1)
+            if {r, r.removeprefix("../")} & names or r.endswith("/" + b.rsplit("/", 1)[1]) or (len(last) == 2 and last[0] == stem and {last[1], ext} == {"c", "h"}):
+                return True
+        return False
 
     want = []
     for a in files:

@@ -27,10 +27,10 @@ def to_int(value: Column) -> Column:
 
 
 def severity(value: Column) -> Column:
-    """A severity name or number as 1 to 5; anything else is 1."""
+    """A severity name, as it stands but for its case, or a number as 1 to 5; anything else is 1."""
     names = {"low": 1, "medium": 3, "high": 4, "critical": 5}
-    text = F.lower(F.trim(value.cast("string")))
-    known = F.coalesce(*(F.when(text == k, F.lit(v)) for k, v in names.items()), text.try_cast("int"), F.lit(1))
+    text = F.lower(value.cast("string"))
+    known = F.coalesce(*(F.when(text == k, F.lit(v)) for k, v in names.items()), F.regexp_replace(text, r"(?U)^\s+|\s+$", "").try_cast("int"), F.lit(1))
     return F.least(F.lit(5), F.greatest(F.lit(1), known)).cast("int")
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import fnmatch
-import posixpath
 import re
 
 import pandas as pd
@@ -148,10 +147,50 @@ def _name_parts(df: DataFrame) -> DataFrame:
     )
 
 
-def _reference_key(source: str, reference: str) -> list[str]:
-    reference = reference.replace("\\", "/").removeprefix("./").lower()
-    at = posixpath.normpath(posixpath.join(posixpath.dirname(source.lower()), reference))
-    return list({reference, reference.removeprefix("../"), at, reference.rsplit("/", 1)[-1]})
+def _joined_path(folder: Column, ref: Column) -> Column:
+    """The parts of folder/ref with `.` and empty parts left out and `..` applied; those that lead above the root stay."""
+    parts = F.filter(F.split(F.concat_ws("/", folder, ref), "/"), lambda p: ~p.isin("", "."))
+    up = lambda a: F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))
+    return F.aggregate(parts, F.array().cast("array<string>"), lambda a, p: F.when((p == "..") & (F.size(a) > 0) & (F.try_element_at(a, F.lit(-1)) != ".."), up(a)).otherwise(F.array_append(a, p)))
+
+
+def _relative(folder: Column, parts: Column) -> Column:
+    """The shortest way from a folder to a path given in parts."""
+    start = F.filter(F.split(folder, "/"), lambda p: p != "")
+    least = F.least(F.size(start), F.size(parts))
+    differs = F.filter(F.sequence(F.lit(0), least), lambda i: (i == least) | (F.get(start, i) != F.get(parts, i)))
+    common = F.get(differs, 0)
+    return F.array_join(F.concat(F.array_repeat(F.lit(".."), F.size(start) - common), F.slice(parts, common + 1, F.size(parts))), "/")
+
+
+def _references(t: DataFrame) -> DataFrame:
+    """from, kind and key of what texts quote: a path, name or path without suffix as it stands or without its first `../`; the
+    path that it leads to from the text's folder; its last part after a slash; and, with a suffix, what goes together with it by name."""
+    low = F.lower(F.replace("q", F.lit("\\"), F.lit("/")))
+    refs = t.select("path", "folder", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(QUOTED), F.lit(1)))).alias("q"))
+    refs = refs.select("path", "folder", F.when(low.startswith("./"), F.substring(low, F.lit(3), F.length(low))).otherwise(low).alias("ref")).distinct()
+    short = F.when(F.col("ref").startswith("../"), F.substring("ref", F.lit(4), F.length("ref"))).otherwise(F.col("ref"))
+    led = lambda c: F.when(_relative(F.col("folder"), _joined_path(F.col("folder"), c)) == c, F.array_join(_joined_path(F.col("folder"), c), "/"))
+    last = F.element_at(F.split("ref", "/"), -1)
+    stem, ext = F.regexp_extract(last, r"^(.+)\.[^.]+$", 1), F.regexp_extract(last, r"^.+\.([^.]+)$", 1)
+    family = F.coalesce(*(F.when(ext.isin(*g), F.lit(str(i))) for i, g in enumerate(COMPANIONS)))
+    key = lambda kind, c: F.struct(F.lit(kind).alias("kind"), c.alias("key"))
+    keys = F.array(
+        key("path", F.col("ref")), key("path", short), key("path", led(F.col("ref"))), key("path", led(short)), key("bare", F.col("ref")), key("bare", short), key("bare", led(F.col("ref"))), key("bare", led(short)),
+        key("name", F.col("ref")), key("name", short), key("name", F.when(F.contains("ref", F.lit("/")), last)), key("family", F.concat_ws("\t", stem, family, ext)),
+    )
+    found = refs.select(F.col("path").alias("from"), F.explode(keys).alias("k")).select("from", "k.kind", "k.key")
+    return found.where("key <> '' and (kind <> 'family' or size(split(key, '\t')) = 3)").distinct()
+
+
+def _referred(files: DataFrame) -> DataFrame:
+    """to, kind and key by which files are referred to: a file goes together with others of its stem and family, but not of its own extension."""
+    bare = F.when(F.col("ext") != "", F.lower(F.regexp_replace("path", r"\.[^./]+$", ""))).otherwise(F.lower("path"))
+    others = F.coalesce(*(F.when(F.col("family") == i, F.array(*(F.lit(e) for e in sorted(g)))) for i, g in enumerate(COMPANIONS)), F.array().cast("array<string>"))
+    with_it = F.transform(F.filter(others, lambda e: e != F.col("ext")), lambda e: F.concat_ws("\t", "stem", F.col("family").cast("string"), e))
+    key = lambda kind, c: F.struct(F.lit(kind).alias("kind"), c.alias("key"))
+    keys = F.concat(F.array(key("path", F.lower("path")), key("bare", bare), key("name", F.col("base"))), F.transform(with_it, lambda x: key("family", x)))
+    return files.select(F.col("path").alias("to"), F.explode(keys).alias("k")).select("to", "k.kind", "k.key").distinct()
 
 
 def related_files(tree: DataFrame, k: int = 8) -> DataFrame:
@@ -166,11 +205,7 @@ def related_files(tree: DataFrame, k: int = 8) -> DataFrame:
         (a.join(b, (a.test_key_a == b.test_key_b) & (a.raw_stem_a != b.raw_stem_b)), "implementation_test_pair"),
         (a.join(b, (a.locale_key_a == b.locale_key_b) & (a.raw_stem_a != b.raw_stem_b)), "localized_resource_family"),
     ]
-    keys = F.udf(_reference_key, "array<string>")
-    refs = t.select(F.col("path").alias("from"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(QUOTED), F.lit(1)))).alias("q")).select("from", F.explode(keys("from", "q")).alias("key")).distinct()
-    bare = F.when(F.col("ext") != "", F.lower(F.regexp_replace("path", r"\.[^./]+$", ""))).otherwise(F.lower("path"))
-    names = files.select(F.col("path").alias("to"), F.explode(F.array_distinct(F.array(F.lower("path"), F.col("base"), bare))).alias("key")).distinct()
-    linked = refs.join(names, "key").select("from", "to").distinct().where("from <> to")
+    linked = _references(t).join(_referred(files), ["kind", "key"]).select("from", "to").distinct().where("from <> to")
     found += [(linked.select(F.col("from").alias("path_a"), F.col("to").alias("path_b")), "current_references_related"), (linked.select(F.col("to").alias("path_a"), F.col("from").alias("path_b")), "related_references_current")]
     c = t.where("language = 'C'")
     defined = c.select(F.col("path").alias("to"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(C_FUNCTION), F.lit(1)))).alias("s"))

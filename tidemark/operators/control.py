@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,10 +13,11 @@ RETRIES, MANUAL_PRIORITY = 3, 100
 
 
 def eligible(now: Column) -> Column:
-    """Waiting tasks; running ones whose lease ran out; partial ones whose automatic retry is due."""
-    lapsed = F.col("lease_expires_at").isNull() | (F.col("lease_expires_at") <= now)
+    """Tasks without a live lease that wait, run, or are partial or failed and due for an automatic retry."""
+    free = (F.coalesce("lease_token", F.lit("")) == "") | F.col("lease_expires_at").isNull() | (F.col("lease_expires_at") <= now)
     due = F.coalesce("automatic_retry_pending", F.lit(False)) & (F.coalesce("retry_count", F.lit(0)) < RETRIES) & (F.col("next_retry_time").isNull() | (F.col("next_retry_time") <= now))
-    return (F.col("state") == 0) | ((F.col("state") == 1) & lapsed) | ((F.col("state") == 3) & due)
+    failed = F.coalesce(F.col("completion_status").isin("partial", "failed"), F.lit(False))
+    return free & (F.col("state").isin(0, 1) | ((F.col("state") == 3) & due & failed))
 
 
 def queue_order() -> list[Column]:
@@ -35,15 +38,32 @@ def preempted(running: DataFrame, waiting: DataFrame) -> DataFrame:
     return out.where(F.coalesce(gives, F.lit(False))).drop("any_best", "increment_best")
 
 
-def manual_retry(task: dict) -> dict:
-    """The task as a manual retry leaves it; refused (409) while it runs, is prepared, or has nothing failed."""
-    if task["state"] in (1, 4):
-        raise RequestError("the task is running", 409)
-    if not task.get("failed_blocks"):
-        raise RequestError("nothing failed", 409)
-    if task.get("retry_failed_only") and task["state"] == 0:
-        raise RequestError("a retry is waiting already", 409)
-    return task | {"state": 0, "retry_failed_only": True, "dispatch_priority": MANUAL_PRIORITY, "manual_retry_count": (task.get("manual_retry_count") or 0) + 1, "automatic_retry_pending": False, "next_retry_time": None, "retry_count": 0}
+def manual_retry(task: dict | None, failures: dict, now=None) -> dict:
+    """The task as a manual retry leaves it, for the failures of its blocks (`retry_failures`' row). A retry that waits already stays
+    as it is; a task that runs or is prepared, isn't partial, has nothing failed, has blocks to come, or is leased is refused."""
+    if task is None:
+        raise RequestError("no such task", 404)
+    if task["state"] == 0 and task.get("retry_failed_only"):
+        return task
+    refused = {
+        "the task runs or is prepared": task["state"] in (1, 4),
+        "only a partial task can be retried": task["state"] != 3,
+        "nothing failed": not failures.get("failed"),
+        "blocks are still to come": failures.get("pending") or failures.get("running"),
+        "the task is leased": task.get("lease_token"),
+    }
+    for why, holds in refused.items():
+        if holds:
+            raise RequestError(why, 409)
+    changes = {"state": 0, "completion_status": "retry_pending", "retry_failed_only": True, "dispatch_priority": MANUAL_PRIORITY, "automatic_retry_pending": False, "interrupt_requested": False, "next_retry_time": None, "retry_requested_time": now, "update_time": now}
+    return task | changes | {"manual_retry_count": (task.get("manual_retry_count") or 0) + 1}
+
+
+def claimed(task: dict, owner: str, token: str, now, lease_seconds: int = 120) -> dict:
+    """An eligible task as a worker's claim leaves it. Held against its state, revision, priority and lease token by whoever stores it."""
+    running = "retry_running" if task.get("retry_failed_only") else "running"
+    lease = {"lease_owner": owner, "lease_token": token, "lease_expires_at": now + dt.timedelta(seconds=max(10, lease_seconds))}
+    return task | lease | {"state": 1, "completion_status": running, "heartbeat_time": now, "last_start_time": now, "automatic_retry_pending": False, "interrupt_requested": False, "update_time": now}
 
 
 def superseded(snapshots: DataFrame, task_id: Column, revision: int) -> DataFrame:
@@ -53,11 +73,13 @@ def superseded(snapshots: DataFrame, task_id: Column, revision: int) -> DataFram
 
 
 def carried_forward(snapshots: DataFrame, task_id: Column, revision: int) -> DataFrame:
-    """If a trigger changed nothing: the newest open snapshot gets the new revision."""
-    mine = (F.col("task_id") == task_id) & F.col("state").isin(0, 1)
+    """If a trigger changed nothing: the newest unfinished snapshot of an earlier revision gets the new one, and waits again."""
+    mine = (F.col("task_id") == task_id) & F.col("state").isin(0, 1, 3) & (F.coalesce("completion_status", F.lit("")) != "superseded") & (F.col("trigger_revision") < revision)
     newest = snapshots.where(mine).agg(F.max("trigger_revision").alias("r"), F.lit(1).alias("one"))
     out = snapshots.withColumn("one", F.lit(1)).join(F.broadcast(newest), "one", "left").drop("one")
-    return out.withColumn("trigger_revision", F.when(mine & (F.col("trigger_revision") == F.col("r")), revision).otherwise(F.col("trigger_revision"))).drop("r")
+    this = F.coalesce(mine & (F.col("trigger_revision") == F.col("r")), F.lit(False))
+    changes = {"state": F.lit(0), "completion_status": F.lit("pending"), "trigger_revision": F.lit(revision)}
+    return out.withColumns({c: F.when(this, v).otherwise(F.col(c)) for c, v in changes.items()}).drop("r")
 
 
 def latest_comparison(tasks: DataFrame, project: str, comparison: str) -> DataFrame:

@@ -6,10 +6,13 @@ from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from tidemark.functions.text import diff_line, line_tokens, split_lines
+from tidemark.shared import ranked
 
 #: Tokens of a block, equal lines kept around a change, files of a batch.
 BLOCK_TOKENS, CONTEXT, BATCH = 10_000, 10, 20
@@ -67,40 +70,54 @@ def changed_targets(changes: DataFrame, base: DataFrame, head: DataFrame, contex
 
 
 def split_blocks(lines: Column, limit: int = BLOCK_TOKENS) -> Column:
-    """Arrays of lines: a block closes when the next line would take it past the limit; one longer line is a block."""
-    start = F.struct(F.array().cast("array<array<string>>").alias("done"), F.array().cast("array<string>").alias("open"), F.lit(0).alias("n"))
+    """Arrays of lines: a block closes when the next line would take it past the limit; one longer line is a block.
+
+    The fold keeps the places where blocks start alone, so lines are copied once, into their block.
+    """
+    state = lambda starts, n, at: F.struct(starts.alias("starts"), n.alias("n"), at.alias("at"))
 
     def step(a: Column, x: Column) -> Column:
         t = line_tokens(x)
-        full = (F.size(a["open"]) > 0) & (a["n"] + t > limit)
-        return F.struct(
-            F.when(full, F.array_append(a["done"], a["open"])).otherwise(a["done"]).alias("done"),
-            F.when(full, F.array(x)).otherwise(F.array_append(a["open"], x)).alias("open"),
-            F.when(full, t).otherwise(a["n"] + t).alias("n"),
-        )
+        full = (a["at"] == 0) | (a["n"] + t > limit)
+        return state(F.when(full, F.array_append(a["starts"], a["at"])).otherwise(a["starts"]), F.when(full, t).otherwise(a["n"] + t), a["at"] + 1)
 
-    return F.aggregate(lines, start, step, lambda a: F.when(F.size(a["open"]) > 0, F.array_append(a["done"], a["open"])).otherwise(a["done"]))
+    starts = F.aggregate(lines, state(F.array().cast("array<int>"), F.lit(0), F.lit(0)), step, lambda a: F.array_append(a["starts"], a["at"]))
+    cut = lambda s: F.transform(F.slice(s, 1, F.size(s) - 1), lambda x, i: F.slice(lines, x + 1, F.get(s, i + 1) - x))
+    return F.when(F.size(lines) > 0, F.transform(F.array(starts), cut)[0]).otherwise(F.array().cast("array<array<string>>"))
 
 
 def block_hash(lines: Column) -> Column:
     return F.md5(F.array_join(lines, "\n").cast("binary"))
 
 
-def admitted(costs: Column, budget: int) -> Column:
-    """For costs in order, whether each fits what is left; what doesn't fit takes nothing. No budget (0) admits all."""
-    start = F.struct(F.array().cast("array<boolean>").alias("ok"), F.lit(0).cast("long").alias("used"))
+def admitted(files: DataFrame, key: str, order: list[str], cost: str, budget: int) -> DataFrame:
+    """files with `ok`: in order, whether each one's cost fits what its key's budget still holds; what doesn't fit takes nothing. No budget (0) admits all.
 
-    def step(a: Column, x: Column) -> Column:
-        fits = F.lit(budget <= 0) | (a["used"] + x <= budget)
-        return F.struct(F.array_append(a["ok"], fits).alias("ok"), F.when(fits, a["used"] + x).otherwise(a["used"]).alias("used"))
+    What fits depends on all decisions before, so a key's costs are folded in order, a batch of rows at a time: no key is an array or a frame in memory.
+    """
+    if budget <= 0:
+        return files.withColumn("ok", F.lit(True))
+    schema = StructType([*files.schema.fields, StructField("ok", BooleanType())])
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, left = None, budget
+        for b in rows:
+            ok = []
+            for k, c in zip(b.column(key).to_pylist(), b.column(cost).to_pylist(), strict=True):
+                of, left = (of, left) if k == of and of is not None else (k, budget)
+                ok.append((c or 0) <= left)
+                left -= (c or 0) * ok[-1]
+            yield b.append_column("ok", pa.array(ok, pa.bool_()))
 
-    return F.aggregate(costs, start, step, lambda a: a["ok"])
+    return files.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
 
 
 def batches(files: DataFrame, bucket: str | None, order: list[str], size: int = BATCH) -> DataFrame:
-    """files with `batch`, the number of its batch inside its bucket (from 0)."""
-    w = Window.partitionBy(bucket) if bucket else Window.partitionBy(F.lit(0))
-    return files.withColumn("batch", F.floor((F.row_number().over(w.orderBy(*order)) - 1) / size))
+    """files with `batch`, the number of its batch (from 0) inside its bucket, or among all files in order if there is none."""
+    if bucket is None:
+        return ranked(files, *map(F.col, order), out="batch").withColumn("batch", F.floor(F.col("batch") / size))
+    w = Window.partitionBy(bucket).orderBy(*order)
+    return files.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size))
 
 
 def removed_files(existing: DataFrame, targets: DataFrame) -> DataFrame:

@@ -43,8 +43,9 @@ def rule_table(spark: SparkSession) -> DataFrame:
 
 
 def detected(lines: DataFrame, rules: DataFrame | None = None) -> DataFrame:
-    """Issues of added lines (path, language, line_no, code), by the rules that hold for them."""
-    rules = F.broadcast(rule_table(lines.sparkSession) if rules is None else rules)
+    """Issues of added lines (path, language, line_no, code), by the rules that hold for them. The built-in rules are few and broadcast;
+    others as Spark finds fit."""
+    rules = F.broadcast(rule_table(lines.sparkSession)) if rules is None else rules
     low = F.lower("code")
     has = lambda c: F.exists(c, lambda t: F.contains(low, t))
     fits = F.col("rule_language").isin("") | (F.col("rule_language") == F.col("language"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import clamp, weighted_mean
-from tidemark.functions.status import block_in_report, file_in_report, progress, reportable, retry_possible
+from tidemark.functions.status import block_in_report, block_in_retry, file_in_report, progress, reportable, retry_possible
 
 SCORES = ("logic_score", "performance_score", "security_score", "readable_score", "code_style_score")
 
@@ -55,6 +55,14 @@ def progress_of(tasks: DataFrame, files: DataFrame) -> DataFrame:
     return out.withColumn("retry_available", retry_possible(c("percent"), c("failed_blocks"), c("pending_blocks") + c("reviewing_blocks"), c("task_state"), c("retry_in_progress")))
 
 
+def retry_failures(files: DataFrame) -> DataFrame:
+    """By task, what a manual retry would find: files with failed blocks, failed, pending and running blocks. Files skipped for budget don't count."""
+    status = F.coalesce("extra.status", F.lit(""))
+    s = files.where(status != "skipped_budget").select("task_id", F.transform("code_blocks", lambda b: block_in_retry(b, status)).alias("s"))
+    n = lambda what: F.size(F.filter("s", lambda x: x == what))
+    return s.groupBy("task_id").agg(F.count_if(n("failed") > 0).alias("files"), *(F.sum(n(w)).alias(w) for w in ("failed", "pending", "running")))
+
+
 def critical_issues(issues: DataFrame) -> DataFrame:
     """Reportable issues of severity 5, in order of file, block and issue."""
     return issues.where(reportable(F.col("filter_status")) & (F.col("severity") == 5)).orderBy("file_name", "block_id", F.coalesce("issue_id", F.lit(0)))

@@ -275,7 +275,7 @@ def tool_histogram(spark, d):
     return report.histogram(e, "project_id", "event_type").select("project_id", text.counts_text(F.col("counts")).alias("counts"))
 
 
-@query("WITH n AS (SELECT user_id % 20 AS p, user_id % 2 AS half, event_type AS k, count(*) AS n FROM events WHERE event_type <> 'view' OR user_id % 2 = 0 GROUP BY ALL), m AS (SELECT p - p % 2 AS p, k, sum(n) AS n FROM n GROUP BY ALL) SELECT p, string_agg(k || '=' || n, ', ' ORDER BY k) AS counts FROM m GROUP BY p")
+@query("WITH n AS (SELECT user_id % 20 AS p, user_id % 2 AS half, event_type AS k, count(*) AS n FROM events GROUP BY ALL), m AS (SELECT p - p % 2 AS p, k, sum(n) AS n FROM n GROUP BY ALL) SELECT p, string_agg(k || '=' || n, ', ' ORDER BY k) AS counts FROM m GROUP BY p")
 def merged_usage(spark, d):
     e = table(spark, d, "events").select((F.col("user_id") % 20).alias("q"), "event_type")
     h = report.histogram(e, "q", "event_type")
@@ -378,9 +378,7 @@ ORACLE_SQL["block_split"] = ORACLE_SQL["block_split"].replace("WITH ", "WITH REC
  SELECT source, doc_id, ok FROM fold"""
 )
 def budget_admission(spark, d):
-    g = table(spark, d, "documents").groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", "n_chars"))).alias("a"))
-    g = g.select("source", F.explode(F.arrays_zip(F.col("a.doc_id").alias("doc_id"), diffs.admitted(F.col("a.n_chars"), 40_000).alias("ok"))).alias("x"))
-    return g.select("source", "x.doc_id", "x.ok")
+    return diffs.admitted(table(spark, d, "documents").select("source", "doc_id", "n_chars"), "source", ["doc_id"], "n_chars", 40_000).drop("n_chars")
 
 
 @query("SELECT path, doc_id, lang, ((row_number() OVER (PARTITION BY lang ORDER BY path, doc_id) - 1) // 20)::BIGINT AS batch FROM tree JOIN (SELECT doc_id, lang FROM documents) USING (doc_id)", "tree")
@@ -503,7 +501,7 @@ def issue_numbering(spark, d):
     return n.select("task_id", "file_name", "line_no", F.col("number").cast("long").alias("number"), F.col("visible_number").cast("long").alias("visible_number"))
 
 
-@query("WITH e AS (SELECT DISTINCT l_partkey AS caller, l_suppkey + 1000000 AS callee FROM lineitem WHERE l_partkey <= 200 UNION SELECT DISTINCT l_suppkey + 1000000, l_partkey FROM lineitem WHERE l_suppkey <= 20), s1 AS (SELECT DISTINCT callee AS s FROM e WHERE caller = 7), s2 AS (SELECT DISTINCT callee AS s FROM e WHERE caller IN (SELECT s FROM s1)) SELECT 'f' || caller AS caller, 'f' || callee AS callee FROM e WHERE caller = 7 OR caller IN (SELECT s FROM s1) OR caller IN (SELECT s FROM s2)")
+@query("WITH e AS (SELECT DISTINCT l_partkey AS caller, l_suppkey + 1000000 AS callee FROM lineitem UNION SELECT DISTINCT l_suppkey + 1000000, l_partkey FROM lineitem), s1 AS (SELECT DISTINCT callee AS s FROM e WHERE caller = 7), s2 AS (SELECT DISTINCT callee AS s FROM e WHERE caller IN (SELECT s FROM s1)) SELECT 'f' || caller AS caller, 'f' || callee AS callee FROM e WHERE caller = 7 OR caller IN (SELECT s FROM s1) OR caller IN (SELECT s FROM s2)")
 def call_graph_bfs(spark, d):
     li = table(spark, d, "lineitem")
     name = lambda c: F.concat(F.lit("f"), c.cast("string"))
@@ -531,19 +529,23 @@ NOW = dt.datetime(1998, 7, 1)
 def _queue(spark, d):
     t = role(spark, d, "task")
     later = F.col("create_time") + F.expr("interval 30 days")
-    return t.withColumns({"lease_expires_at": F.when(F.col("state") == 1, later), "next_retry_time": F.when(F.col("state") == 3, later)}), F.lit("1998-07-01 00:00:00").cast("timestamp_ntz")
+    n = F.col("id").cast("long")
+    of = lambda k, *values: F.element_at(F.array(*map(F.lit, values)), (n % k + 1).cast("int"))
+    return t.withColumns({"lease_token": of(3, "", "w1", None), "lease_expires_at": F.when(n % 7 > 0, later), "next_retry_time": F.when(n % 4 > 0, later), "completion_status": of(4, "partial", "failed", "superseded", None)}), F.lit("1998-07-01 00:00:00").cast("timestamp_ntz")
 
 
-ELIGIBLE = "(state = 0 OR (state = 1 AND create_time + INTERVAL 30 DAY <= TIMESTAMP '1998-07-01') OR (state = 3 AND automatic_retry_pending AND retry_count < 3 AND create_time + INTERVAL 30 DAY <= TIMESTAMP '1998-07-01'))"
+QUEUE = """WITH x AS (SELECT *, CASE id::BIGINT % 3 WHEN 1 THEN 'w1' ELSE '' END AS token, CASE WHEN id::BIGINT % 7 > 0 THEN create_time + INTERVAL 30 DAY END AS expires, CASE WHEN id::BIGINT % 4 > 0 THEN create_time + INTERVAL 30 DAY END AS due,
+ CASE id::BIGINT % 4 WHEN 0 THEN 'partial' WHEN 1 THEN 'failed' WHEN 2 THEN 'superseded' END AS completion FROM task), q AS (SELECT *, token = '' OR expires IS NULL OR expires <= TIMESTAMP '1998-07-01' AS free FROM x)"""
+ELIGIBLE = "free AND (state IN (0, 1) OR (state = 3 AND retry_count < 3 AND automatic_retry_pending AND completion IN ('partial', 'failed') AND coalesce(due <= TIMESTAMP '1998-07-01', true)))"
 
 
-@query(f"SELECT id, state FROM task WHERE {ELIGIBLE}", "task")
+@query(f"{QUEUE} SELECT id, state FROM q WHERE {ELIGIBLE}", "task")
 def eligible_tasks(spark, d):
     t, now = _queue(spark, d)
     return t.where(control.eligible(now)).select("id", "state")
 
 
-@query(f"SELECT id, state, dispatch_priority FROM task WHERE {ELIGIBLE} ORDER BY dispatch_priority DESC, task_type = 3, create_time, id LIMIT 1", "task")
+@query(f"{QUEUE} SELECT id, state, dispatch_priority FROM q WHERE {ELIGIBLE} ORDER BY dispatch_priority DESC, task_type = 3, create_time, id LIMIT 1", "task")
 def next_task(spark, d):
     t, now = _queue(spark, d)
     return control.next_task(t, now).select("id", "state", "dispatch_priority")
@@ -568,9 +570,9 @@ def latest_comparison(spark, d):
 # --- scalar functions
 
 
-@query("SELECT c_custkey, greatest(1, least(5, CASE c_mktsegment WHEN 'BUILDING' THEN 1 WHEN 'MACHINERY' THEN 4 ELSE (c_custkey % 9)::INT END)) AS severity, trim(regexp_replace(lower(c_name || '  ' || c_mktsegment), '\\s+', ' ', 'g')) AS k, replace(replace(c_name, '#', '%23'), ' ', '%20') AS url, md5(c_name) AS digest FROM customer")
+@query("SELECT c_custkey, greatest(1, least(5, CASE c_mktsegment WHEN 'BUILDING' THEN 1 WHEN 'MACHINERY' THEN 1 WHEN 'AUTOMOBILE' THEN 4 WHEN 'FURNITURE' THEN 5 ELSE (c_custkey % 9)::INT END)) AS severity, trim(regexp_replace(lower(c_name || '  ' || c_mktsegment), '\\s+', ' ', 'g')) AS k, replace(replace(c_name, '#', '%23'), ' ', '%20') AS url, md5(c_name) AS digest FROM customer")
 def scalar_functions(spark, d):
-    level = F.when(F.col("c_mktsegment") == "BUILDING", "low").when(F.col("c_mktsegment") == "MACHINERY", "High ").otherwise((F.col("c_custkey") % 9).cast("string"))
+    level = F.when(F.col("c_mktsegment") == "BUILDING", "low").when(F.col("c_mktsegment") == "MACHINERY", "High ").when(F.col("c_mktsegment") == "AUTOMOBILE", "HIGH").when(F.col("c_mktsegment") == "FURNITURE", " 7 ").otherwise((F.col("c_custkey") % 9).cast("string"))
     return table(spark, d, "customer").select(
         "c_custkey", numeric.severity(level).alias("severity"), text.text_key(F.concat_ws("  ", "c_name", "c_mktsegment")).alias("k"), text.percent_encoded(F.col("c_name")).alias("url"), F.md5("c_name").alias("digest")
     )
@@ -622,7 +624,7 @@ def kept_messages(spark, d):
     return rollup.kept_messages(table(spark, d, "conversations"), 2, 1000, 0.6).select("conv_id", "turn", "tokens", "keep", "compress")
 
 
-@query("WITH k AS (SELECT event_id AS id, event_type || user_id AS k, row_number() OVER w AS n, first_value(event_id) OVER w AS f FROM events WHERE event_id < 3000 WINDOW w AS (PARTITION BY event_type, user_id ORDER BY event_id)), g AS (SELECT k, row_number() OVER (ORDER BY id) AS group_id FROM k WHERE n = 2) SELECT id, group_id::INT AS group_id, CASE WHEN n > 1 THEN f END AS duplicate_of FROM k LEFT JOIN g USING (k)")
+@query("WITH k AS (SELECT event_id AS id, event_type || user_id AS k, row_number() OVER w AS n, first_value(event_id) OVER w AS f FROM events WINDOW w AS (PARTITION BY event_type, user_id ORDER BY event_id)), g AS (SELECT k, row_number() OVER (ORDER BY id) AS group_id FROM k WHERE n = 2) SELECT id, group_id::INT AS group_id, CASE WHEN n > 1 THEN f END AS duplicate_of FROM k LEFT JOIN g USING (k)")
 def duplicate_groups(spark, d):
     e = table(spark, d, "events").select(F.col("event_id").alias("id"), "event_type", "user_id")
     return rollup.duplicate_groups(e, F.concat("event_type", F.col("user_id").cast("string")), ["id"]).select("id", "group_id", "duplicate_of")
@@ -634,13 +636,26 @@ def group_cover(spark, d):
     return rollup.exact_cover(o, o)
 
 
-@query("WITH g AS (SELECT p_size AS group_id, count(*) AS n, count(DISTINCT lower(p_type)) AS t, count(DISTINCT p_size % 4) AS s, count(DISTINCT p_brand) AS r FROM part WHERE p_partkey % 9 = 0 GROUP BY p_size) SELECT group_id, n > 1 AND t = 1 AND r = 1 AS safe FROM g")
+@query("WITH g AS (SELECT p_size AS group_id, count(*) AS n, count(DISTINCT lower(p_type)) AS t, count(DISTINCT p_size % 4) AS s, count(DISTINCT p_brand) AS r FROM part GROUP BY p_size) SELECT group_id, n > 1 AND t = 1 AND r = 1 AS safe FROM g")
 def semantic_group_safety(spark, d):
     p = table(spark, d, "part")
     p = p.select(F.col("p_size").alias("group_id"), F.col("p_partkey").alias("place"), F.col("p_type").alias("type"), (F.col("p_size") % 4).alias("severity"), F.col("p_brand").alias("rule_id"), F.lit("").alias("existing_code"), F.col("p_name").alias("description"))
     return rollup.safe_groups(p)
 
 
+@query(
+    """WITH p AS (SELECT p_partkey // 3 AS group_id, p_partkey AS place, lower(p_type) AS kind, CASE WHEN p_size % 2 = 0 THEN p_brand ELSE '' END AS rule, CASE WHEN p_partkey % 4 < 2 THEN 'x' ELSE '' END AS code, list_distinct(regexp_extract_all(lower(p_name), '[a-z0-9_]+')) AS w FROM part),
+ f AS (SELECT *, first_value(w) OVER (PARTITION BY group_id ORDER BY place) AS w0, row_number() OVER (PARTITION BY group_id ORDER BY place) AS k FROM p),
+ g AS (SELECT group_id, count(*) AS n, count(DISTINCT kind) AS kinds, count(DISTINCT rule) AS rules, max(rule) AS rule, count(DISTINCT code) AS codes, max(code) AS code, bool_and(k = 1 OR len(list_intersect(w, w0))::DOUBLE / len(list_distinct(list_concat(w, w0))) >= 0.75) AS close FROM f GROUP BY group_id)
+ SELECT group_id, n > 1 AND kinds = 1 AND ((rules = 1 AND rule <> '') OR (codes = 1 AND code <> '' AND close)) AS safe FROM g"""
+)
+def semantic_group_code(spark, d):
+    p = table(spark, d, "part")
+    rule, code_ = F.when(F.col("p_size") % 2 == 0, F.col("p_brand")).otherwise(""), F.when(F.col("p_partkey") % 4 < 2, F.lit(" X")).otherwise("")
+    p = p.select(F.floor(F.col("p_partkey") / 3).alias("group_id"), F.col("p_partkey").alias("place"), F.col("p_type").alias("type"), F.lit(3).alias("severity"), rule.alias("rule_id"), code_.alias("existing_code"), F.col("p_name").alias("description"))
+    return rollup.safe_groups(p)
+
+
 @query("SELECT s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN NULL WHEN s_suppkey % 3 = 0 THEN s_name || '@x.org' ELSE s_name || '@corp.example' END AS address, coalesce(n_name, s_nationkey::VARCHAR) AS display_name FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey AND n_nationkey % 2 = 0")
 def owner_routing(spark, d):
     s = table(spark, d, "supplier").withColumn("account", F.col("s_nationkey").cast("string"))
