@@ -90,6 +90,12 @@ def parse_diff_line(c: Column) -> Column:
     return F.when((F.length(c) >= 9) & number.isNotNull(), F.struct(number.alias("line_no"), F.substring(c, 7, 1).alias("marker"), F.substring(c, F.lit(10), F.length(c)).alias("code")))
 
 
+def added_line(c: Column) -> Column:
+    """(line_no, code) of an added diff line, null for others; a number that can't be read is 0."""
+    number = F.coalesce(F.trim(F.substring(c, 1, 6)).try_cast("int"), F.lit(0))
+    return F.when((F.length(c) > 8) & (F.substring(c, 7, 1) == "+"), F.struct(number.alias("line_no"), F.substring(c, F.lit(10), F.length(c)).alias("code")))
+
+
 def line_tokens(c: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(F.length(c) / 4).cast("int"))
 
@@ -115,9 +121,9 @@ def symbol_key(c: Column) -> Column:
     return F.when(strip(c) == "<module>", F.lit("<module>")).when(strip(c).rlike(r"^[A-Za-z_~][\w.:~]*$") & (last != ""), F.lower(last))
 
 
-def counts_text(m: Column) -> Column:
+def counts_text(m: Column, between: str = ", ") -> Column:
     """A map of counts as k=v, sorted by key."""
-    return F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ", ")
+    return F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), between)
 
 
 def snapshot_id(ts: Column) -> Column:

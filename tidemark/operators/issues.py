@@ -206,14 +206,26 @@ def merged_in_file(issues: DataFrame) -> DataFrame:
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         rows, slots = rows.sort_values(["block_id", "issue_id", "key", "shown", "rule", "code"], ignore_index=True), []
+        by_key: dict[str, int] = {}
+        by_line: dict[tuple, set[int]] = {}  # only issues of one type and severity that share a line can be equal
         for n, r in enumerate(rows.to_dict("records")):
-            r["n"] = n
-            at = next((k for k, s in enumerate(slots) if s["key"] == r["key"]), None)
-            at = next((k for k, s in enumerate(slots) if equal(s, r)), None) if at is None else at
+            r["n"], places = n, [(r["t"], r["severity"], x) for x in r["lines"]]
+            at = by_key.get(r["key"])
             if at is None:
+                at = next((k for k in sorted(set().union(*(by_line.get(p, ()) for p in places))) if equal(slots[k], r)), None)
+            if at is None:
+                at = len(slots)
                 slots.append(r)
             elif r["shown"] and not slots[at]["shown"]:
-                slots[at] = r
+                old, slots[at] = slots[at], r
+                del by_key[old["key"]]
+                for x in old["lines"]:
+                    by_line[old["t"], old["severity"], x].discard(at)
+            else:
+                continue
+            by_key[r["key"]] = at
+            for p in places:
+                by_line.setdefault(p, set()).add(at)
         alive = {s["n"] for s in slots}
         return pd.DataFrame({"file_name": rows["file_name"], "block_id": rows["block_id"], "issue_id": rows["issue_id"], "survivor": [n in alive for n in range(len(rows))]})
 

@@ -677,25 +677,51 @@ def related_files(spark, d):
     return code.related_files(t.union(headers).withColumn("language", trees.language(F.col("path")))).select("path", "related", "score")
 
 
-# --- rows only: order-dependent or sequence-matching operators, held against worked cases in the tests
+# --- order-dependent and sequence-matching operators
 
 
-@query()
+@query(f"SELECT file_name, block_id, line_no AS issue_id, row_number() OVER (PARTITION BY file_name, severity, line_no, feedback_type ORDER BY ({SHOWN}) DESC) = 1 AS survivor FROM issue", "issue")
 def merged_issues(spark, d):
     i = role(spark, d, "issue").withColumns({"issue_id": F.col("line_no"), "type": F.lit("logic"), "issue_line_numbers": F.col("line_no").cast("string"), "description": F.col("feedback_type"), "suggestion": F.lit(""), "rule_id": F.lit(""), "existing_code": F.lit("")})
-    return issues.merged_in_file(i).orderBy("file_name", "block_id", "issue_id")
+    return issues.merged_in_file(i)
 
 
-@query()
+@query(
+    f"""WITH {LINES}, c AS (SELECT doc_id, path, pos, code, greatest(1, (length(code) + 9) // 4) AS t FROM lines),
+ fold AS (SELECT doc_id, pos, t AS used, 0 AS block FROM c WHERE pos = 0 UNION ALL SELECT c.doc_id, c.pos, CASE WHEN f.used + c.t > 300 THEN c.t ELSE f.used + c.t END, CASE WHEN f.used + c.t > 300 THEN f.block + 1 ELSE f.block END FROM fold f JOIN c ON c.doc_id = f.doc_id AND c.pos = f.pos + 1),
+ j AS (SELECT c.*, block, lower(trim(code)) AS x, ends_with(path, '.c') AS is_c, ends_with(path, '.py') AS is_py FROM c JOIN fold USING (doc_id, pos)),
+ k AS (SELECT *, (is_c AND regexp_matches(x, '^(//.*)?$')) OR (is_py AND regexp_matches(x, '^(#.*)?$')) AS bare, (pos = 0 AND starts_with(x, '#!')) OR regexp_matches(x, 'coding[:=]|coverage:|eslint-|go:build|gosec|noinspection|nolint|noqa|nosec|pragma:|shellcheck|sourcemappingurl=|type: ignore') AS acts FROM j)
+ SELECT doc_id::VARCHAR AS path, block AS block_id, bool_and(bare AND NOT acts) AS comment_only FROM k GROUP BY ALL""",
+    "tree",
+)
 def comment_only_blocks(spark, d):
     lines = F.transform(F.split("text", "\n"), lambda x, i: text.diff_line(i + 1, F.lit("+"), x))
     t = role(spark, d, "tree").select(F.col("doc_id").cast("string").alias("path"), trees.language(F.col("path")).alias("language"), F.posexplode(diffs.split_blocks(lines, 300)).alias("block_id", "diff_lines"))
     return code.comment_only(t)
 
 
+ORACLE_SQL["comment_only_blocks"] = ORACLE_SQL["comment_only_blocks"].replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 @query()
 def line_diffs(spark, d):
     t = role(spark, d, "tree").groupBy("path").agg(F.min_by("text", "doc_id").alias("a"), F.max_by("text", "doc_id").alias("b"))
     base = t.select("path", F.col("a").alias("text"), F.md5(F.col("a").cast("binary")).alias("md5"))
     head = t.select("path", F.col("b").alias("text"), F.md5(F.col("b").cast("binary")).alias("md5"))
     return diffs.changed_targets(diffs.compared(base, head), base, head)
+
+
+@query("""WITH t AS (SELECT path, min_by(text, doc_id) AS a, max_by(text, doc_id) AS b FROM tree GROUP BY path),
+ l AS (SELECT path, string_split(a, chr(10)) AS x, string_split(b, chr(10)) AS y FROM t WHERE a <> b)
+ SELECT path, md5(array_to_string(x[1:len(x) - (x[-1] = '')::INT], chr(10))) AS old_digest, md5(array_to_string(y[1:len(y) - (y[-1] = '')::INT], chr(10))) AS new_digest FROM l""", "tree")
+def line_diffs_rebuilt(spark, d):
+    """Both texts, rebuilt from the diff with all of its context: old lines are the equal and removed ones, new lines the equal and added ones."""
+    t = role(spark, d, "tree").groupBy("path").agg(F.min_by("text", "doc_id").alias("a"), F.max_by("text", "doc_id").alias("b"))
+    base = t.select("path", F.col("a").alias("text"), F.md5(F.col("a").cast("binary")).alias("md5"))
+    head = t.select("path", F.col("b").alias("text"), F.md5(F.col("b").cast("binary")).alias("md5"))
+    made = diffs.changed_targets(diffs.compared(base, head), base, head, 1 << 30)
+    side = lambda *marks: F.md5(F.array_join(F.transform(F.filter("diff_lines", lambda x: F.substring(x, 7, 1).isin(*marks)), lambda x: F.substring(x, F.lit(10), F.length(x))), "\n").cast("binary"))
+    return made.select("path", side(" ", "-").alias("old_digest"), side(" ", "+").alias("new_digest"))
+
+
+from tidemark.plans import reports  # noqa: E402, F401  (adds its queries to these)
