@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from itertools import chain, groupby
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -204,11 +206,12 @@ def merged_in_file(issues: DataFrame) -> DataFrame:
         x, y = set(a["words"]), set(b["words"])
         return bool(x and y) and len(x & y) / len(x | y) >= 0.65
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, slots = rows.sort_values(["block_id", "issue_id", "key", "shown", "rule", "code"], ignore_index=True), []
+    def fold(rows: list[dict]) -> list[bool]:
+        """Whether each of a file's issues, in order, survives."""
+        slots: list[dict] = []
         by_key: dict[str, int] = {}
         by_line: dict[tuple, set[int]] = {}  # only issues of one type and severity that share a line can be equal
-        for n, r in enumerate(rows.to_dict("records")):
+        for n, r in enumerate(rows):
             r["n"], places = n, [(r["t"], r["severity"], x) for x in r["lines"]]
             at = by_key.get(r["key"])
             if at is None:
@@ -227,9 +230,19 @@ def merged_in_file(issues: DataFrame) -> DataFrame:
             for p in places:
                 by_line.setdefault(p, set()).add(at)
         alive = {s["n"] for s in slots}
-        return pd.DataFrame({"file_name": rows["file_name"], "block_id": rows["block_id"], "issue_id": rows["issue_id"], "survivor": [n in alive for n in range(len(rows))]})
-
-    return ready.groupBy("file_name").applyInPandas(fold, "file_name string, block_id int, issue_id int, survivor boolean")
+        return [n in alive for n in range(len(rows))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, schema = ["file_name", "block_id", "issue_id", "survivor"], pa.schema([("file_name", pa.string()), ("block_id", pa.int32()), ("issue_id", pa.int32()), ("survivor", pa.bool_())])
+        rows = chain.from_iterable(b.to_pylist() for b in batches)
+        for _, group in groupby(rows, key=lambda r: r["file_name"]):
+            own = list(group)
+            for r, survives in zip(own, fold(own), strict=True):
+                r["survivor"] = survives
+            yield pa.RecordBatch.from_pylist([{c: r[c] for c in out} for r in own], schema)
+
+    order = ["file_name", "block_id", "issue_id", "key", "shown", "rule", "code"]
+    return ready.repartition("file_name").sortWithinPartitions(*order).mapInArrow(run, "file_name string, block_id int, issue_id int, survivor boolean")
 
 
 def numbered(issues: DataFrame, by: list[str], order: list[str]) -> DataFrame:
