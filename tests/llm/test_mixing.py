@@ -67,3 +67,35 @@ def test_empty_table(spark):
     assert mixing.taken(docs(spark, [])).count() == 0
     assert mixing.mixed_documents(docs(spark, [])).count() == 0
     assert [r.taken for r in mixing.taken(docs(spark, [(1, None), (2, "")])).collect()] == [0, 0]
+
+
+def test_long_texts_and_clashing_columns(spark):
+    rows = [(1, prose(1, 30_000), "a"), (2, prose(2, 50), "a"), (3, prose(3, 900), "b"), (3, prose(3, 900), "b"), (None, prose(4, 40), "b")]
+    df = docs(spark, rows).withColumns({"size": F.lit("x"), "rank": F.lit(1), "at": F.lit(2), "taken": F.lit("y"), "target": F.lit(None)})
+    got = mixing.taken(df)
+    assert got.columns == ["doc_id", "size", "source_size", "target", "taken"]
+    out = got.collect()
+    assert sorted((r.size, str(r.doc_id)) for r in out) == sorted((len(t.split()), str(i)) for i, t, _ in rows) and all(r.taken <= 2 * r.size for r in out)
+    assert abs(sum(r.taken for r in out) - sum({r.source_size: r.target for r in out}.values())) <= 2
+
+
+def test_draws_agree_however_they_are_split(spark, monkeypatch):
+    """Slots are dealt alike, and all of them, whether shards are drawn for together or apart."""
+    sources = mixing.plan(mixing.targets(mixing.sized(docs(spark, [(i, prose(i, 80), f"s{i % 5}") for i in range(100)]))), 16)
+    monkeypatch.setattr(mixing, "SHARD_SLOTS", 20)
+    found = []
+    for drawn in (1, 3, 1024):
+        monkeypatch.setattr(mixing, "DRAWN", drawn)
+        found.append(sorted(map(tuple, mixing.placements(sources, 16).collect())))
+    assert found[0] == found[1] == found[2] and len({s for _, s, *_ in found[0]}) > 20
+    words = {r["rank"]: round(r.target) for r in sources.collect()}
+    assert {k: sum(t for r, *_, t in found[0] if r == k) for k in words} == words
+
+
+def test_targets_of_many_sources(spark):
+    rng = np.random.default_rng(2)
+    sizes = {f"s{i:03d}": int(rng.integers(0, 1000) ** 2 / 100) for i in range(300)}
+    df = spark.createDataFrame([(i, s, n, i) for i, (s, n) in enumerate(sizes.items())], "doc_id long, source string, size long, text_key long")
+    got = {r.source: r.target for r in mixing.targets(df).collect()}
+    want = wanted(sizes)
+    assert all(got[s] == pytest.approx(want[s]) for s in sizes)
