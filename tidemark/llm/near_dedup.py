@@ -38,7 +38,7 @@ from tidemark.llm.common import alone, checked, fresh, joined_by_key, kept, tabl
 from tidemark.llm.shingles import chunks, mix, shingle_hashes, word_hashes
 
 #: Coordinates of the sketch, independent trees, largest node that is compared exhaustively, deepest level.
-K, TREES, SMALL, DEEPEST = 64, 20, 64, 3
+K, TREES, SMALL, DEEPEST = 64, 16, 64, 2
 #: Classes in a block of a dense group, and bytes of their texts.
 BLOCK, BLOCK_BYTES = 512, 4 << 20
 #: Similarity in hundredths, and the number of equal coordinates under which a pair is not confirmed.
@@ -169,17 +169,18 @@ def components(links: DataFrame) -> DataFrame:
 
     Every round each key takes the smallest label among its own and its neighbours', then that label's own label,
     until nothing changes. Rounds grow with the logarithm of a chain's length, in practice; all is written to the shared folder.
+    A key with very many links, and a label that very many keys have, are broadcast.
     """
     both = kept(links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = kept(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("key"), F.least("a", "m").alias("comp")))
+    labels = kept(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("times")).select(F.col("a").alias("key"), F.least("a", "m").alias("comp"), "times"))
     while True:
-        near = both.join(labels, both.b == labels.key).groupBy("a").agg(F.min("comp").alias("near"))
-        new = labels.join(near, labels.key == near.a).select("key", F.least("comp", "near").alias("comp"), F.col("comp").alias("old"))
-        jump = new.select(F.col("key").alias("comp"), F.col("comp").alias("up"))
-        new = kept(new.join(jump, "comp").select("key", F.least("comp", "up").alias("comp"), "old"))
+        near = joined_by_key(both, labels.withColumnRenamed("key", "b"), ["b"], "times").groupBy("a").agg(F.min("comp").alias("near"))
+        new = kept(labels.join(near, labels.key == near.a).select("key", F.least("comp", "near").alias("comp"), F.col("comp").alias("old"), "times"))
+        jump = new.select(F.col("key").alias("comp"), F.col("comp").alias("up")).join(new.groupBy("comp").agg(F.count("*").alias("n")), "comp")
+        new = kept(joined_by_key(new, kept(jump), ["comp"], "n").select("key", F.least("comp", "up").alias("comp"), "old", "times"))
         if not new.where("comp <> old").limit(1).count():
             return new.select("key", "comp")
-        labels = new.select("key", "comp")
+        labels = new.select("key", "comp", "times")
 
 
 def _row_id(doc_id: str) -> Column:
