@@ -20,7 +20,7 @@ def test_same_as_the_library(spark, monkeypatch):
     monkeypatch.setattr(bpe, "PART", 300)
     own = library()
     out = {r.doc_id: r for r in bpe.encoded(docs(spark, list(enumerate(TEXTS))), PATH, PATTERN).collect()}
-    digests = {r.doc_id: r for r in bpe.encoded(docs(spark, list(enumerate(TEXTS))), PATH, PATTERN, digest=True).collect()}
+    digests = {r.doc_id: r for r in bpe.encoded(docs(spark, list(enumerate(TEXTS))), PATH, PATTERN, bpe.DIGESTS).collect()}
     for i, t in enumerate(TEXTS):
         want = np.array(own.encode_ordinary(t or ""), "<u4").tobytes()
         assert bytes(out[i].ids) == want and out[i].n_tokens == len(want) // 4 and bytes(out[i].decoded) == (t or "").encode()
@@ -54,7 +54,7 @@ def test_every_token_encodes_to_itself():
 
 def test_text_of_millions_of_tokens(spark):
     text = prose(9, 1_400_000) + " " + "b" * 70_000 + " end"
-    got = bpe.encoded(docs(spark, [(1, text), (2, "short")]).withColumns({"ids": F.lit(1), "n_tokens": F.lit("x")}), PATH, PATTERN, digest=True).where("doc_id = 1").first()
+    got = bpe.encoded(docs(spark, [(1, text), (2, "short")]).withColumns({"ids": F.lit(1), "n_tokens": F.lit("x")}), PATH, PATTERN, bpe.DIGESTS).where("doc_id = 1").first()
     want = np.array(library().encode_ordinary(text), "<u4")
     assert len(want) > 4_000_000 and got.n_tokens == len(want)
     assert got.ids_sha256 == sha256(want.tobytes()).hexdigest() and got.decoded_sha256 == sha256(text.encode()).hexdigest()

@@ -27,13 +27,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm.common import table
+from tidemark.llm.common import kept_in_batches, table
 from tidemark.llm.shingles import chunks
 
 #: Bytes of text worked on at once, pieces of a longer text worked on at once, and known pieces kept.
-SLICE, PART, KNOWN = 3 << 20, 400_000, 300_000
+SLICE, PART, KNOWN = 2 << 20, 250_000, 250_000
 ENCODED = "doc_id long, n_tokens long, ids binary, decoded binary"
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+IDS = "doc_id long, n_tokens long, ids binary, decoded_sha256 string"
 
 #: Bytes of a piece: a longer one contracts many pairs in a pass; one beyond LONGEST would still take minutes (300,000 random
 #: letters: 160 s, and its rows 400 MB) and is merged by the same rule with a heap.
@@ -94,7 +95,7 @@ class Codec:
         import regex
 
         self.ranks, self.pattern = ranks(path), regex.compile(pattern)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
         left, right, merged = [], [], []
         for token, rank in self.ranks.items():
             for cut in range(1, len(token)):
@@ -238,15 +239,16 @@ class _Whole:
         return b"".join(self.parts)
 
 
-def _run(path: str, pattern: str, digest: bool):
-    kind, arrow = (_Digest, pa.string()) if digest else (_Whole, pa.binary())
+def _run(path: str, pattern: str, schema: str):
+    names, types = zip(*(c.split() for c in schema.split(", ")), strict=True)
+    (of_ids, ids_type), (of_back, back_type) = ((_Digest, pa.string()) if t == "string" else (_Whole, pa.binary()) for t in types[2:])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             codec = codec_of(path, pattern)
             for first, last, _, _ in chunks(b.column("text"), SLICE):
                 texts = [t or "" for t in b.column("text")[first:last].to_pylist()]
-                n, raw, back = np.zeros(len(texts), np.int64), [kind() for _ in texts], [kind() for _ in texts]
+                n, raw, back = np.zeros(len(texts), np.int64), [of_ids() for _ in texts], [of_back() for _ in texts]
                 for at, found in codec.parts(texts):
                     ids, counts = codec.encode(found)
                     ends, decoded, as_bytes = np.cumsum(counts), codec.decode(ids, counts), ids.astype("<u4")
@@ -254,18 +256,18 @@ def _run(path: str, pattern: str, digest: bool):
                         n[at + k] += c
                         raw[at + k].add(as_bytes[e - c : e].tobytes())
                         back[at + k].add(decoded[k])
-                rows = [b.column("doc_id")[first:last].cast(pa.int64()), pa.array(n), pa.array([x.value() for x in raw], arrow), pa.array([x.value() for x in back], arrow)]
-                yield pa.RecordBatch.from_arrays(rows, names=[c.split()[0] for c in (DIGESTS if digest else ENCODED).split(", ")])
+                rows = [b.column("doc_id")[first:last].cast(pa.int64()), pa.array(n), pa.array([x.value() for x in raw], ids_type), pa.array([x.value() for x in back], back_type)]
+                yield pa.RecordBatch.from_arrays(rows, names=names)
 
     return run
 
 
-def encoded(docs: DataFrame, path: str, pattern: str, digest: bool = False) -> DataFrame:
-    """One row per document: ids as little-endian unsigned 32-bit integers and the bytes that they decode to, or the digests of both."""
-    return docs.select("doc_id", "text").mapInArrow(_run(path, pattern, digest), DIGESTS if digest else ENCODED)
+def encoded(docs: DataFrame, path: str, pattern: str, schema: str = ENCODED) -> DataFrame:
+    """One row per document, stored: ids as little-endian unsigned 32-bit integers and the bytes that they decode to (ENCODED), or the digest of the second (IDS) or of both (DIGESTS)."""
+    return kept_in_batches(docs.select("doc_id", "text").mapInArrow(_run(path, pattern, schema), schema), 1024)
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, digest=True)
+    return encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, DIGESTS)

@@ -51,6 +51,19 @@ def labelled_ids(labels: DataFrame, label: str, most: int, rows: Column | None =
     return ids.where("y = 1").orderBy(*order).limit(ones).unionAll(ids.where("y = 0").orderBy(*order).limit(most - ones))
 
 
+def kept_in_batches(df: DataFrame, rows: int) -> DataFrame:
+    """df, which calls Python over Arrow batches, kept: batches have at most so many rows and, where these are long, about 8 MB. The session's settings are as before afterwards."""
+    conf, values = df.sparkSession.conf, {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+    before = {k: conf.get(k) for k in values}
+    for k, v in values.items():
+        conf.set(k, v)
+    try:
+        return kept(df)
+    finally:
+        for k, v in before.items():
+            conf.set(k, v)
+
+
 def sample_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """doc_id, y and text of a bounded sample of ids (doc_id, y): one row for each id, whatever the number of rows that have it."""
     return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))

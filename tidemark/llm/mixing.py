@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD, alone, fresh, kept, ranked, running, table
+from tidemark.llm.common import WORD, alone, fresh, kept, kept_in_batches, ranked, running, table
 
 #: Words in a block, slots in an output shard, rows in a chunk of a source, output shards that are drawn for together.
 BLOCK, SHARD_SLOTS, CHUNK_ROWS, DRAWN = 256, 4096, 4096, 1024
@@ -228,7 +228,7 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     got = got.join(n, "rank").withColumn("turn", F.floor(F.col("j") / F.col("blocks")))
     per = got.groupBy(F.hash("doc_id").alias(kd), F.col("text_key").alias(kt), F.xxhash64("source", "doc_id").alias(ks)).agg(F.collect_list(F.struct("at", "turn", "first", "n")).alias(lists))
     keyed = docs.withColumns({kd: F.hash("doc_id"), kt: F.xxhash64("text"), ks: F.xxhash64("source", "doc_id")}).dropDuplicates([kd, kt, ks])
-    return keyed.join(per, [kd, kt, ks]).drop(kd, kt, ks).mapInArrow(_cut(docs.columns, lists), docs.schema)
+    return kept_in_batches(keyed.join(per, [kd, kt, ks]).drop(kd, kt, ks).mapInArrow(_cut(docs.columns, lists), docs.schema), 256)
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import alone, checked, fresh, joined_by_key, kept, table
+from tidemark.llm.common import alone, checked, fresh, joined_by_key, kept, kept_in_batches, table
 from tidemark.llm.shingles import chunks, mix, shingle_hashes, word_hashes
 
 #: Coordinates of the sketch, independent trees, largest node that is compared exhaustively, deepest level.
@@ -197,7 +197,7 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFra
     """The pairs (a, b) whose texts are linked."""
     t = _texts(pairs.select(F.col("a").alias("key")).unionAll(pairs.select(F.col("b").alias("key"))).distinct(), classes, docs)
     with_a = pairs.join(t.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a")
-    return kept(with_a.join(t.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb").mapInArrow(_confirm, "a binary, b binary"))
+    return kept_in_batches(with_a.join(t.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb").mapInArrow(_confirm, "a binary, b binary"), 64)
 
 
 def _labelled(rows: DataFrame, comps: DataFrame) -> DataFrame:
@@ -206,20 +206,20 @@ def _labelled(rows: DataFrame, comps: DataFrame) -> DataFrame:
 
 def links(classes: DataFrame, docs: DataFrame) -> DataFrame:
     """Enough links (a, b) between classes (key, sketch, n_bytes, row) of docs to make the components."""
-    nodes = kept(classes.select("key", "sketch").mapInArrow(_grow, "tree int, path long, key binary"))
+    nodes = kept_in_batches(classes.select("key", "sketch").mapInArrow(_grow, "tree int, path long, key binary"), 1024)
     stars = kept(nodes.groupBy(*NODE).agg(F.min("key").alias("low"), F.count("*").alias("n")).where("n > 1"))
     nodes = kept(joined_by_key(nodes, stars, NODE, "n").drop("n"))
     s = classes.select("key", "sketch")
     pairs = nodes.where("key > low").select(F.col("low").alias("a"), F.col("key").alias("b")).distinct()
     pairs = pairs.join(s.select(F.col("key").alias("a"), F.col("sketch").alias("sa")), "a").join(s.select(F.col("key").alias("b"), F.col("sketch").alias("sb")), "b")
-    found = _confirmed(kept(pairs.select("a", "b", "sa", "sb").mapInArrow(_close, "a binary, b binary")), classes, docs)
+    found = _confirmed(kept_in_batches(pairs.select("a", "b", "sa", "sb").mapInArrow(_close, "a binary, b binary"), 1024), classes, docs)
     rows = kept(_labelled(nodes.drop("low"), components(found)))
     for level in range(1, DEEPEST + 1):
         size = rows.groupBy(*NODE).agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").drop("lo", "hi")
         rows = joined_by_key(rows, kept(size), NODE, "n")
         rows = kept(rows.join(s, "key") if level == 1 else rows)
         inner = rows.where(F.col("n") <= SMALL).groupBy(*NODE).agg(*(F.collect_list(c).alias(c + ("es" if c == "sketch" else "s")) for c in ("key", "comp", "sketch")))
-        pairs = kept(inner.select("keys", "comps", "sketches").mapInArrow(_within, "a binary, b binary").distinct())
+        pairs = kept_in_batches(inner.select("keys", "comps", "sketches").mapInArrow(_within, "a binary, b binary").distinct(), 1024)
         more = _confirmed(pairs, classes, docs)
         found = found.unionAll(more)
         large = rows.where(F.col("n") > SMALL).drop("n")
@@ -228,7 +228,7 @@ def links(classes: DataFrame, docs: DataFrame) -> DataFrame:
         if level == 1:
             large = _labelled(large, components(found))
         if level < DEEPEST:
-            rows = kept(large.select(*NODE, "key", "comp", "sketch").mapInArrow(_branch, "tree int, path long, key binary, comp binary, sketch binary"))
+            rows = kept_in_batches(large.select(*NODE, "key", "comp", "sketch").mapInArrow(_branch, "tree int, path long, key binary, comp binary, sketch binary"), 1024)
     return found.unionAll(_dense(large, classes, docs))
 
 
@@ -287,13 +287,13 @@ def _dense(large: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     texts = _texts(large.select("key").distinct(), classes, docs)
     units = rows.join(texts, "key").select(*NODE, F.explode(F.when(inner, against_rest).otherwise(F.concat(against_rest, against_core))).alias("unit"), "key", "comp", "text")
     lists = units.groupBy(*NODE, "unit").agg(*(F.collect_list(c).alias(c + "s") for c in ("key", "comp", "text")))
-    return kept(lists.select("keys", "comps", "texts").mapInArrow(_in_block, "a binary, b binary").distinct())
+    return kept_in_batches(lists.select("keys", "comps", "texts").mapInArrow(_in_block, "a binary, b binary").distinct(), 1)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, key (the words' hash), n_shingles, component_id and kept, a row for each row of docs."""
     spark = docs.sparkSession
-    rows = kept(sketched(docs))
+    rows = kept_in_batches(sketched(docs), 512)
     row = F.min(F.struct(_row_id("doc_id").alias("id"), "text_key")).alias("row")
 
     def named() -> DataFrame:

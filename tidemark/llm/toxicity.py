@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fold, labelled_ids, sample_texts, table
+from tidemark.llm.common import fold, kept_in_batches, labelled_ids, sample_texts, table
 from tidemark.llm.shingles import _BASE, _BYTE, _INVERSE, _powers, chunks, mix
 
 #: The model is fitted on at most so many labelled rows, a third of them toxic if there are as many. Of a text of more characters
@@ -314,7 +314,7 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     if model is None:
         out = docs.select("doc_id", F.lit(0.0).alias("score"))
     else:
-        out = docs.select("doc_id", "text").mapInArrow(_score(model), "doc_id long, score double")
+        out = kept_in_batches(docs.select("doc_id", "text").mapInArrow(_score(model), "doc_id long, score double"), 1024)
     held = F.coalesce(fold(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
