@@ -23,9 +23,8 @@ from functools import partial
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tidemark.llm.bpe import encoded
+from tidemark.llm.bpe import IDS, encoded
 from tidemark.llm.common import alone, table
 from tidemark.llm.line_dedup import line_deduped
 from tidemark.llm.mixing import mixed_documents
@@ -56,7 +55,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return encoded(docs, TOKENIZER, PATTERN).select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return encoded(docs, TOKENIZER, PATTERN, IDS)
 
 
 STAGES = [("quality rules", quality), ("line dedup", lines), ("near dedup", near), ("mixing", mix), ("byte-level BPE", encode)]
