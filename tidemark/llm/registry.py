@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tidemark.llm.bpe import op4_byte_bpe
 from tidemark.llm.hard_negatives import OP11_SQL, op11_hard_negatives
+from tidemark.llm.importance import OP12_SQL, op12_importance
 from tidemark.llm.line_dedup import OP1_SQL, op1_line_dedup
 from tidemark.llm.mixing import op3_mixing
 from tidemark.llm.near_dedup import OP5_SQL, op5_near_dedup
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_quality_rank": op10_quality_rank,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_importance": op12_importance,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op5_near_dedup": OP5_SQL, "op7_warc": OP7_SQL, "op11_hard_negatives": OP11_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op5_near_dedup": OP5_SQL, "op7_warc": OP7_SQL, "op11_hard_negatives": OP11_SQL, "op12_importance": OP12_SQL}
