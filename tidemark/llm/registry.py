@@ -12,6 +12,7 @@ from tidemark.llm.neighbours import op2_neighbours
 from tidemark.llm.quality_rank import op10_quality_rank
 from tidemark.llm.quality_rules import op9_quality_rules
 from tidemark.llm.sharding import op8_sharding
+from tidemark.llm.substrings import OP13_SQL, op13_substring_dedup
 from tidemark.llm.toxicity import op6_toxicity
 from tidemark.llm.warc import OP7_SQL, op7_warc
 
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_quality_rank": op10_quality_rank,
     "op11_hard_negatives": op11_hard_negatives,
     "op12_importance": op12_importance,
+    "op13_substring_dedup": op13_substring_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op5_near_dedup": OP5_SQL, "op7_warc": OP7_SQL, "op11_hard_negatives": OP11_SQL, "op12_importance": OP12_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op5_near_dedup": OP5_SQL, "op7_warc": OP7_SQL, "op11_hard_negatives": OP11_SQL, "op12_importance": OP12_SQL, "op13_substring_dedup": OP13_SQL}
