@@ -4,6 +4,7 @@ from hashlib import sha256
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import tiktoken
 from pyspark.sql import functions as F
 
@@ -17,7 +18,7 @@ TEXTS = [None, "", " ", "a" * 3000, " " * 500 + "x", "hello world's <|endoftext|
 def test_same_as_the_library(spark, monkeypatch):
     monkeypatch.setattr(bpe, "SLICE", 4000)
     monkeypatch.setattr(bpe, "KNOWN", 50)
-    monkeypatch.setattr(bpe, "PART", 300)
+    monkeypatch.setattr(bpe, "CALL", 300)
     own = library()
     out = {r.doc_id: r for r in bpe.encoded(docs(spark, list(enumerate(TEXTS))), PATH, PATTERN).collect()}
     digests = {r.doc_id: r for r in bpe.encoded(docs(spark, list(enumerate(TEXTS))), PATH, PATTERN, bpe.DIGESTS).collect()}
@@ -60,6 +61,17 @@ def test_text_of_millions_of_tokens(spark):
     assert got.ids_sha256 == sha256(want.tobytes()).hexdigest() and got.decoded_sha256 == sha256(text.encode()).hexdigest()
 
 
+def test_long_text_of_long_pieces():
+    """8 MB of distinct words of 60 letters, and a few of thousands: neither parts nor queries outgrow the database's memory."""
+    rng = random.Random(11)
+    text = " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=60)) for _ in range(130_000)) + " " + " ".join("".join(rng.choices("acgt", k=5000)) for _ in range(20))
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([text, "x"])], ["doc_id", "text"])
+    got = pa.Table.from_batches(bpe._run(PATH, PATTERN, bpe.DIGESTS)([batch])).to_pylist()[0]
+    want = np.array(library().encode_ordinary(text), "<u4")
+    assert len(text) > 8_000_000 and got["n_tokens"] == len(want)
+    assert got["ids_sha256"] == sha256(want.tobytes()).hexdigest() and got["decoded_sha256"] == sha256(text.encode()).hexdigest()
+
+
 def test_null_id(spark):
     assert [(r.doc_id, r.n_tokens) for r in bpe.encoded(docs(spark, [(None, "a"), (None, None)]), PATH, PATTERN).orderBy("n_tokens").collect()] == [(None, 0), (None, 1)]
 

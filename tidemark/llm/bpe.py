@@ -6,9 +6,10 @@ of minimum rank, until no pair is left. Pieces of over LONG bytes contract all t
 from the left, none overlapping: that is the same, as a new pair always has a higher rank than the one it came from, the
 vocabulary being one in which every token encodes to itself. Decoding is an ordered aggregation of the tokens' bytes.
 
-Texts are taken in slices of a bounded number of bytes, and longer ones in parts of a bounded number of pieces that are
-digested one after another; the table of known pieces is emptied when it has grown past a bound. So memory follows
-neither the partition's size nor a text's. Nothing is shuffled and nothing is written locally.
+Texts are taken in slices of a bounded number of bytes, and longer ones in parts of as many bytes that are
+digested one after another; a query gets a bounded number of bytes, and the table of known pieces is emptied when it has
+grown past a bound. So memory follows neither the partition's size nor a text's, but for a text's own bytes and those of a single piece.
+Nothing is shuffled and nothing is written locally.
 
 Cases: a null text is an empty one; both have no tokens; a null id stays null; an empty table gives an empty result; repeated
 rows are encoded one by one; a text of any length is encoded whole; extra columns, whatever their names, are left out.
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
 from heapq import heapify, heappop, heappush
-from itertools import chain, islice
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +31,8 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm.common import kept_in_batches, table
 from tidemark.llm.shingles import chunks
 
-#: Bytes of text worked on at once, pieces of a longer text worked on at once, and known pieces kept.
-SLICE, PART, KNOWN = 2 << 20, 250_000, 250_000
+#: Bytes of text worked on at once, bytes that a query contracts at once, and known pieces and their bytes that are kept.
+SLICE, CALL, KNOWN, KNOWN_BYTES = 2 << 20, 1 << 20, 250_000, 16 << 20
 ENCODED = "doc_id long, n_tokens long, ids binary, decoded binary"
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 IDS = "doc_id long, n_tokens long, ids binary, decoded_sha256 string"
@@ -87,6 +88,18 @@ def ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+def bounded(items: list[int], sizes: list[int], most: int) -> Iterator[list[int]]:
+    """items in groups of at most so many bytes together, or one."""
+    first, total = 0, 0
+    for i, size in enumerate(sizes):
+        if i > first and total + size > most:
+            yield items[first:i]
+            first, total = i, 0
+        total += size
+    if items:
+        yield items[first:]
+
+
 class Codec:
     """A task's database: the merge table, the vocabulary and the pieces met so far."""
 
@@ -113,6 +126,7 @@ class Codec:
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
+        self.known_bytes = 0
         self.ids, self.starts = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def learn(self, pieces: list[str]) -> None:
@@ -125,16 +139,11 @@ class Codec:
                 ids[i] = self.merged(r)
             elif ids[i] is None:
                 (long if len(r) > LONG else short).append(i)
-        for i, found in self.contracted(ENCODE, [raw[i] for i in short]):
-            ids[short[i]] = found
-        while long:  # as many as have LONGEST bytes together, or one
-            n, size = 0, 0
-            while n < len(long) and (not n or size + len(raw[long[n]]) <= LONGEST):
-                size += len(raw[long[n]])
-                n += 1
-            for i, found in self.contracted(ENCODE_LONG, [raw[i] for i in long[:n]]):
-                ids[long[i]] = found
-            long = long[n:]
+        for query, some, most in ((ENCODE, short, CALL), (ENCODE_LONG, long, LONGEST)):
+            for part in bounded(some, [len(raw[i]) for i in some], most):
+                for i, found in self.contracted(query, [raw[i] for i in part]):
+                    ids[part[i]] = found
+        self.known_bytes += sum(map(len, raw))
         first = len(self.known)
         self.known.update(zip(pieces, range(first, first + len(pieces)), strict=True))
         self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(ids), np.int32)])
@@ -174,17 +183,23 @@ class Codec:
 
     def parts(self, texts: list[str]) -> Iterator[tuple[int, list[list[str]]]]:
         """The pieces of texts: the first text's number and the pieces of each from there on; a long text alone, a part at a time."""
-        if len(texts) > 1 or len(texts[0]) <= SLICE:
+        if len(texts) > 1 or len(texts[0]) <= SLICE // 4:
             yield 0, [self.pattern.findall(t) for t in texts]
             return
-        found = (m[0] for m in self.pattern.finditer(texts[0]))
-        while part := list(islice(found, PART)):
+        part, size = [], 0
+        for m in self.pattern.finditer(texts[0]):
+            part.append(m[0])
+            size += len(m[0].encode("utf-8", "surrogatepass"))
+            if size >= SLICE:
+                yield 0, [part]
+                part, size = [], 0
+        if part:
             yield 0, [part]
 
     def encode(self, found: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts' pieces, one after another, and how many each text has."""
         pieces = list(chain.from_iterable(found))
-        if len(self.known) > KNOWN:
+        if len(self.known) > KNOWN or self.known_bytes > KNOWN_BYTES:
             self.forget()
         new = list(set(pieces) - self.known.keys())
         if new:
