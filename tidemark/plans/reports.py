@@ -419,3 +419,5 @@ def log_rows_of_author(spark, d):
     log = role(spark, d, "log").where(views.within(F.col("create_time"), LOG_START, LOG_END) & views.author_is(F.col("file_author"), "u7"))
     return endpoints.log_view(log).select("id", "severity")
 
+
+from tidemark.plans import stored  # noqa: E402, F401  (adds its queries to these)

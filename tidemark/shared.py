@@ -56,6 +56,13 @@ def alone(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
     return out
 
 
+def scratch(spark: SparkSession) -> str:
+    """A folder of its own in the shared one, which `clear` deletes with the tables."""
+    at = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    _tables.append(at)
+    return at
+
+
 def kept(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
