@@ -7,7 +7,7 @@ from the left, none overlapping: that is the same, as a new pair always has a hi
 vocabulary being one in which every token encodes to itself. Decoding is an ordered aggregation of the tokens' bytes.
 
 Texts are taken in slices of a bounded number of bytes, and longer ones in parts of as many bytes that are
-digested one after another; a query gets a bounded number of bytes, and the table of known pieces is emptied when it has
+digested one after another; a query gets a bounded number of bytes, and the table of known pieces loses those that were met least when it has
 grown past a bound. So memory follows neither the partition's size nor a text's, but for a text's own bytes and those of a single piece.
 Nothing is shuffled and nothing is written locally.
 
@@ -32,7 +32,7 @@ from tidemark.llm.common import kept_in_batches, table
 from tidemark.llm.shingles import chunks
 
 #: Bytes of text worked on at once, bytes that a query contracts at once, and known pieces and their bytes that are kept.
-SLICE, CALL, KNOWN, KNOWN_BYTES = 2 << 20, 1 << 20, 250_000, 16 << 20
+SLICE, CALL, KNOWN, KNOWN_BYTES = 2 << 20, 1 << 20, 500_000, 16 << 20
 ENCODED = "doc_id long, n_tokens long, ids binary, decoded binary"
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 IDS = "doc_id long, n_tokens long, ids binary, decoded_sha256 string"
@@ -79,7 +79,7 @@ SELECT k >> 16 AS piece, list(tok ORDER BY k) AS ids FROM step WHERE tok >= 0 GR
 """
 
 #: A token's bytes are written as the characters with these numbers (0 as 256), so that any bytes make a string.
-DECODE = "SELECT doc, string_agg(chars, '' ORDER BY pos) FROM tokens JOIN vocabulary USING (tok) GROUP BY doc"
+DECODE = "SELECT doc, array_to_string(list(chars ORDER BY pos), '') FROM tokens JOIN vocabulary USING (tok) GROUP BY doc"
 
 
 @lru_cache(1)
@@ -124,10 +124,18 @@ class Codec:
         self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         self.forget()
 
-    def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.known_bytes = 0
-        self.ids, self.starts = np.zeros(0, np.int32), np.zeros(1, np.int64)
+    def forget(self, keep: int = 0) -> None:
+        """Known pieces go, but for `keep` of them that were met most often, and more than once."""
+        kept = np.zeros(0, np.int64)
+        if keep:
+            often = np.flatnonzero(self.hits > 1)
+            kept = np.sort(often[np.argsort(-self.hits[often], kind="stable")[:keep]])
+        pieces = list(self.known) if keep else []
+        ids = [self.ids[self.starts[i] : self.starts[i + 1]] for i in kept]
+        self.known: dict[str, int] = {pieces[i]: n for n, i in enumerate(kept)}
+        self.known_bytes = sum(map(len, self.known))
+        self.ids = np.concatenate([np.zeros(0, np.int32), *ids])
+        self.starts, self.hits = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64), np.zeros(len(kept), np.int64)
 
     def learn(self, pieces: list[str]) -> None:
         """Ids of pieces that aren't known: whole tokens as they are, the others by the recursive queries."""
@@ -200,11 +208,16 @@ class Codec:
         """The ids of all texts' pieces, one after another, and how many each text has."""
         pieces = list(chain.from_iterable(found))
         if len(self.known) > KNOWN or self.known_bytes > KNOWN_BYTES:
-            self.forget()
+            self.forget(KNOWN // 2)
+        if self.known_bytes > KNOWN_BYTES // 2 and not self.hits.any():
+            self.forget()  # what was kept is long
         new = list(set(pieces) - self.known.keys())
         if new:
             self.learn(new)
         number = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+        met = np.bincount(number, minlength=len(self.starts) - 1)
+        met[: len(self.hits)] += self.hits
+        self.hits = met
         size = self.starts[number + 1] - self.starts[number]
         ends = np.cumsum(size)
         ids = self.ids[np.repeat(self.starts[number] - (ends - size), size) + np.arange(int(size.sum()))]
