@@ -6,7 +6,8 @@ of its shingle set. In each of TREES independent trees a node of the tree choose
 
 1. At the first level each class is held against the smallest class of its node, which is one comparison for each
    class and node, however large a group of copies is. What links goes into components.
-2. Nodes that still hold several components are compared exhaustively if they are small; the large ones branch
+2. Nodes that still hold several components are compared exhaustively if they are small. In a large one, the classes
+   outside its largest component are held against all others if they are few; only if they are many, it branches
    again. A node whose classes are in one component already is done: no link between texts is lost by that, as it
    could not change a component. What is still large at the deepest level is a dense group: there every class outside
    the group's largest component is held against all others, in blocks of full shingle sets that are bounded in classes and bytes.
@@ -147,6 +148,22 @@ def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
 
+def _against(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Classes (key, sketch) of a node's largest component, each with the few others (keys and sketches in lists): pairs that are worth confirming."""
+    for batch in batches:
+        a, b = [], []
+        own = _sketches(batch.column("sketch"))
+        node = batch.column("path").to_numpy() ^ mix(batch.column("tree").to_numpy().astype(np.uint64)).astype(np.int64)
+        for at in np.split(np.argsort(node, kind="stable"), np.flatnonzero(np.diff(np.sort(node))) + 1) if len(batch) else []:
+            keys, few = batch.column("keys")[int(at[0])].as_py(), np.frombuffer(b"".join(batch.column("sketches")[int(at[0])].as_py()), np.uint32).reshape(-1, K)
+            for k, sketch in zip(keys, few, strict=True):
+                for i in at[(own[at] == sketch).sum(1) >= SKETCH]:
+                    x, y = sorted((k, batch.column("key")[int(i)].as_py()))
+                    a.append(x)
+                    b.append(y)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
+
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs with their texts: those whose full sets are similar enough."""
     for b in batches:
@@ -204,6 +221,25 @@ def _labelled(rows: DataFrame, comps: DataFrame) -> DataFrame:
     return rows.drop("comp").join(comps, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
 
 
+def _among(rows: DataFrame) -> DataFrame:
+    """Pairs within nodes of at most SMALL rows (key, comp, sketch)."""
+    lists = rows.groupBy(*NODE).agg(F.collect_list("key").alias("keys"), F.collect_list("comp").alias("comps"), F.collect_list("sketch").alias("sketches"))
+    return kept_in_batches(lists.select("keys", "comps", "sketches").mapInArrow(_within, "a binary, b binary").distinct(), 1024)
+
+
+def _outsiders(large: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The nodes of large (key, comp, sketch) with more than SMALL classes outside their largest component, and the pairs of all others: there, the few are held against all."""
+    counts = large.groupBy(*NODE, "comp").agg(F.count("*").alias("c"))
+    nodes = kept(counts.groupBy(*NODE).agg(F.max_by("comp", F.struct("c", "comp")).alias("core"), F.max("c").alias("c"), F.sum("c").alias("n")).where("c < n"))
+    rows = kept(joined_by_key(large, nodes, NODE, "n"))
+    few = rows.where(F.col("n") - F.col("c") <= SMALL)
+    others = few.where("comp <> core")
+    lists = kept(others.groupBy(*NODE).agg(F.collect_list("key").alias("keys"), F.collect_list("sketch").alias("sketches"), F.max("c").alias("times")))
+    core = joined_by_key(few.where("comp = core").select(*NODE, "key", "sketch"), lists, NODE, "times")
+    pairs = core.select(*NODE, "key", "sketch", "keys", "sketches").mapInArrow(_against, "a binary, b binary").unionAll(_among(others)).distinct()
+    return rows.where(F.col("n") - F.col("c") > SMALL).select(*large.columns), kept_in_batches(pairs, 256)
+
+
 def links(classes: DataFrame, docs: DataFrame) -> DataFrame:
     """Enough links (a, b) between classes (key, sketch, n_bytes, row) of docs to make the components."""
     nodes = kept_in_batches(classes.select("key", "sketch").mapInArrow(_grow, "tree int, path long, key binary"), 1024)
@@ -218,15 +254,15 @@ def links(classes: DataFrame, docs: DataFrame) -> DataFrame:
         size = rows.groupBy(*NODE).agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").drop("lo", "hi")
         rows = joined_by_key(rows, kept(size), NODE, "n")
         rows = kept(rows.join(s, "key") if level == 1 else rows)
-        inner = rows.where(F.col("n") <= SMALL).groupBy(*NODE).agg(*(F.collect_list(c).alias(c + ("es" if c == "sketch" else "s")) for c in ("key", "comp", "sketch")))
-        pairs = kept_in_batches(inner.select("keys", "comps", "sketches").mapInArrow(_within, "a binary, b binary").distinct(), 1024)
-        more = _confirmed(pairs, classes, docs)
-        found = found.unionAll(more)
+        found = found.unionAll(_confirmed(_among(rows.where(F.col("n") <= SMALL)), classes, docs))
         large = rows.where(F.col("n") > SMALL).drop("n")
         if not large.limit(1).count():
             return found
-        if level == 1:
-            large = _labelled(large, components(found))
+        large = kept(_labelled(large, components(found)))
+        large, pairs = _outsiders(large)
+        found = found.unionAll(_confirmed(pairs, classes, docs))
+        if not large.limit(1).count():
+            return found
         if level < DEEPEST:
             rows = kept_in_batches(large.select(*NODE, "key", "comp", "sketch").mapInArrow(_branch, "tree int, path long, key binary, comp binary, sketch binary"), 1024)
     return found.unionAll(_dense(large, classes, docs))
