@@ -59,47 +59,73 @@ def plans(answers: DataFrame, most: int = 10) -> DataFrame:
     return answers.withColumn("p", p).select("id", F.coalesce("p.change_summary", F.lit("")).alias("change_summary"), F.coalesce(F.nullif("p.risk_level", F.lit("")), F.lit("medium")).alias("risk_level"), F.slice(F.coalesce("p.checkpoints", F.array().cast("array<string>")), 1, most).alias("checkpoints"), *(c.alias(s) for s, c in scores.items()))
 
 
-def _last(rows: DataFrame, *keys: str) -> DataFrame:
-    """Of several answers about an issue the last one (place) counts."""
-    others = [c for c in rows.columns if c not in keys]
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "place").alias("r")).select(*keys, *(F.col(f"r.{c}").alias(f"r_{c}") for c in others if c != "place"))
+def _said(rows: DataFrame, keys: list[str], last: tuple[str, ...], some: tuple[str, ...], graded: tuple[str, ...]) -> DataFrame:
+    """One row for each key of answers that are taken in order of `place`, field by field: of `last` what the last answer says, of `some` the last text that isn't
+    empty, of `graded` the last number. Answers may lack fields."""
+    value = lambda c: F.col(c).cast("string") if c in rows.columns else F.lit(None).cast("string")
+    number = lambda c: F.col(c).cast("string").try_cast("double") if c in rows.columns else F.lit(None).cast("double")
+    latest = lambda v, holds: F.max_by(v, F.when(holds, F.col("place")))
+    aggs = [latest(value(c), F.lit(True)).alias(f"r_{c}") for c in last]
+    for c in some:
+        filled = F.coalesce(value(c), F.lit("")) != ""
+        aggs += [latest(value(c), filled).alias(f"r_{c}"), F.min_by(value(c), F.when(filled, F.col("place"))).alias(f"r_first_{c}"), F.min(F.when(filled, F.col("place"))).alias(f"r_at_{c}")]
+    aggs += [latest(F.greatest(F.lit(0.0), F.least(F.lit(1.0), number(c))), number(c).isNotNull() & ~F.isnan(number(c))).alias(f"r_{c}") for c in graded]
+    return rows.groupBy(*keys).agg(*aggs, F.max("place").alias("r_last_place"), F.lit(True).alias("_hit"))
+
+
+GRADES = ("evidence_match_score", "confidence_level")
+
+
+def _applied(issues: DataFrame, said: DataFrame, keys: list[str]):
+    """issues with their answers' fields, whether there are any, and what an issue had."""
+    out = issues.join(said, keys, "left")
+    old = lambda c, kind="string": F.col(c).cast(kind) if c in issues.columns else F.lit(None).cast(kind)
+    hit = F.coalesce("_hit", F.lit(False))
+    evidence = {"evidence_match_status": F.when(hit, F.coalesce("r_evidence_match_status", old("evidence_match_status"), F.lit(""))).otherwise(old("evidence_match_status"))}
+    evidence |= {c: F.coalesce(F.col(f"r_{c}"), old(c, "double")) for c in GRADES}
+    return out, hit, old, evidence
 
 
 def filter_applied(issues: DataFrame, decisions: DataFrame) -> DataFrame:
-    """issues (path, issue_id, ...) after decisions (path, issue_id, place, filter_status, filter_reason, counter_evidence) by issue.
+    """issues (path, issue_id, ...) after decisions (path, issue_id, place, filter_status, filter_reason, counter_evidence, and what they say of the evidence) by issue, in order.
 
     An issue is only filtered against evidence; without it, it is kept, and the reason says so. Unknown issues are passed over.
     """
-    out = issues.join(_last(decisions, "path", "issue_id").withColumn("_hit", F.lit(True)), ["path", "issue_id"], "left")
-    hit, counter = F.coalesce("_hit", F.lit(False)), F.trim(F.coalesce("r_counter_evidence", F.lit("")))
+    keys = ["path", "issue_id"]
+    said = _said(decisions, keys, ("filter_status", "filter_reason", "counter_evidence"), ("evidence_match_status",), GRADES)
+    out, hit, old, evidence = _applied(issues, said, keys)
+    counter = F.trim(F.coalesce("r_counter_evidence", F.lit("")))
     wanted = F.lower(F.coalesce(F.nullif("r_filter_status", F.lit("")), F.lit("kept")))
     unfounded = (wanted == "filtered") & (counter == "")
     status = F.when(~unfounded & wanted.isin("kept", "filtered"), wanted).otherwise("kept")
     reason = F.when(unfounded, F.lit(UNFOUNDED)).otherwise(F.coalesce("r_filter_reason", F.lit("")))
     new = {"filter_status": status, "filter_reason": reason, "filter_counter_evidence": counter}
-    old = lambda c, kind="string": F.col(c) if c in issues.columns else F.lit(None).cast(kind)
-    out = out.withColumns({c: F.when(hit, v).otherwise(old(c)) for c, v in new.items()})
+    out = out.withColumns({c: F.when(hit, v).otherwise(old(c)) for c, v in new.items()} | evidence)
     out = out.withColumns({"re_review_status": F.when(hit, F.when(reportable(F.col("filter_status")), 0).otherwise(1)).otherwise(old("re_review_status", "int")), "re_review_description": F.when(hit, F.col("filter_reason")).otherwise(old("re_review_description"))})
     return out.drop("_hit", *(c for c in out.columns if c.startswith("r_")))
 
 
 def relocation_applied(issues: DataFrame, answers: DataFrame) -> DataFrame:
-    """issues (path, issue_id, issue_line_numbers, existing_code, ...) after answers (path, issue_id, place, issue_line_numbers, existing_code, relocation_status, relocation_description): lines and code
-    change where the answer has some, the lines from before are kept as the original ones."""
-    out = issues.join(_last(answers, "path", "issue_id").withColumn("_hit", F.lit(True)), ["path", "issue_id"], "left")
-    hit = F.coalesce("_hit", F.lit(False))
-    some = lambda new, old: F.coalesce(F.nullif(new, F.lit("")), old)
-    original = F.col("original_issue_line_numbers") if "original_issue_line_numbers" in issues.columns else F.lit(None).cast("string")
-    status = some(F.col("r_relocation_status"), F.lit("unchanged"))
+    """issues (path, issue_id, issue_line_numbers, existing_code, ...) after answers (path, issue_id, place, issue_line_numbers, existing_code, relocation_status, relocation_description, and what they say
+    of the evidence), one after another: lines and code change where an answer has some, the lines from before the first that found any are kept as the original ones."""
+    keys = ["path", "issue_id"]
+    said = _said(answers, keys, ("relocation_status", "relocation_description"), ("issue_line_numbers", "existing_code", "evidence_match_status"), GRADES)
+    out, hit, old, evidence = _applied(issues, said, keys)
+    filled = lambda c: F.nullif(c, F.lit(""))
+    status = F.coalesce(filled(F.col("r_relocation_status")), F.lit("unchanged"))
+    # without lines of its own, an issue's original ones are those of an answer that others follow
+    followed = F.when(F.col("r_at_issue_line_numbers") < F.col("r_last_place"), F.col("r_first_issue_line_numbers"))
+    description = F.coalesce("r_relocation_description", F.lit(""))
     values = {
-        "original_issue_line_numbers": F.when(hit, some(original, F.coalesce("issue_line_numbers", F.lit("")))).otherwise(original),
-        "issue_line_numbers": some(F.col("r_issue_line_numbers"), F.col("issue_line_numbers")),
-        "existing_code": some(F.col("r_existing_code"), F.col("existing_code")),
-        "relocation_status": F.when(hit, status),
-        "relocation_description": F.when(hit, F.coalesce("r_relocation_description", F.lit(""))),
-        "re_review_status": F.when(hit, F.when(status == "failed", 1).otherwise(0)),
+        "original_issue_line_numbers": F.when(hit, F.coalesce(filled(old("original_issue_line_numbers")), filled(F.col("issue_line_numbers")), followed, F.lit(""))).otherwise(old("original_issue_line_numbers")),
+        "issue_line_numbers": F.when(hit, F.coalesce("r_issue_line_numbers", F.col("issue_line_numbers"), F.lit(""))).otherwise(F.col("issue_line_numbers")),
+        "existing_code": F.coalesce("r_existing_code", F.col("existing_code")),
+        "relocation_status": F.when(hit, status).otherwise(old("relocation_status")),
+        "relocation_description": F.when(hit, description).otherwise(old("relocation_description")),
+        "re_review_status": F.when(hit, F.when(status == "failed", 1).otherwise(0)).otherwise(old("re_review_status", "int")),
+        "re_review_description": F.when(hit, description).otherwise(old("re_review_description")),
     }
-    return out.withColumns(values).drop("_hit", *(c for c in out.columns if c.startswith("r_")))
+    return out.withColumns(values | evidence).drop("_hit", *(c for c in out.columns if c.startswith("r_")))
 
 
 def message_summary(content: Column, tool_names: Column, most: int = 1200) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
 from tidemark.functions.text import diff_line, line_tokens, split_lines
-from tidemark.shared import ranked
+from tidemark.shared import kept, ranked, running
 
 #: Tokens of a block, equal lines kept around a change, files of a batch.
 BLOCK_TOKENS, CONTEXT, BATCH = 10_000, 10, 20
@@ -82,8 +82,8 @@ def split_blocks(lines: Column, limit: int = BLOCK_TOKENS) -> Column:
         return state(F.when(full, F.array_append(a["starts"], a["at"])).otherwise(a["starts"]), F.when(full, t).otherwise(a["n"] + t), a["at"] + 1)
 
     starts = F.aggregate(lines, state(F.array().cast("array<int>"), F.lit(0), F.lit(0)), step, lambda a: F.array_append(a["starts"], a["at"]))
-    cut = lambda s: F.transform(F.slice(s, 1, F.size(s) - 1), lambda x, i: F.slice(lines, x + 1, F.get(s, i + 1) - x))
-    return F.when(F.size(lines) > 0, F.transform(F.array(starts), cut)[0]).otherwise(F.array().cast("array<array<string>>"))
+    pairs = F.transform(F.array(F.struct(lines.alias("x"), starts.alias("s"))), lambda b: F.transform(F.slice(b["s"], 1, F.size(b["s"]) - 1), lambda x, i: F.slice(b["x"], x + 1, F.get(b["s"], i + 1) - x)))[0]
+    return F.when(F.size(lines) > 0, pairs).otherwise(F.array().cast("array<array<string>>"))
 
 
 def block_hash(lines: Column) -> Column:
@@ -114,10 +114,24 @@ def admitted(files: DataFrame, key: str, order: list[str], cost: str, budget: in
 
 def batches(files: DataFrame, bucket: str | None, order: list[str], size: int = BATCH) -> DataFrame:
     """files with `batch`, the number of its batch (from 0) inside its bucket, or among all files in order if there is none."""
-    if bucket is None:
-        return ranked(files, *map(F.col, order), out="batch").withColumn("batch", F.floor(F.col("batch") / size))
-    w = Window.partitionBy(bucket).orderBy(*order)
-    return files.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size))
+    return ranked(files, *map(F.col, order), out="batch", by=(bucket,) if bucket else ()).withColumn("batch", F.floor(F.col("batch") / size))
+
+
+def bucket_of(strategy: str, path: Column, language: Column) -> Column:
+    """What a full scan's batches keep together: a language, or a first directory."""
+    if strategy == "by-language":
+        return F.coalesce(F.nullif(F.lower(language), F.lit("")), F.lit("<unknown>"))
+    return F.when(F.contains(path, F.lit("/")), F.substring_index(path, "/", 1)).otherwise("<root>")
+
+
+def target_batches(files: DataFrame, strategy: str, full_scan: bool, order: list[str], size: int = BATCH) -> DataFrame:
+    """files (path, language, ...) with `bucket` and `batch`, its number among all batches: buckets one after another by name in a full scan by language or directory, else in order alone."""
+    if not full_scan or strategy.strip().lower() not in ("by-language", "by-directory"):
+        return batches(files, None, order, size).withColumn("bucket", F.lit(""))
+    rows = kept(batches(files.withColumn("bucket", bucket_of(strategy.strip().lower(), F.col("path"), F.col("language"))), "bucket", order, size))
+    sizes = rows.groupBy("bucket").agg((F.max("batch") + 1).alias("n"))
+    starts = running(sizes, [F.col("bucket")], {"before": F.col("n")}).select("bucket", "before")
+    return rows.join(starts, "bucket").withColumn("batch", F.col("batch") + F.col("before")).drop("before")
 
 
 def removed_files(existing: DataFrame, targets: DataFrame) -> DataFrame:

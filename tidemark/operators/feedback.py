@@ -140,14 +140,16 @@ def issue_stats(issues: DataFrame) -> DataFrame:
 
 
 def stored_issue_stats(tasks: DataFrame) -> DataFrame:
-    """The same from a finished task's stored map of severities; negative counts are 0, and 0 counts for nothing."""
-    entries = F.filter(F.map_entries("severity_counts"), lambda e: (e["value"] > 0) & e["key"].try_cast("int").isNotNull())
-    stored = tasks.where(F.col("state").isin(2, 3) & F.col("severity_counts").isNotNull())
+    """The same from a finished task's stored map of severities; negative counts are 0, and 0 counts for nothing. A map with a severity that isn't a number, where it counts, is
+    no map: its task isn't among these."""
+    entries = F.filter(F.map_entries("severity_counts"), lambda e: F.coalesce(e["value"], F.lit(0)) > 0)
+    severity = lambda e: F.coalesce(F.nullif(F.trim(e["key"]), F.lit("")), F.lit("0")).try_cast("int")
+    stored = tasks.where(F.col("state").isin(2, 3) & F.col("severity_counts").isNotNull() & F.forall(entries, lambda e: severity(e).isNotNull()))
     return stored.select(
         F.col("id").alias("task_id"),
         F.aggregate(entries, F.lit(0).cast("long"), lambda a, e: a + e["value"]).alias("issue_count"),
-        F.array_max(F.transform(entries, lambda e: e["key"].try_cast("int"))).alias("highest_severity"),
-        F.aggregate(F.filter(entries, lambda e: e["key"].try_cast("int") == SEVERE), F.lit(0).cast("long"), lambda a, e: a + e["value"]).alias("critical_issue_count"),
+        F.array_max(F.transform(entries, severity)).alias("highest_severity"),
+        F.aggregate(F.filter(entries, lambda e: severity(e) == SEVERE), F.lit(0).cast("long"), lambda a, e: a + e["value"]).alias("critical_issue_count"),
     )
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.numeric import location_confidence
 from tidemark.functions.status import reportable
 from tidemark.functions.text import code_key, jaccard, lines_key, numbers, parse_diff_line, split_lines, squeeze, text_key, word_set
+from tidemark.operators.ranges import overlapping
 
 #: A rule's language ('' for any), what the lower-cased line must hold (one of any, all of all, none of none), and what it says.
 RULES = [
@@ -105,6 +106,30 @@ def exact_matches(fragments: DataFrame, lines: DataFrame) -> DataFrame:
     return hits.select("path", "fragment_id", F.get(F.col("a"), F.col("i") - 1)["line_no"].alias("start_line"), F.get(F.col("a"), F.col("i") + F.col("w") - 2)["line_no"].alias("end_line"), F.lit(1.0).alias("score"), F.exists(window, lambda x: x["changed"]).alias("on_change"))
 
 
+def indexed_matches(fragments: DataFrame, lines: DataFrame, gap: int = 8) -> DataFrame:
+    """The same over several sources (lines: path, source, line_no, norm, changed; sources `diff` and `file`), by an inverted index of lines.
+
+    A fragment's rarest line, in each source of its file, leads to the places where it may stand; only these are verified, line by line by place. Every
+    step is a join on keys, so neither a file's length nor the number of its fragments is squared. Spans that both sources have are the diff's.
+    """
+    at = ["path", "source"]
+    index = lines.where("norm <> ''").select(*at, "line_no", "changed", F.md5(F.col("norm").cast("binary")).alias("h"))
+    index = index.withColumn("pos", F.row_number().over(Window.partitionBy(*at).orderBy("line_no")))
+    wanted = fragments.where(F.size("wanted") > 0).select("path", "fragment_id", F.size("wanted").alias("w"), F.transform("wanted", lambda x: F.md5(x.cast("binary"))).alias("hs"))
+    each = wanted.select("path", "fragment_id", "w", "hs", F.posexplode("hs").alias("k", "h"))
+    seeds = each.join(index.groupBy(*at, "h").agg(F.count("*").alias("times")), ["path", "h"])
+    # a source that lacks a line has no place for the fragment
+    seeds = seeds.groupBy(*at, "fragment_id", "w", "hs").agg(F.min(F.struct("times", "k", "h")).alias("rarest"), F.count_distinct("k").alias("found")).where("found = w")
+    starts = seeds.select(*at, "fragment_id", "w", "hs", "rarest.k", "rarest.h").join(index.select(*at, "h", "pos"), [*at, "h"]).select(*at, "fragment_id", "w", "hs", (F.col("pos") - F.col("k")).alias("start")).where("start > 0")
+    places = starts.select(*at, "fragment_id", "w", "start", F.posexplode("hs").alias("k", "h")).withColumn("pos", F.col("start") + F.col("k"))
+    held = places.join(index, [*at, "pos", "h"]).groupBy(*at, "fragment_id", "w", "start").agg(F.array_sort(F.collect_list(F.struct("k", "line_no", "changed"))).alias("a")).where(F.size("a") == F.col("w"))
+    near = F.forall(F.sequence(F.lit(0), F.col("w") - 1), lambda k: (k == 0) | (F.get(F.col("a"), k)["line_no"] - F.get(F.col("a"), k - 1)["line_no"]).between(1, gap))
+    spans = held.where(near).select("path", "fragment_id", "source", F.get(F.col("a"), 0)["line_no"].alias("start_line"), F.get(F.col("a"), F.col("w") - 1)["line_no"].alias("end_line"), F.exists("a", lambda x: x["changed"]).alias("on_change"))
+    best = F.min_by(F.struct("source", "on_change"), F.when(F.col("source") == "diff", 0).otherwise(1))
+    spans = spans.groupBy("path", "fragment_id", "start_line", "end_line").agg(best.alias("b"))
+    return spans.select("path", "fragment_id", "start_line", "end_line", F.lit(1.0).alias("score"), "b.on_change", "b.source")
+
+
 def fuzzy_matches(fragments: DataFrame, lines: DataFrame, least: float = LEAST_SIMILARITY) -> DataFrame:
     """The same for fragments without an exact place: the ratio of a sequence matcher, in Python, a file at a time."""
     files = lines.where("norm <> ''").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("line_no", "norm", "changed"))).alias("a"))
@@ -170,7 +195,7 @@ def corroborated(issues: DataFrame, findings: DataFrame) -> DataFrame:
     f = f.withColumn("f_words", word_set(F.concat_ws(" ", "f_rule", "message")))
     i = issues.where("start_line > 0").withColumn("words", word_set(F.concat_ws(" ", "type", "description", "evidence")))
     support = F.create_map(*(x for k, v in SUPPORT.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
-    both = i.join(f, "file_name").where("f_start <= end_line and f_end >= start_line")
+    both = overlapping(i, f, "file_name", ("start_line", "end_line"), ("f_start", "f_end"))
     same = (F.coalesce("rule_id", F.lit("")) != "") & (F.lower("rule_id") == F.lower("f_rule"))
     of_type = F.coalesce(F.arrays_overlap("f_words", F.try_element_at(support, F.lower("type"))), F.lit(False))
     exact = (F.col("level") == "error") & (F.col("f_start") == F.col("start_line")) & (F.col("f_end") == F.col("end_line"))

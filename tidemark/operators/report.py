@@ -12,9 +12,9 @@ SCORES = ("logic_score", "performance_score", "security_score", "readable_score"
 
 
 def block_weight(contents: Column, task_type: Column) -> Column:
-    """Changed lines, at least 1, of a block that has lines; all lines in a full scan; 0 without lines."""
+    """Changed lines in an increment (types 1 and 2), else all lines, at least 1, of a block that has lines; 0 without lines."""
     changed = F.size(F.filter(contents, lambda x: F.substring(x, 7, 1).isin("+", "-")))
-    n = F.when(task_type == 3, F.size(contents)).otherwise(changed)
+    n = F.when(task_type.isin(1, 2), changed).otherwise(F.size(contents))
     return F.when(F.size(contents) > 0, F.greatest(n, F.lit(1))).otherwise(F.lit(0))
 
 

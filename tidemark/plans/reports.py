@@ -282,13 +282,22 @@ def filter_guard(spark, d):
 
 
 @query("""WITH g AS (SELECT l_orderkey AS path, l_linenumber::INT AS issue_id, max(l_quantity)::INT AS q, max(l_partkey) AS p FROM lineitem WHERE l_linenumber <= 3 GROUP BY ALL)
- SELECT path, issue_id, CASE WHEN p % 3 = 0 THEN p::VARCHAR ELSE q::VARCHAR END AS issue_line_numbers, CASE WHEN p % 3 < 2 THEN q::VARCHAR END AS original_issue_line_numbers, CASE p % 3 WHEN 0 THEN 'relocated' WHEN 1 THEN 'unchanged' END AS relocation_status FROM g""")
+ SELECT path, issue_id, CASE WHEN p % 3 = 0 THEN p::VARCHAR WHEN p % 3 = 1 THEN '0' WHEN q % 2 = 0 THEN q::VARCHAR ELSE '' END AS issue_line_numbers,
+ CASE WHEN p % 3 = 2 THEN NULL WHEN q % 2 = 0 THEN q::VARCHAR ELSE '0' END AS original_issue_line_numbers, CASE p % 3 WHEN 0 THEN 'relocated' WHEN 1 THEN 'unchanged' END AS relocation_status,
+ CASE WHEN p % 3 = 1 THEN 'new' ELSE 'x' END AS existing_code, CASE p % 3 WHEN 0 THEN 'why' WHEN 1 THEN '' END AS re_review_description, CASE WHEN p % 3 < 2 THEN 'matched' END AS evidence_match_status,
+ CASE p % 3 WHEN 0 THEN 0.25 WHEN 1 THEN 1 ELSE 0.5 END::DOUBLE AS confidence_level, CASE WHEN p % 3 = 0 THEN 0 WHEN p % 3 = 1 THEN 0 END AS re_review_status FROM g""")
 def relocation_answers(spark, d):
-    li = table(spark, d, "lineitem").where("l_linenumber <= 3").groupBy(F.col("l_orderkey").alias("path"), F.col("l_linenumber").cast("int").alias("issue_id")).agg(F.max("l_quantity").cast("int").cast("string").alias("issue_line_numbers"), F.max("l_partkey").alias("p"), F.lit("x").alias("existing_code"))
+    """Two answers for an issue, taken field by field: the second lacks lines, code and evidence for every third, the first is out of range in its confidence."""
+    li = table(spark, d, "lineitem").where("l_linenumber <= 3").groupBy(F.col("l_orderkey").alias("path"), F.col("l_linenumber").cast("int").alias("issue_id")).agg(F.max("l_quantity").cast("int").alias("q"), F.max("l_partkey").alias("p"), F.lit("x").alias("existing_code"), F.lit(0.5).alias("confidence_level"))
+    li = li.withColumn("issue_line_numbers", F.when(F.col("q") % 2 == 0, F.col("q").cast("string")).otherwise(""))
     said = li.where("p % 3 < 2").select("path", "issue_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("place"), "p")
-    last = F.col("place") == 1
-    said = said.select("path", "issue_id", "place", F.when(~last, "0").when(F.col("p") % 3 == 0, F.col("p").cast("string")).alias("issue_line_numbers"), F.lit("").alias("existing_code"), F.when(~last, "failed").when(F.col("p") % 3 == 0, "relocated").alias("relocation_status"), F.lit("").alias("relocation_description"))
-    return answers.relocation_applied(li, said).select("path", "issue_id", "issue_line_numbers", "original_issue_line_numbers", "relocation_status")
+    first, moved = F.col("place") == 0, F.col("p") % 3 == 0
+    said = said.select(
+        "path", "issue_id", "place", F.when(first, "0").when(moved, F.col("p").cast("string")).alias("issue_line_numbers"), F.when(first & ~moved, "new").otherwise("").alias("existing_code"),
+        F.when(first, "failed").when(moved, "relocated").alias("relocation_status"), F.when(~first & moved, "why").alias("relocation_description"), F.when(first, "matched").otherwise("").alias("evidence_match_status"),
+        F.when(first, "1.5").when(moved, "0.25").otherwise("high").alias("confidence_level"),
+    )
+    return answers.relocation_applied(li, said).select("path", "issue_id", "issue_line_numbers", "original_issue_line_numbers", "relocation_status", "existing_code", "re_review_description", "evidence_match_status", "confidence_level", "re_review_status")
 
 
 @query("SELECT conv_id, turn, to_json({'content': CASE WHEN length(text) > 100 THEN left(text, 80) || '...<truncated>' ELSE text END, 'tool_call_count': 2, 'tool_names': ['read_file']})::VARCHAR AS summary FROM conversations WHERE role = 'assistant' AND text IS NOT NULL")
@@ -420,4 +429,4 @@ def log_rows_of_author(spark, d):
     return endpoints.log_view(log).select("id", "severity")
 
 
-from tidemark.plans import stored  # noqa: E402, F401  (adds its queries to these)
+from tidemark.plans import indexed, stored  # noqa: E402, F401  (adds its queries to these)

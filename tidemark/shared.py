@@ -72,15 +72,21 @@ def kept(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
-def ranked(df: DataFrame, *order: Column, out: str = "rank") -> DataFrame:
-    """df with its place in this order, from 0, without bringing the rows into one task.
+def ranked(df: DataFrame, *order: Column, out: str = "rank", by: tuple[str, ...] = ()) -> DataFrame:
+    """df with its place in this order, from 0, among all rows or within the groups of `by`, without bringing all rows or a group into one task.
 
-    The sorted rows are written with their task's number; only the tasks' counts are summed up in one place.
+    The sorted rows are written with their task's number; only the counts of each task and group are summed up in one place.
     """
-    rows = kept(df.orderBy(*order).withColumns({"_task": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}))
-    before = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
-    starts = rows.groupBy("_task").count().select("_task", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
-    return rows.join(F.broadcast(starts), "_task").withColumn(out, F.col("_start") + F.col("_at")).drop("_task", "_at", "_start")
+    rows = kept(df.orderBy(*by, *order).withColumns({"_task": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}))
+    before = Window.partitionBy(*by).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("_task", *by).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    starts = counts.select(F.col("_task").alias("_of"), *(F.col(c).alias(f"_by_{c}") for c in by), (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_start"))
+    on = F.col("_task") == F.col("_of")
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    # without groups there is a row for each task, else one for each group more
+    placed = rows.join(starts if by else F.broadcast(starts), on)
+    return placed.withColumn(out, F.col("_start") + F.col("_at")).drop("_task", "_at", "_start", "_of", *(f"_by_{c}" for c in by))
 
 
 def running(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
