@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import text
-from tidemark.operators import diffs, feedback, issues, ranges, report
+from tidemark.operators import diffs, feedback, issues, ranges, report, rules
 from tidemark.plans.catalog import STATS, query
+from tidemark.operators.symbols import SymbolIndex
 from tidemark.plans.proxy import role, table
+from tidemark.shared import scratch
+from tidemark.versions import Versions
 
 
 @query("""WITH f AS (SELECT l_orderkey, l_linenumber, l_partkey % 40 AS file_name, l_orderkey % 5000 AS a, l_orderkey % 5000 + l_quantity::INT % 90 AS z FROM lineitem), c AS (SELECT DISTINCT user_id % 40 AS file_name, event_id % 5 AS block_id, event_id * 7 % 5000 AS line FROM events)
@@ -95,3 +98,77 @@ def admin_list_malformed(spark, d):
     maps = F.when(k == 0, of(_5=4, _2=3, _1=0)).when(k == 1, of(_4=3, bad=0, _3=-2)).when(k == 2, of(_5=-1)).otherwise(of(_5=2, bad=1))
     out = feedback.admin_list(role(spark, d, "task").withColumn("severity_counts", maps), role(spark, d, "issue"))
     return out.select("id", "issue_count", "highest_severity", "critical_issue_count")
+
+
+# --- a stored symbol index: a part is a function, 20 files; each calls two others and declares a third
+
+SYMBOLS = """WITH p AS (SELECT p_partkey AS k, 'src/f' || (p_partkey % 20) || '.c' AS path, 4 * (row_number() OVER (PARTITION BY p_partkey % 20 ORDER BY p_partkey) - 1) AS pos FROM part),
+ defs AS (SELECT path, (pos + 1)::INT AS line, 'fn_' || (k % 97) AS name, true AS is_definition, 'int fn_' || (k % 97) || '(int a) {' AS signature FROM p UNION ALL SELECT path, (pos + 4)::INT, 'fn_' || (k * 5 % 97), false, 'int fn_' || (k * 5 % 97) || '(int a);' FROM p),
+ edges AS (SELECT 'fn_' || (k % 97) AS caller, unnest(['fn_' || (k * 7 % 97), 'Fn_' || (k * 3 % 97)]) AS callee, path, (pos + 2)::INT AS line, 'return fn_' || (k * 7 % 97) || '(a) + Fn_' || (k * 3 % 97) || '(a);' AS context FROM p)"""
+
+
+def _symbols(spark, d):
+    n = lambda m: ((F.col("p_partkey") * m) % 97).cast("string")
+    body = F.concat(F.lit("int fn_"), n(1), F.lit("(int a) {\n  return fn_"), n(7), F.lit("(a) + Fn_"), n(3), F.lit("(a);\n}\nint fn_"), n(5), F.lit("(int a);\n"))
+    p = table(spark, d, "part").select("p_partkey", F.concat(F.lit("src/f"), (F.col("p_partkey") % 20).cast("string"), F.lit(".c")).alias("path"), body.alias("body"))
+    tree = p.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "body"))), lambda x: x["body"]), "").alias("text"))
+    return SymbolIndex.build(Versions(spark, scratch(spark)), tree)
+
+
+def _cut(order: str, limit: int) -> str:
+    return f"row_number() OVER (ORDER BY {order})::INT AS place, count(*) OVER () > {limit} AS truncated"
+
+
+@query(f"{SYMBOLS} SELECT * FROM (SELECT path, line, name, is_definition, signature, {_cut('path <> ' + chr(39) + 'src/f7.c' + chr(39) + ', NOT is_definition, path, line', 20)} FROM defs WHERE name = 'fn_11') WHERE place <= 20")
+def symbol_definitions(spark, d):
+    return _symbols(spark, d).find_definition("Mod.FN_11", "./src/f7.c").select("path", "line", "name", "is_definition", "signature", "place", "truncated")
+
+
+@query(f"{SYMBOLS}, r AS (SELECT path, line, callee AS symbol, context, 'call' AS reference_kind FROM edges UNION ALL SELECT path, line, name, signature, 'definition' FROM defs) SELECT * FROM (SELECT *, {_cut('path, line, reference_kind DESC, context', 100)} FROM r WHERE lower(symbol) = 'fn_11') WHERE place <= 100")
+def symbol_references(spark, d):
+    return _symbols(spark, d).find_references("fn_11", declarations=True, limit=5000).select("path", "line", "symbol", "context", "reference_kind", "place", "truncated")
+
+
+@query(f"{SYMBOLS} SELECT * FROM (SELECT *, {_cut('path, line, caller, callee', 30)} FROM (SELECT DISTINCT caller, callee, path, line, context FROM edges WHERE lower(caller) = 'fn_11' OR lower(callee) = 'fn_11')) WHERE place <= 30")
+def symbol_calls(spark, d):
+    return _symbols(spark, d).call_graph("fn_11", limit=30).select("caller", "callee", "path", "line", "context", "place", "truncated")
+
+
+@query(f"{SYMBOLS}, one AS (SELECT DISTINCT lower(callee) AS s FROM edges WHERE caller = 'fn_11' UNION SELECT 'fn_11') SELECT * FROM (SELECT *, {_cut('path, line, caller, callee', 100)} FROM (SELECT DISTINCT * FROM edges WHERE caller IN (SELECT s FROM one))) WHERE place <= 100")
+def symbol_calls_two_steps(spark, d):
+    return _symbols(spark, d).call_graph("fn_11", "outgoing", 2, 400).select("caller", "callee", "path", "line", "context", "place", "truncated")
+
+
+@query(f"{SYMBOLS} SELECT (SELECT count(DISTINCT path) FROM p) AS files_indexed, (SELECT count(*) FROM defs) AS definition_count, (SELECT count(*) FROM edges) AS reference_count, (SELECT count(*) FROM edges) AS call_edge_count")
+def symbol_counts(spark, d):
+    return _symbols(spark, d).stats()
+
+
+# --- rules by file
+
+RULES = {
+    "default": {"focus": ["logic", "errors"], "limits": {"rounds": 5, "names": ["a"]}, "strict": False},
+    "languages": [
+        {"language": "py", "focus": ["types", "logic"], "limits": {"rounds": 7}},
+        {"language": "", "extensions": [".C", ".txt"], "focus": ["memory"], "limits": {"names": ["b", "a"]}, "note": "n"},
+    ],
+    "path_rules": [{"pattern": "src1", "focus": ["errors", "hot"], "strict": True}, {"pattern": "*/de/*.py", "strict": "very", "focus": []}],
+    "rules": [{"id": "one", "path": "src2/{en,fr}/**.c", "rule": " only this "}, {"path": "src3/*", "rule": ""}],
+}
+
+
+@query(
+    """WITH f AS (SELECT DISTINCT path, regexp_extract(path, '(\\.[a-z]+)$', 1) AS e FROM tree), m AS (SELECT *, e = '.py' AS py, e IN ('.c', '.txt') AS ct, contains(path, 'src1') AS s1, contains(path, '/de/') AND e = '.py' AS de,
+  regexp_matches(path, '^src2/(en|fr)/.*\\.c$') AS r1, starts_with(path, 'src3/') AS r2 FROM f)
+ SELECT path, CASE WHEN r1 OR r2 THEN 'first-match' ELSE 'legacy-merge' END AS resolution, CASE WHEN r1 THEN 'one' WHEN r2 THEN 'rule-2' END AS matched_rule_id,
+ CASE WHEN r1 THEN 'only this' WHEN r2 THEN '' ELSE 'logic,errors' || CASE WHEN py THEN ',types' ELSE '' END || CASE WHEN ct THEN ',memory' ELSE '' END || CASE WHEN s1 THEN ',hot' ELSE '' END END AS focus,
+ CASE WHEN py AND NOT (r1 OR r2) THEN '7' ELSE '5' END AS rounds, CASE WHEN ct AND NOT (r1 OR r2) THEN '["a", "b", "a"]' ELSE '["a"]' END AS names,
+ CASE WHEN r1 OR r2 THEN 'false' WHEN de THEN '"very"' WHEN s1 THEN 'true' ELSE 'false' END AS strict, CASE WHEN ct AND NOT (r1 OR r2) THEN '"n"' END AS note FROM m""",
+    "tree",
+)
+def rules_resolved(spark, d):
+    """The rules of each file: a default, layers by language, extension and path over it, and rules that stand alone."""
+    files = role(spark, d, "tree").select("path").distinct().withColumn("language", F.when(F.col("path").endswith(".py"), "Python 3").otherwise("Other"))
+    r = rules.resolved(files, RULES)
+    s = lambda k: F.try_element_at("settings", F.lit(k))
+    return r.select("path", "resolution", "matched_rule_id", F.array_join("focus", ",").alias("focus"), s("limits.rounds").alias("rounds"), s("limits.names").alias("names"), s("strict").alias("strict"), s("note").alias("note"))

@@ -67,6 +67,13 @@ class Versions:
         parts = [folder for bucket, folder in table["parts"] if buckets is None or bucket in buckets]
         return self.spark.read.schema(schema).parquet(*(f"{self.path}/{p}" for p in parts)) if parts else self.spark.createDataFrame([], schema)
 
+    def lookup(self, name: str, keys: list, version: int | None = None) -> DataFrame:
+        """The rows of a few keys; only the buckets that they are in are read."""
+        state = self._state(self.latest() if version is None else version)
+        key = state["tables"].get(name, {}).get("key") or name
+        asked = self.spark.range(1).select(F.explode(F.array(*map(F.lit, keys))).alias(key))
+        return self._read(state, name, {r.b for r in asked.select(self._bucket(key).alias("b")).collect()}).where(F.col(key).isin(keys))
+
     def _bucket(self, key: str) -> Column:
         return F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(self.buckets)).cast("int")
 
