@@ -46,14 +46,19 @@ def rule_table(spark: SparkSession) -> DataFrame:
 
 
 def detected(lines: DataFrame, rules: DataFrame | None = None) -> DataFrame:
-    """Issues of added lines (path, language, line_no, code), by the rules that hold for them. The built-in rules are few and broadcast;
-    others as Spark finds fit."""
-    rules = F.broadcast(rule_table(lines.sparkSession)) if rules is None else rules
+    """Issues of added lines (path, language, line_no, code), by the rules that hold for them. The built-in rules are one array, filtered for each line; others
+    are joined as Spark finds fit."""
     low = F.lower("code")
-    has = lambda c: F.exists(c, lambda t: F.contains(low, t))
-    fits = F.col("rule_language").isin("") | (F.col("rule_language") == F.col("language"))
-    holds = fits & ((F.size("any") == 0) | has("any")) & F.forall("all", lambda t: F.contains(low, t)) & ~has("none")
-    return lines.join(rules, holds).select("path", "line_no", "rule_id", "type", "severity", "confidence", F.trim("code").alias("existing_code"))
+    # with the rule's fields as columns, or as those of an array's element
+    holds = lambda r: ((r("rule_language") == "") | (r("rule_language") == F.col("language"))) & ((F.size(r("any")) == 0) | F.exists(r("any"), lambda t: F.contains(low, t))) & F.forall(r("all"), lambda t: F.contains(low, t)) & ~F.exists(r("none"), lambda t: F.contains(low, t))
+    said = ("rule_id", "type", "severity", "confidence")
+    if rules is not None:
+        return lines.join(rules, holds(F.col)).select("path", "line_no", *said, F.trim("code").alias("existing_code"))
+    words = lambda w: F.array(*map(F.lit, w)).cast("array<string>")
+    fields = ("rule_id", "rule_language", "any", "all", "none", "type", "severity", "confidence")
+    every = F.array(*(F.struct(*((words(v) if isinstance(v, list) else F.lit(v)).alias(k) for k, v in zip(fields, r, strict=True))) for r in RULES))
+    hits = lines.where("code is not null").select("path", "line_no", "code", F.explode(F.filter(every, lambda r: holds(lambda c: r[c]))).alias("r"))
+    return hits.select("path", "line_no", *(f"r.{c}" for c in said), F.trim("code").alias("existing_code"))
 
 
 def plan_scores(code: Column) -> dict[str, Column]:

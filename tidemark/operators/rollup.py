@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import json
+from collections import deque
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -196,6 +199,78 @@ def kept_messages(messages: DataFrame, recent: int = 6, limit: int = 58_888, rat
     return df.withColumn("compress", F.col("tokens") > limit * ratio)
 
 
+COMPRESSIONS = "conv_id long, turn long, round int, tokens long, trigger string, dropped int, tokens_after long, stopped boolean"
+
+
+class _Context:
+    """A conversation's messages as they are kept: the first two, a summary once there was a compression, and the rest, as (characters, whether a tool's)."""
+
+    def __init__(self):
+        self.head, self.rest, self.chars, self.summary, self.round, self.stopped = [], deque(), 0, 0, 0, False
+
+    def tokens(self) -> int:
+        return max(1, (sum(self.head) + self.summary + self.chars) // 4)
+
+    def add(self, chars: int, tool: bool) -> None:
+        if len(self.head) < 2:
+            self.head.append(chars)
+        else:
+            self.rest.append((chars, tool))
+            self.chars += chars
+
+    def start(self, keep: int) -> int:
+        """How many of the rest go: none if 0."""
+        n = len(self.rest)
+        s = max(0, n - keep)
+        while s > 0 and self.rest[s][1]:
+            s -= 1
+        if s == 0 and n > 2:
+            s = 1
+            while s < n and self.rest[s][1]:
+                s += 1
+        return s
+
+    def compress(self, s: int, summary: int) -> None:
+        for _ in range(s):
+            self.chars -= self.rest.popleft()[0]
+        self.summary = summary
+
+
+def compressions(messages: DataFrame, limit: int = 58_888, soft: float = 0.60, hard: float = 0.80, rounds: int = 4, recent: int = 6, summary: int = 500) -> DataFrame:
+    """What happens before each of an assistant's turns (messages: conv_id, turn, role, text): the context's tokens, what triggers a compression (`token`, `round` or null), how many messages go
+    into the summary, of `summary` characters, and the tokens then. From there the count begins anew; past the hard limit the conversation is stopped.
+
+    Each compression depends on the ones before, so a conversation's turns are folded in order as they stream past; only what its context holds is kept.
+    """
+    at, end = int(max(1, limit) * min(0.95, max(0.10, soft))), int(limit * min(0.98, max(0.20, hard)))
+    keep, names = max(2, recent), [c.split()[0] for c in COMPRESSIONS.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, c = None, _Context()
+        for b in batches:
+            out = []
+            for conv, turn, role, chars in zip(*(b.column(k).to_pylist() for k in ("conv_id", "turn", "role", "chars")), strict=True):
+                if conv != of:
+                    of, c = conv, _Context()
+                if role == "assistant" and not c.stopped:
+                    c.round += 1
+                    tokens, gone = c.tokens(), 0
+                    trigger = "token" if tokens >= at else "round" if rounds > 0 and c.round > rounds and (c.round - 1) % rounds == 0 else None
+                    if trigger and c.rest:
+                        gone = c.start(keep)
+                        if gone:
+                            c.compress(gone, summary)
+                    c.stopped = 0 < end <= c.tokens()
+                    out.append((conv, turn, c.round, tokens, trigger if gone else None, gone, c.tokens(), c.stopped))
+                if not c.stopped:
+                    c.add(chars, role == "tool")
+            yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in out], schema=ARROW)
+
+    ARROW = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("round", pa.int32()), ("tokens", pa.int64()), ("trigger", pa.string()), ("dropped", pa.int32()), ("tokens_after", pa.int64()), ("stopped", pa.bool_())])
+    rows = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("chars"))
+    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "chars").mapInArrow(run, COMPRESSIONS)
+
+
 def with_background(files: DataFrame, backgrounds: DataFrame) -> DataFrame:
     """files with background and background_source, by base name in lower case from backgrounds (name, content): the provider's table, joined."""
     name = F.lower(F.element_at(F.split(F.replace(F.col("path"), F.lit("\\"), F.lit("/")), "/"), -1))

@@ -6,7 +6,7 @@ are never exploded against each other.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import clamp
@@ -182,7 +182,6 @@ def finished(files: DataFrame, tasks: DataFrame, top: int = 10) -> DataFrame:
         *(F.when(reviewed, c).otherwise(0).alias(k) for k, c in _weighed(B, F.lit(1), False).items()),
     )
     is_ = lambda *w: F.col("status").isin(*w)
-    best = F.array_sort(F.collect_list(F.when(F.col("comments") > 0, F.struct((-F.col("comments")).alias("n"), "file_name"))))
     out = per.groupBy("task_id").agg(
         F.count("*").alias("file_num"),
         F.count_if("reviewed").alias("reviewed_file_num"),
@@ -202,8 +201,10 @@ def finished(files: DataFrame, tasks: DataFrame, top: int = 10) -> DataFrame:
         *(F.sum(k).alias(k) for k in ("weight", *(f"_{s}" for s in SCORES))),
     )
     out = _scored(out).drop("weight", "overall_score")
-    # only files that can be among the first are brought together
-    first = per.where("comments > 0").groupBy("task_id").agg(F.slice(best, 1, top).alias("top"))
+    # only the first files of each task are brought together
+    place = F.row_number().over(Window.partitionBy("task_id").orderBy(F.desc("comments"), "file_name"))
+    best = F.array_sort(F.collect_list(F.struct((-F.col("comments")).alias("n"), "file_name")))
+    first = per.where("comments > 0").select("task_id", "comments", "file_name").withColumn("place", place).where(F.col("place") <= top).groupBy("task_id").agg(best.alias("top"))
     out = out.join(first, "task_id", "left").join(_counted(per, F.col("status"), "status_counts"), "task_id").join(issue_maps(files), "task_id", "left")
     sources = files.select("task_id", F.explode(F.flatten(F.transform(B, lambda b: b["static_findings"]))).alias("s"))
     out = out.join(_counted(sources, F.coalesce(F.nullif("s.analyzer", F.lit("")), F.lit("unknown")), "static_sources"), "task_id", "left")

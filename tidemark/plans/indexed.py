@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import text
-from tidemark.operators import diffs, feedback, issues, ranges, report, rules
+from tidemark.operators import diffs, feedback, issues, ranges, report, rollup, rules, tools
 from tidemark.plans.catalog import STATS, query
 from tidemark.operators.symbols import SymbolIndex
 from tidemark.plans.proxy import role, table
@@ -172,3 +172,64 @@ def rules_resolved(spark, d):
     r = rules.resolved(files, RULES)
     s = lambda k: F.try_element_at("settings", F.lit(k))
     return r.select("path", "resolution", "matched_rule_id", F.array_join("focus", ",").alias("focus"), s("limits.rounds").alias("rounds"), s("limits.names").alias("names"), s("strict").alias("strict"), s("note").alias("note"))
+
+
+# --- a conversation's context, compressed again and again
+
+START = "greatest(0, len(rest) - 3)"
+BACK = f"CASE WHEN {START} = 0 THEN 0 ELSE list_max(list_filter(range(0, {START} + 1), lambda s: s = 0 OR NOT rest[s + 1].tool)) END"
+GONE = f"CASE WHEN ({BACK}) > 0 THEN ({BACK}) WHEN len(rest) > 2 THEN coalesce(list_min(list_filter(range(1, len(rest)), lambda s: NOT rest[s + 1].tool)), len(rest)) ELSE 0 END"
+ADDED = "CASE WHEN n < 2 THEN left_ ELSE list_append(left_, {'chars': chars, 'tool': role = 'tool'}) END"
+
+
+@query(
+    f"""WITH RECURSIVE m AS (SELECT conv_id, turn, CASE WHEN role = 'user' AND turn % 3 = 0 THEN 'tool' ELSE role END AS role, coalesce(length(text), 0)::BIGINT AS chars, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) AS k FROM conversations WHERE conv_id IS NOT NULL),
+ fold(conv_id, k, turn, n, head, rest, summary, round, stopped, tokens, trigger, dropped, tokens_after, said) AS (
+  SELECT DISTINCT conv_id, 0::BIGINT, NULL::BIGINT, 0, 0::BIGINT, []::STRUCT(chars BIGINT, tool BOOLEAN)[], 0, 0, false, NULL::BIGINT, NULL::VARCHAR, NULL::BIGINT, NULL::BIGINT, false FROM m
+  UNION ALL
+  SELECT conv_id, k, turn, CASE WHEN stop THEN n ELSE n + 1 END, CASE WHEN n < 2 AND NOT stop THEN head + chars ELSE head END, CASE WHEN stop THEN left_ ELSE {ADDED} END, summary_, round_, stop, tokens_, CASE WHEN gone > 0 THEN trigger_ END, gone, after_, act FROM (
+   SELECT *, CASE WHEN act THEN 240 <= after_ ELSE stopped END AS stop FROM (
+    SELECT *, greatest(1, (head + summary_ + coalesce(list_sum(list_transform(left_, lambda x: x.chars)), 0)::BIGINT) // 4) AS after_ FROM (
+     SELECT *, rest[gone + 1:] AS left_, CASE WHEN gone > 0 THEN 60 ELSE summary END AS summary_ FROM (
+      SELECT *, CASE WHEN trigger_ IS NOT NULL THEN {GONE} ELSE 0 END AS gone FROM (
+       SELECT *, CASE WHEN NOT act THEN NULL WHEN tokens_ >= 150 THEN 'token' WHEN round_ > 2 AND (round_ - 1) % 2 = 0 THEN 'round' END AS trigger_ FROM (
+        SELECT f.* EXCLUDE (k, turn, tokens, trigger, dropped, tokens_after, said), m.k, m.turn, m.role, m.chars, m.role = 'assistant' AND NOT stopped AS act, round + (m.role = 'assistant' AND NOT stopped)::INT AS round_, greatest(1, (head + summary + coalesce(list_sum(list_transform(rest, lambda x: x.chars)), 0)::BIGINT) // 4) AS tokens_
+        FROM fold f JOIN m ON m.conv_id = f.conv_id AND m.k = f.k + 1)))))))
+ SELECT conv_id, turn, round, tokens, trigger, dropped::INT AS dropped, tokens_after, stopped FROM fold WHERE said"""
+)
+def context_compressions(spark, d):
+    """Every third of the user's turns is taken for a tool's."""
+    c = table(spark, d, "conversations").where("conv_id is not null")
+    c = c.withColumn("role", F.when((F.col("role") == "user") & (F.col("turn") % 3 == 0), "tool").otherwise(F.col("role")))
+    return rollup.compressions(c, 300, 0.5, 0.8, 2, 3, 60)
+
+
+# --- each rule met and missed: a part is a line of code
+
+SNIPPETS = [
+    ("x = EVAL(y)", "dynamic-execution", ""), ("x = evaluate(y)", None, ""), ("  String api_key;", "credential", ""), ("key = apikey", None, ""), ("strcat(a, b);", "unbounded-copy", "C"), ("strncpy(a, b, 3);", None, "C"),
+    ('sscanf(s, "%s", t);', "unbounded-scan", "C"), ('sscanf(s, "%31s %s", t);', None, "C"), ("fprintf(file, message);", "format-string", "C"), ('printf("%s", message);', None, "C"), ("q = left / right;", "zero-division", "C"), ("q = left /right;", None, "C"),
+    ("open(argv[2]);", "missing-argument", "C"), ("open(argv[1]);", None, "C"), ("  // FixMe later  ", "unfinished", ""), ("fixed", None, ""), ("except Exception: pass", "swallowed-exception", "Python"), ("except ValueError: pass", None, "Python"),
+]
+SAYS = {r[0]: r[5:8] for r in issues.RULES}
+
+
+def _lines_of_code(spark, d):
+    code = F.element_at(F.array(*(F.lit(s[0]) for s in SNIPPETS)), (F.col("p_partkey") % len(SNIPPETS) + 1).cast("int"))
+    language = F.element_at(F.array(F.lit("C"), F.lit("Python"), F.lit("General")), (F.col("p_size") % 3 + 1).cast("int"))
+    return table(spark, d, "part").select(F.col("p_brand").alias("path"), language.alias("language"), F.col("p_partkey").cast("int").alias("line_no"), code.alias("code"))
+
+
+_VALUES = ", ".join(f"({n}, '{code}', {'NULL' if rule is None else chr(39) + rule + chr(39)}, '{language}', {SAYS[rule][1] if rule else 0}, {SAYS[rule][2] if rule else 0}::DOUBLE, '{SAYS[rule][0] if rule else ''}')" for n, (code, rule, language) in enumerate(SNIPPETS))
+
+
+@query(f"SELECT p_brand AS path, p_partkey::INT AS line_no, rule_id, type, severity::INT AS severity, confidence, trim(code) AS existing_code FROM part JOIN (VALUES {_VALUES}) s(n, code, rule_id, rule_language, severity, confidence, type) ON n = p_partkey % {len(SNIPPETS)} WHERE rule_id IS NOT NULL AND (rule_language = '' OR rule_language = ['C', 'Python', 'General'][p_size % 3 + 1])")
+def rules_met(spark, d):
+    return tools.reviewed(_lines_of_code(spark, d))
+
+
+@query(f"WITH t AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE doc_id IN (3, 5, 8)), a AS (SELECT * FROM (VALUES (0, '5'), (1, 'none'), (3, '8'), (4, '3'), (5, '5')) x(place, path))\n SELECT place::INT AS place, path, len(l)::INT AS total_diff_lines, pos::INT AS line_number, l[pos] AS line FROM a LEFT JOIN (SELECT doc_id, l, unnest(CASE WHEN len(l) < 2 THEN [NULL] ELSE range(2, least(len(l), 6) + 1) END) AS pos FROM t) t ON t.doc_id::VARCHAR = a.path")
+def diffs_read(spark, d):
+    """Lines 2 to 6 of the diffs of some files, one that has none, and one asked for twice."""
+    t = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.split("text", "\n").alias("diff_lines"))
+    return tools.file_read_diff(t, ["5", "./none", " ", "8", "3", "5"], 2, 6)
