@@ -128,3 +128,9 @@ def counts_text(m: Column, between: str = ", ") -> Column:
 
 def snapshot_id(ts: Column) -> Column:
     return F.date_format(ts, "yyyyMMddHHmmssSSSSSS")
+
+
+def json_string(c: Column) -> Column:
+    """A text as a JSON string, control characters escaped."""
+    made = F.to_json(F.struct(c.alias("x")))
+    return F.substring(made, F.lit(6), F.length(made) - 6)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import clamp, severity
 from tidemark.functions.status import reportable
-from tidemark.functions.text import blank, issue_type, json_text
+from tidemark.functions.text import blank, issue_type, json_string, json_text
 from tidemark.operators.report import SCORES
 
 #: What a call about an issue is told, what one about its filtering is, and the reason that an unfounded filtering gets.
@@ -133,7 +133,8 @@ def message_summary(content: Column, tool_names: Column, most: int = 1200) -> Co
     text = F.coalesce(content, F.lit(""))
     cut = F.when(F.length(text) > most, F.concat(F.left(text, F.lit(most - 20)), F.lit(TRUNCATED))).otherwise(text)
     names = F.coalesce(tool_names, F.array().cast("array<string>"))
-    return F.to_json(F.struct(cut.alias("content"), F.size(names).alias("tool_call_count"), F.filter(names, lambda n: F.coalesce(n, F.lit("")) != "").alias("tool_names")))
+    listed = F.array_join(F.transform(F.filter(names, lambda n: F.coalesce(n, F.lit("")) != ""), json_string), ", ")
+    return F.concat(F.lit('{"content": '), json_string(cut), F.lit(', "tool_call_count": '), F.size(names).cast("string"), F.lit(', "tool_names": ['), listed, F.lit("]}"))
 
 
 def fingerprint(**parts: Column) -> Column:

@@ -92,7 +92,7 @@ def owners(issues: DataFrame) -> DataFrame:
 
 
 def last_messages(messages: DataFrame) -> DataFrame:
-    """By conversation: messages by role and the last one of the user."""
+    """By conversation: messages by role, and the last ones of the user and of a tool."""
     roles = ("system", "user", "assistant", "tool")
-    user = F.when(F.col("role") == "user", F.col("turn"))
-    return messages.groupBy("conv_id").agg(*(F.count_if(F.col("role") == r).alias(f"{r}_count") for r in roles), F.max_by(F.when(F.col("role") == "user", F.col("text")), user).alias("last_user"))
+    last = lambda r: F.max_by(F.when(F.col("role") == r, F.col("text")), F.when(F.col("role") == r, F.col("turn"))).alias(f"last_{r}")
+    return messages.groupBy("conv_id").agg(*(F.count_if(F.col("role") == r).alias(f"{r}_count") for r in roles), last("user"), last("tool"))

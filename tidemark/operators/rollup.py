@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import clamp, severity
 from tidemark.functions.status import reportable
-from tidemark.functions.text import blank, code_key, issue_type, jaccard, text_key, word_set
+from tidemark.functions.text import blank, code_key, issue_type, jaccard, json_string, text_key, word_set
 from tidemark.operators.report import SCORES
 from tidemark.shared import ranked
 from tidemark.sources.views import RequestError
@@ -84,9 +84,8 @@ def display_name(df: DataFrame, names: DataFrame, account: str) -> DataFrame:
 
 def submission_key(project: Column, review: Column, base: Column) -> Column:
     """The digest of a comparison's identity as JSON with sorted keys."""
-    text = lambda c: F.concat(F.lit('"'), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
     base = F.when(blank(base), F.lit("0_version")).otherwise(F.trim(base))
-    return F.sha2(F.concat(F.lit('{"copy_from_version": '), text(base), F.lit(', "project_id": '), text(F.trim(project)), F.lit(', "review_version": '), text(F.trim(review)), F.lit("}")), 256)
+    return F.sha2(F.concat(F.lit('{"copy_from_version": '), json_string(base), F.lit(', "project_id": '), json_string(F.trim(project)), F.lit(', "review_version": '), json_string(F.trim(review)), F.lit("}")), 256)
 
 
 def checked_comments(comments: DataFrame) -> DataFrame:

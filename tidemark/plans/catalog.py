@@ -289,9 +289,11 @@ def owner_counts(spark, d):
     return report.owners(role(spark, d, "issue"))
 
 
-@query("SELECT conv_id, " + ", ".join(f"count(*) FILTER (role = '{r}') AS {r}_count" for r in ("system", "user", "assistant", "tool")) + ", max_by(text, turn) FILTER (role = 'user') AS last_user FROM conversations GROUP BY conv_id")
+@query("WITH c AS (SELECT conv_id, turn, text, CASE WHEN role = 'assistant' AND turn % 4 = 3 THEN 'tool' ELSE role END AS role FROM conversations) SELECT conv_id, " + ", ".join(f"count(*) FILTER (role = '{r}') AS {r}_count" for r in ("system", "user", "assistant", "tool")) + ", max_by(text, turn) FILTER (role = 'user') AS last_user, max_by(text, turn) FILTER (role = 'tool') AS last_tool FROM c GROUP BY conv_id")
 def message_summary(spark, d):
-    return report.last_messages(table(spark, d, "conversations"))
+    """Some of the assistant's turns are taken for a tool's."""
+    c = table(spark, d, "conversations")
+    return report.last_messages(c.withColumn("role", F.when((F.col("role") == "assistant") & (F.col("turn") % 4 == 3), "tool").otherwise(F.col("role"))))
 
 
 # --- trees, diffs, blocks

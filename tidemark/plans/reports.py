@@ -300,7 +300,7 @@ def relocation_answers(spark, d):
     return answers.relocation_applied(li, said).select("path", "issue_id", "issue_line_numbers", "original_issue_line_numbers", "relocation_status", "existing_code", "re_review_description", "evidence_match_status", "confidence_level", "re_review_status")
 
 
-@query("SELECT conv_id, turn, to_json({'content': CASE WHEN length(text) > 100 THEN left(text, 80) || '...<truncated>' ELSE text END, 'tool_call_count': 2, 'tool_names': ['read_file']})::VARCHAR AS summary FROM conversations WHERE role = 'assistant' AND text IS NOT NULL")
+@query("SELECT conv_id, turn, '{\"content\": ' || to_json(CASE WHEN length(text) > 100 THEN left(text, 80) || '...<truncated>' ELSE text END)::VARCHAR || ', \"tool_call_count\": 2, \"tool_names\": [\"read_file\"]}' AS summary FROM conversations WHERE role = 'assistant' AND text IS NOT NULL")
 def assistant_summaries(spark, d):
     c = table(spark, d, "conversations").where("role = 'assistant' and text is not null")
     return c.select("conv_id", "turn", answers.message_summary(F.col("text"), F.array(F.lit("read_file"), F.lit("")), 100).alias("summary"))
