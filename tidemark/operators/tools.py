@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.text import split_lines
 from tidemark.operators.issues import detected
 from tidemark.operators.symbols import clean
+from tidemark.sources.trees import Exclusions, allowed, clean_path
 from tidemark.sources.views import RequestError
 
 #: Paths of one request.
@@ -60,3 +61,25 @@ def reviewed(lines: DataFrame, hook: Callable[[Iterator[pa.RecordBatch]], Iterat
             yield b.select(names)
 
     return lines.mapInArrow(run, ISSUES)
+
+
+def checked_paths(requests: DataFrame, tree: DataFrame, exclusions: Exclusions = Exclusions(), most_bytes: int = 1 << 20) -> DataFrame:
+    """requests (path, ...) with `resolved`, the file in tree (path, size in bytes) that is meant, and `reason`, the first one why it isn't read; null if it is."""
+    norm = clean_path(F.trim(F.coalesce("path", F.lit(""))))
+    parts = F.filter(F.split(norm, "/"), lambda p: ~p.isin("", "."))
+    begin = F.struct(F.array().cast("array<string>").alias("out"), F.lit(False).alias("left"))
+    up = lambda a: F.struct(F.slice(a["out"], 1, F.greatest(F.size(a["out"]) - 1, F.lit(0))).alias("out"), (a["left"] | (F.size(a["out"]) == 0)).alias("left"))
+    walked = F.aggregate(parts, begin, lambda a, p: F.when(p == "..", up(a)).otherwise(F.struct(F.array_append(a["out"], p).alias("out"), a["left"].alias("left"))))
+    out = requests.withColumns({"_norm": norm, "_walked": walked}).withColumn("resolved", F.array_join("_walked.out", "/"))
+    known = tree.select(F.col("path").alias("_file"), F.col("size").alias("_size"))
+    out = out.join(known, F.col("resolved") == F.col("_file"), "left")
+    reason = (
+        F.when(F.col("_norm") == "", "File path is required")
+        .when(F.col("path").startswith("/") | F.col("path").rlike("^[A-Za-z]:"), "Absolute file paths are not allowed")
+        .when(F.col("_walked.left"), "File path escapes review root")
+        .when(F.col("_file").isNull(), "File not found")
+        .when(exclusions.column(F.col("resolved")), "File path is excluded from review")
+        .when(~allowed(F.col("resolved")), "File extension is not allowed for review tools")
+        .when(F.col("_size") > max(1, most_bytes), "File exceeds review tool size limit")
+    )
+    return out.withColumn("reason", reason).drop("_norm", "_walked", "_file", "_size")

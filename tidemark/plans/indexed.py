@@ -10,6 +10,7 @@ from tidemark.plans.catalog import STATS, query
 from tidemark.operators.symbols import SymbolIndex
 from tidemark.plans.proxy import role, table
 from tidemark.shared import scratch
+from tidemark.sources.trees import Exclusions
 from tidemark.versions import Versions
 
 
@@ -233,3 +234,22 @@ def diffs_read(spark, d):
     """Lines 2 to 6 of the diffs of some files, one that has none, and one asked for twice."""
     t = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.split("text", "\n").alias("diff_lines"))
     return tools.file_read_diff(t, ["5", "./none", " ", "8", "3", "5"], 2, 6)
+
+
+ASKED = "CASE doc_id % 9 WHEN 0 THEN path WHEN 1 THEN '/' || path WHEN 2 THEN 'x/../../' || path WHEN 3 THEN 'none/' || path WHEN 4 THEN 'a/../' || path WHEN 5 THEN './' || path WHEN 6 THEN 'C:' || path WHEN 7 THEN ' ' ELSE replace(path, '/', chr(92)) END"
+
+
+@query(
+    f"""WITH f AS (SELECT path, max(octet_length(encode(text)))::BIGINT AS size FROM tree WHERE text IS NOT NULL GROUP BY path), r AS (SELECT doc_id, path AS p, doc_id % 9 AS k, {ASKED} AS path FROM tree)
+ SELECT doc_id, r.path, CASE WHEN k = 7 THEN 'File path is required' WHEN k IN (1, 6) THEN 'Absolute file paths are not allowed' WHEN k = 2 THEN 'File path escapes review root' WHEN k = 3 OR size IS NULL THEN 'File not found' WHEN contains(p, '/de/') THEN 'File path is excluded from review'
+ WHEN ends_with(p, '.txt') THEN 'File extension is not allowed for review tools' WHEN size > 900 THEN 'File exceeds review tool size limit' END AS reason FROM r LEFT JOIN f ON f.path = r.p""",
+    "tree",
+)
+def path_reasons(spark, d):
+    """Why a path that a review asks for isn't read."""
+    t = role(spark, d, "tree")
+    files = t.where("text is not null").groupBy("path").agg(F.max(F.octet_length("text")).alias("size"))
+    p, k = F.col("path"), F.col("doc_id") % 9
+    forms = {0: p, 1: F.concat(F.lit("/"), p), 2: F.concat(F.lit("x/../../"), p), 3: F.concat(F.lit("none/"), p), 4: F.concat(F.lit("a/../"), p), 5: F.concat(F.lit("./"), p), 6: F.concat(F.lit("C:"), p), 7: F.lit(" "), 8: F.replace(p, F.lit("/"), F.lit("\\"))}
+    asked = t.select("doc_id", F.coalesce(*(F.when(k == n, v) for n, v in forms.items())).alias("path"))
+    return tools.checked_paths(asked, files, Exclusions(("de",)), 900).select("doc_id", "path", "reason")

@@ -8,6 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.views import RequestError
+
 #: Languages by extension; the extensions are those that are read. Folders that are never read.
 LANGUAGES = {
     "py": "Python", "js": "JavaScript", "jsx": "JavaScript React", "ts": "TypeScript", "tsx": "TypeScript React", "go": "Go", "java": "Java", "kt": "Kotlin", "kts": "Kotlin",
@@ -120,3 +122,26 @@ def author_map(documents: DataFrame) -> DataFrame:
     """path and author from JSON objects (column `value`): blanks are left out, of equal paths the last one counts."""
     pairs = documents.select(F.posexplode(F.from_json("value", "map<string,string>"))).select("pos", clean_path(F.trim("key")).alias("path"), F.trim("value").alias("author"))
     return pairs.where("path <> '' and author <> ''").groupBy("path").agg(F.max_by("author", "pos").alias("author"))
+
+
+def version_path(version: str, project: str = "", parent: str = "", root: str = "") -> str:
+    """Where a version's tree is: as it is if absolute, else under its parent, else under the project's folder in the root, else as it is."""
+    if version.startswith("/"):
+        return version
+    if parent:
+        return f"{parent.rstrip('/')}/{version}"
+    return f"{root.rstrip('/')}/{project}/{version}" if root else version
+
+
+def author_map_path(spark: SparkSession, value: str, root: str = "") -> str:
+    """An author map's file, checked: it has to be there, and inside the root if there is one; no name is no map."""
+    if not (value or "").strip():
+        return ""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(value.strip())
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(at) or not fs.getFileStatus(at).isFile():
+        raise RequestError(f"no such author map: {value}")
+    path = at.toUri().normalize().getPath()
+    if root and not path.startswith(root.rstrip("/") + "/"):
+        raise RequestError("the author map has to be inside the repository's root")
+    return path
