@@ -56,6 +56,17 @@ def test_versions_of_the_map(spark, tmp_path):
     assert first[1000] not in {first[i] for i in first if i != 1000} or sum(first[i] == first[1000] for i in first) < 60
 
 
+def test_equal_rows_are_spread_evenly(spark):
+    rows = [(None, None)] * 4000 + [(7, prose(1, 20))] * 1500 + [(i, prose(i, 20)) for i in range(3000)]
+    got = sharding.sharded(docs(spark, rows), 16).collect()
+    load, places = defaultdict(int), defaultdict(list)
+    for r in got:
+        load[r.shard] += r.size
+        places[r.shard].append(r.slot)
+    assert len(got) == len(rows) and set(load) == set(range(16)) and max(load.values()) - min(load.values()) < 0.01 * max(load.values())
+    assert all(sorted(p) == list(range(len(p))) for p in places.values()) and len({r.virtual_slot for r in got if r.doc_id is None}) > 2000
+
+
 def test_rebalancing_edits_the_map():
     rng = np.random.default_rng(4)
     weight = {s: (int(b), 1) for s, b in enumerate(rng.integers(1, 1000, sharding.SLOTS))}

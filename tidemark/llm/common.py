@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.shared import alone, clear, kept, ranked, running, shared_dir  # noqa: F401
+from tidemark.shared import alone, clear, kept, ranked, running, scratch, shared_dir  # noqa: F401
 
 #: A word is a run of anything but these six ASCII spaces.
 WORD = r"[^\x20\x09-\x0D]+"

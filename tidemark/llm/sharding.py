@@ -9,8 +9,8 @@ the driver and be broadcast.
 Law of the query: `bytes` (shards nearly equal in bytes). A record's place in its shard is its slot's offset there
 plus its rank inside the slot, so no task ever holds a shard.
 
-Cases: a null text has no bytes and checksum 0; a null id hashes like any value; rows with equal id and text share a
-slot and get places of their own; a very long text is one record, whose bytes are counted; an empty table gives an empty result;
+Cases: a null text has no bytes and checksum 0; a null id hashes like any value; rows with equal id and text are numbered, and
+the number is hashed with them, so they spread over the slots like others; a very long text is one record, whose bytes are counted; an empty table gives an empty result;
 extra columns, whatever their names, are left out.
 """
 
@@ -18,12 +18,11 @@ from __future__ import annotations
 
 import heapq
 import json
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import kept, shared_dir, table
+from tidemark.llm.common import checked, kept, ranked, scratch, table
 
 SLOTS, SHARDS = 8192, 40
 #: What a record takes besides its text.
@@ -42,6 +41,18 @@ def sized(docs: DataFrame) -> DataFrame:
     return df.withColumn("virtual_slot", slot_of(F.col("doc_id"), F.col("text_crc32"), F.col("size")))
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Records (sized, stored) with repeated ones in slots of their own: which of the equal rows gets which number doesn't matter."""
+    h = F.xxhash64("doc_id", "text_crc32", "size").alias("_h")
+    repeats = kept(rows.groupBy(h).agg(F.count("*").alias("_times")).where("_times > 1"))
+    if not repeats.limit(1).count():
+        return rows
+    both = kept(rows.withColumns({"_h": F.xxhash64("doc_id", "text_crc32", "size"), "_any": F.monotonically_increasing_id()}).join(checked(repeats), "_h", "left"))
+    numbered = ranked(both.where("_times is not null"), F.col("_any"), out="_n", by=("_h",))
+    slot = F.when(F.col("_n") == 0, F.col("virtual_slot")).otherwise(slot_of(F.col("_h"), F.col("_n")))
+    return kept(numbered.withColumn("virtual_slot", slot).select(*rows.columns).unionByName(both.where("_times is null").select(*rows.columns)))
+
+
 def slot_bytes(rows: DataFrame) -> dict[int, tuple[int, int]]:
     """Bytes and rows of each slot: at most SLOTS rows."""
     return {r.virtual_slot: (r.b, r.n) for r in rows.groupBy("virtual_slot").agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect()}
@@ -133,8 +144,8 @@ def placed(rows: DataFrame, plan: DataFrame) -> DataFrame:
 def sharded(docs: DataFrame, shards: int = SHARDS, path: str | None = None) -> DataFrame:
     """doc_id, size, text_crc32, virtual_slot, shard and slot. path: where the map's versions are; a folder of its own if none is named."""
     spark = docs.sparkSession
-    path = path or f"{shared_dir(spark)}/{uuid.uuid4().hex}-map"
-    rows = kept(sized(docs))
+    path = path or scratch(spark)
+    rows = spread(kept(sized(docs)))
     if versions(spark, path):
         return placed(rows, load_map(spark, path, rebalance(spark, path, rows, shards)))
     weight = slot_bytes(rows)
