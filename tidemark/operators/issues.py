@@ -218,6 +218,33 @@ def exact_groups(issues: DataFrame, order: list[str]) -> DataFrame:
     return issues.withColumns({"first": F.row_number().over(by.orderBy(*order)) == 1, "copies": F.count("*").over(by)})
 
 
+def similar_pairs(rows: DataFrame, key: str, by: list[str], words: Column, least: float) -> DataFrame:
+    """a, b and similarity of rows with equal `by` whose word sets have at least this Jaccard similarity; key: a row's id, a < b.
+
+    Rows of one set are a class, and its pairs have similarity 1. Classes meet by their sizes, where these allow as much similarity, and by a word of both prefixes: a
+    set's words, the rarest first, without the last ones that can't be all that is shared. Only pairs of classes that were found are dealt to rows.
+    """
+    rows = rows.select(key, *by, F.array_sort(F.array_distinct(words)).alias("_set")).where(F.size("_set") > 0).repartition(*by, "_set")
+    classes = rows.select(*by, "_set").distinct()
+    each = classes.select(*by, "_set", F.explode("_set").alias("_word"))
+    times = each.groupBy(*by, "_word").agg(F.count("*").alias("_times"))
+    order = each.join(times, [*by, "_word"]).groupBy(*by, "_set").agg(F.array_sort(F.collect_list(F.struct("_times", "_word"))).alias("_rare"))
+    n, slack = F.size("_set"), 1e-9
+    # the other set's size, and what two different sets of these sizes share at most and at least
+    sizes = order.withColumn("_m", F.explode(F.sequence(F.ceil(n * least - slack), F.floor(n / least + slack)))).withColumn("_least", F.ceil((n + F.col("_m")) * (least / (1 + least)) - slack))
+    sizes = sizes.where(F.col("_least") <= F.least(n, F.col("_m")) - F.when(n == F.col("_m"), 1).otherwise(0))
+    prefix = sizes.select(*by, "_set", n.cast("long").alias("_n"), "_m", F.explode(F.slice("_rare", 1, (n - F.col("_least") + 1).cast("int"))).alias("_w"))
+    x = prefix.where("_n <= _m").select(*by, F.col("_set").alias("_x"), F.col("_n").alias("_low"), F.col("_m").alias("_high"), "_w._word")
+    y = prefix.where("_n >= _m").select(*by, F.col("_set").alias("_y"), F.col("_m").alias("_low"), F.col("_n").alias("_high"), "_w._word")
+    met = x.join(y, [*by, "_low", "_high", "_word"]).where((F.col("_low") < F.col("_high")) | (F.col("_x") < F.col("_y"))).select(*by, "_x", "_y").distinct()
+    met = met.withColumn("similarity", jaccard(F.col("_x"), F.col("_y"))).where(F.col("similarity") >= least)
+    one = rows.select(*by, F.col("_set").alias("_x"), F.col(key).alias("_p"))
+    two = rows.select(*by, F.col("_set").alias("_y"), F.col(key).alias("_q"))
+    across = met.join(one, [*by, "_x"]).join(two, [*by, "_y"]).where("_p <> _q").select(F.least("_p", "_q").alias("a"), F.greatest("_p", "_q").alias("b"), "similarity")
+    inside = one.join(two.withColumnRenamed("_y", "_x"), [*by, "_x"]).where("_p < _q").select(F.col("_p").alias("a"), F.col("_q").alias("b"), F.lit(1.0).alias("similarity"))
+    return inside.unionByName(across)
+
+
 def merged_in_file(issues: DataFrame) -> DataFrame:
     """issue_id and survivor of a file's issues (file_name, block_id, issue_id, ...), in order: one that equals an earlier survivor
     goes, unless only it is reportable, when it takes the place. Order decides, so a file's issues are folded together. Ids may repeat: rows are judged."""

@@ -483,9 +483,8 @@ def interval_overlap(spark, d):
 
 @query("WITH w AS (SELECT p_partkey, p_type, p_size, list_distinct(string_split(lower(p_name) || ' ' || lower(p_brand), ' ')) AS w FROM part) SELECT a.p_partkey AS a, b.p_partkey AS b, len(list_intersect(a.w, b.w))::DOUBLE / len(list_distinct(list_concat(a.w, b.w))) AS similarity FROM w a JOIN w b ON a.p_type = b.p_type AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey WHERE len(list_intersect(a.w, b.w))::DOUBLE / len(list_distinct(list_concat(a.w, b.w))) >= 0.65")
 def jaccard_pairs(spark, d):
-    w = table(spark, d, "part").select("p_partkey", "p_type", "p_size", F.array_distinct(F.split(F.concat_ws(" ", F.lower("p_name"), F.lower("p_brand")), " ")).alias("w"))
-    a, b = w.select(F.col("p_partkey").alias("a"), "p_type", "p_size", F.col("w").alias("x")), w.select(F.col("p_partkey").alias("b"), "p_type", "p_size", F.col("w").alias("y"))
-    return a.join(b, ["p_type", "p_size"]).where("a < b").withColumn("similarity", text.jaccard(F.col("x"), F.col("y"))).where("similarity >= 0.65").select("a", "b", "similarity")
+    words = F.split(F.concat(F.lower("p_name"), F.lit(" "), F.lower("p_brand")), " ")
+    return issues.similar_pairs(table(spark, d, "part"), "p_partkey", ["p_type", "p_size"], words, 0.65)
 
 
 @query("WITH g AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, row_number() OVER (PARTITION BY l_returnflag, l_linenumber, l_quantity ORDER BY l_orderkey, l_partkey, l_suppkey, l_shipdate, l_extendedprice) = 1 AS first, count(*) OVER (PARTITION BY l_returnflag, l_linenumber, l_quantity) AS copies FROM lineitem) SELECT * FROM g WHERE first")
