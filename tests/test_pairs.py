@@ -4,6 +4,7 @@ import itertools
 import random
 
 from tidemark.operators import issues
+from tidemark.plans import reports
 
 
 def test_similar_pairs_are_those_of_all_pairs(spark):
@@ -21,3 +22,17 @@ def test_similar_pairs_join_no_rows_by_their_group_alone(spark):
     plan = issues.similar_pairs(df, "id", ["g"], df.w, 0.65)._jdf.queryExecution().optimizedPlan().toString()
     joins = [line for line in plan.splitlines() if "Join Inner" in line]
     assert joins and all("_word" in j or "_set" in j or "_x" in j or "_y" in j for j in joins)
+
+
+def test_nested_issues_are_dealt_once(spark):
+    had = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with many tasks
+        files = reports._nested_issues(spark, "/root/testdata/sf0.001")
+        own = files.join(files.sparkSession.range(9).selectExpr("cast(id as string) as task_id"), "task_id", "left_semi")
+        plan = own._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in had.items():
+            spark.conf.set(k, v)
+    assert plan.count("Exchange hashpartitioning") == 2  # the issues, and the tasks

@@ -210,7 +210,8 @@ def endpoint_log_default_range(spark, d):
 
 def _nested_issues(spark, d):
     """Files of tasks of the issue role, one for each task, author and file."""
-    i = role(spark, d, "issue")
+    # dealt by task once: nesting, picking tasks and counting by task then deal nothing anew, however the picked tasks are joined
+    i = role(spark, d, "issue").repartition("task_id")
     b = i.groupBy("task_id", "file_name", "file_author", "block_id").agg(F.collect_list(F.struct(F.col("line_no").alias("issue_id"), "severity", "feedback_type", "filter_status")).alias("issues"))
     return b.groupBy("task_id", "file_name", "file_author").agg(F.collect_list(F.struct("block_id", "issues")).alias("code_blocks")).withColumn("id", F.concat_ws("/", "task_id", "file_name"))
 
