@@ -14,6 +14,7 @@ from tidemark.functions.status import reportable
 from tidemark.functions.text import strip
 from tidemark.operators import control, feedback, report, summaries
 from tidemark.operators.rollup import display_name
+from tidemark.shared import kept
 from tidemark.sources.views import RequestError, author_is, date_range, issues_of, page_of, within
 
 #: Names of task types, which views there are of feedback, and the type of each.
@@ -109,7 +110,7 @@ def feedback_admin(tasks: DataFrame, files: DataFrame, names: DataFrame, view: s
     sets = mine.agg(F.count_distinct("project_id").alias("projects"), F.count_distinct(F.struct("project_id", "review_version")).alias("versions")).select("*", one)
     summary = feedback.counted(issues).select("*", one).join(sets, "one").join(own.agg(F.count_distinct(author).alias("authors")).select("*", one), "one").drop("one")
     if view.startswith("author_"):
-        rows = display_name(feedback.by_author(issues, own), names, "author")
+        rows = kept(display_name(feedback.by_author(issues, own), names, "author"))  # counted for pages, and read for one
         items = _page(rows, [F.asc("display_name"), F.asc("author")], page, size)
     else:
         n = feedback.counted(issues, "task_id")
