@@ -3,7 +3,7 @@
 import itertools
 import random
 
-from tidemark.operators import issues
+from tidemark.operators import issues, ranges
 from tidemark.plans import reports
 
 
@@ -36,3 +36,31 @@ def test_nested_issues_are_dealt_once(spark):
         for k, v in had.items():
             spark.conf.set(k, v)
     assert plan.count("Exchange hashpartitioning") == 2  # the issues, and the tasks
+
+
+def test_overlap_sums_are_those_of_all_pairs(spark):
+    r = random.Random(8)
+    made = lambda n, longest: [(i, r.choice("fg"), a, a + r.randint(-2, r.choice([1, 9, longest]))) for i in range(n) for a in [r.randint(-40, 400)]]
+    one, two = made(120, 200), made(90, 300)
+    left, right = spark.createDataFrame(one, "id long, f string, a1 long, a2 long"), spark.createDataFrame(two, "e long, f string, b1 long, b2 long")
+    found = ranges.overlap_sums(left, right, "f", ("a1", "a2"), ("b1", "b2"), "e")
+    want = {i: [e for e, g, b1, b2 in two if g == f and b1 <= b2 and a1 <= b2 and b1 <= a2] for i, f, a1, a2 in one if a1 <= a2}
+    assert {x.id: (x.n, x.least) for x in found.collect()} == {i: (len(e), min(e)) for i, e in want.items() if e}
+
+
+def test_findings_are_not_dealt_with_each_line(spark):
+    r = random.Random(9)
+    found = [(i % 40, r.choice("fg"), a, a + r.randint(-2, 90)) for i in range(80) for a in [r.randint(0, 300)]] + [(1, "f", 5, 9)] * 2
+    lines = [(r.choice("fg"), r.choice([1, 2, None]), r.randint(0, 350)) for _ in range(300)]
+    f, p = spark.createDataFrame(found, "id long, file_name string, start_line long, end_line long"), spark.createDataFrame(lines, "file_name string, block_id int, line long")
+    out = ranges.findings_on_changes(f, p)
+    want: dict = {}
+    for row in found:
+        for g, b, line in set(lines):
+            if g == row[1] and row[2] <= line <= row[3]:
+                n, first = want.get((row, b), (0, line))
+                want[row, b] = n + 1, min(first, line)
+    assert {((x.id, x.file_name, x.start_line, x.end_line), x.block_id): (x.changed_lines, x.first_line) for x in out.collect()} == want
+    # the last step is a join: what it makes isn't dealt again
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan[: plan.index("Join")]
