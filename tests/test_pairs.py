@@ -3,7 +3,7 @@
 import itertools
 import random
 
-from tidemark.operators import issues, ranges
+from tidemark.operators import code, issues, ranges
 from tidemark.plans import reports
 
 
@@ -64,3 +64,22 @@ def test_findings_are_not_dealt_with_each_line(spark):
     # the last step is a join: what it makes isn't dealt again
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in plan[: plan.index("Join")]
+
+
+def test_call_graph_goes_through_its_edges_once_a_step(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("d", "e"), ("x", "a"), ("ns.B", "q")], "caller string, callee string")
+    found = code.call_graph(edges, "a", "outgoing", 3)
+    assert sorted(map(tuple, found.collect())) == [("a", "b"), ("b", "c"), ("c", "d"), ("ns.B", "q")]
+    both = code.call_graph(edges, "a", "both", 2)
+    assert sorted(map(tuple, both.collect())) == [("a", "b"), ("b", "c"), ("ns.B", "q"), ("x", "a")]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1  # the edges
+
+
+def test_comment_scan_takes_runs_of_code_as_one(spark):
+    scan = code.scanner("c")
+    assert [scan(x, "") for x in ("plain code // no", "a/b/*c", "  // only", '"/*" x', "a\\\\'/*'")] == [(True, ""), (True, "*/"), (False, ""), (True, ""), (True, "")]
+    texts = [["word " * 4000], ["/* open"], ["inside"], ["closed */"], ["x = 1"]]
+    df = spark.createDataFrame([("f", "C", i, [f"{i + 1:>6}+  {t[0]}"]) for i, t in enumerate(texts)], "path string, language string, block_id int, diff_lines array<string>")
+    out = code.comment_only(df)
+    assert [r.comment_only for r in out.orderBy("block_id").collect()] == [False, True, True, True, False]
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().optimizedPlan().toString()  # no frame for each file

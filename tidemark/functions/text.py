@@ -118,7 +118,8 @@ def json_text(c: Column) -> Column:
 def symbol_key(c: Column) -> Column:
     """The last part of a qualified name, in lower case; null for what is no name. `<module>` names itself."""
     last = F.element_at(F.split(F.element_at(F.split(strip(c), r"\."), -1), "::"), -1)
-    return F.when(strip(c) == "<module>", F.lit("<module>")).when(strip(c).rlike(r"^[A-Za-z_~][\w.:~]*$") & (last != ""), F.lower(last))
+    qualified = F.when(strip(c) == "<module>", F.lit("<module>")).when(strip(c).rlike(r"^[A-Za-z_~][\w.:~]*$") & (last != ""), F.lower(last))
+    return F.when(c.rlike(r"\A[A-Za-z_~][A-Za-z0-9_~]*\z"), F.lower(c)).otherwise(qualified)  # most names have one part: nothing to cut
 
 
 def counts_text(m: Column, between: str = ", ") -> Column:
