@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import fnmatch
 import re
+from collections.abc import Iterator
+from functools import cache, reduce
+from itertools import chain, groupby
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import split_lines, symbol_key
+from tidemark.shared import kept
 from tidemark.sources.trees import clean_path
 from tidemark.sources.views import RequestError
 
@@ -52,21 +56,19 @@ def find_references(edges: DataFrame, symbol: Column, path: str = "", limit: int
 
 
 def call_graph(edges: DataFrame, symbol: str, direction: str = "both", depth: int = 1) -> DataFrame:
-    """Edges within `depth` (1 to 3) steps of a symbol: as many joins, each with the frontier alone."""
+    """Edges within `depth` (1 to 3) steps of a symbol: as many joins, each with the frontier alone, and one for the edges of all frontiers.
+
+    A frontier is stored, so that no step goes through the edges again for the steps before it.
+    """
     e = edges.withColumns({"a": symbol_key(F.col("caller")), "b": symbol_key(F.col("callee"))})
-    frontier = edges.sparkSession.range(1).select(symbol_key(F.lit(symbol)).alias("s"))
-    seen, found = frontier, None
-    for _ in range(min(DEPTH, max(1, depth))):
-        steps = []
-        if direction in ("outgoing", "both"):
-            steps.append(e.join(frontier, e.a == frontier.s, "left_semi").withColumn("to", F.col("b")))
-        if direction in ("incoming", "both"):
-            steps.append(e.join(frontier, e.b == frontier.s, "left_semi").withColumn("to", F.col("a")))
-        step = steps[0] if len(steps) == 1 else steps[0].unionByName(steps[1])
-        found = step if found is None else found.unionByName(step)
-        frontier = step.select(F.col("to").alias("s")).distinct().join(seen, "s", "left_anti")
+    seen = frontier = edges.sparkSession.range(1).select(symbol_key(F.lit(symbol)).alias("s"))
+    ways = [w for d, *w in (("outgoing", "a", "b"), ("incoming", "b", "a")) if direction in (d, "both")]
+    along = lambda symbols: [(e.join(symbols, e[start] == symbols.s, "left_semi"), to) for start, to in ways]
+    for _ in range(min(DEPTH, max(1, depth)) - 1):
+        step = reduce(DataFrame.unionByName, (df.select(F.col(to).alias("s")) for df, to in along(frontier)))
+        frontier = kept(step.distinct().join(seen, "s", "left_anti"))
         seen = seen.unionByName(frontier)
-    return found.select(*edges.columns).distinct()
+    return reduce(DataFrame.unionByName, (df.select(*edges.columns) for df, _ in along(seen))).distinct()
 
 
 def path_filter(path: Column, patterns: list[str]) -> Column:
@@ -232,6 +234,7 @@ EFFECTIVE = ("coding:", "coding=", "coverage:", "eslint-", "go:build", "gosec",
 EFFECTIVE_STARTS = {"powershell": ("#requires",), "sql": ("/*+", "/*!"), "html": ("<!--[if",), "vue": ("<!--[if",), "go": ("// +build",)}
 
 
+@cache
 def scanner(language: str):
     """A function (code, open block's end) -> (has code, open block's end), by one pattern per language; None for unknown ones."""
     if (syntax := COMMENTS.get(language.strip().lower())) is None:
@@ -240,7 +243,9 @@ def scanner(language: str):
     ends = dict(pairs)
     either = lambda name, words: f"(?P<{name}>{'|'.join(map(re.escape, words))})"
     parts = [either("line", starts)] * bool(starts) + [either("block", ends)] * bool(ends)
-    token = re.compile("|".join([*parts, r"""(?P<text>"(?:\\.|[^"\\])*(?:"|\\?$)|'(?:\\.|[^'\\])*(?:'|\\?$)|`(?:\\.|[^`\\])*(?:`|\\?$))""", r"(?P<space>\s+)", "(?P<code>.)"]), re.DOTALL)
+    # code runs on to what may begin another token
+    first = "".join(re.escape(c) for c in sorted({w[0] for w in (*starts, *ends)} | set("\"'`")))
+    token = re.compile("|".join([*parts, r"""(?P<text>"(?:\\.|[^"\\])*(?:"|\\?$)|'(?:\\.|[^'\\])*(?:'|\\?$)|`(?:\\.|[^`\\])*(?:`|\\?$))""", r"(?P<space>\s+)", rf"(?P<code>[^\s{first}][^{first}]*|.)"]), re.DOTALL)
 
     def scan(code: str, inside: str) -> tuple[bool, str]:
         at, seen = 0, False
@@ -258,6 +263,8 @@ def scanner(language: str):
             if kind == "block":
                 inside = ends[m[0]]
             seen |= kind in ("text", "code")
+            if seen and not ends:  # no block can open
+                break
             at = m.end()
         return seen, inside
 
@@ -268,23 +275,32 @@ def comment_only(blocks: DataFrame) -> DataFrame:
     """path, block_id and whether a block (path, language, block_id, diff_lines) changes comments and blanks alone. Open comments are carried
     from block to block of a file, for either side of the diff, so a file's blocks are scanned in order, in Python."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("block_id")
-        language = rows["language"].iloc[0] or ""
-        scan, inside, out = scanner(language), {"old": "", "new": ""}, []
-        low = language.strip().lower()
-        for lines in rows["diff_lines"]:
-            changed, only = False, scan is not None
-            for line in lines if scan else ():
-                marker, code = line[6:7], line[9:]
-                number = line[:6].strip()
-                for side in {"+": ("new",), "-": ("old",), " ": ("old", "new")}.get(marker, ()):
-                    seen, inside[side] = scan(code, inside[side])
-                    if marker in "+-":
-                        text = code.strip().lower()
-                        acts = (number == "1" and text.startswith("#!")) or text.startswith(EFFECTIVE_STARTS.get(low, ("\0",))) or any(m in text for m in EFFECTIVE)
-                        changed, only = True, only and not seen and not acts
-            out.append(changed and only)
-        return pd.DataFrame({"path": rows["path"], "block_id": rows["block_id"], "comment_only": out})
-
-    return blocks.select("path", "language", "block_id", "diff_lines").groupBy("path").applyInPandas(run, "path string, block_id int, comment_only boolean")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, out = chain.from_iterable(b.to_pylist() for b in batches), []
+        for _, group in groupby(rows, key=lambda r: r["path"]):
+            language, scan, inside = None, None, {"old": "", "new": ""}
+            for r in group:
+                if language is None:  # the file's first block names it
+                    language = r["language"] or ""
+                    scan, low = scanner(language), language.strip().lower()
+                changed, only = False, scan is not None
+                for line in (r["diff_lines"] or ()) if scan else ():
+                    marker, code = line[6:7], line[9:]
+                    number = line[:6].strip()
+                    for side in {"+": ("new",), "-": ("old",), " ": ("old", "new")}.get(marker, ()):
+                        seen, inside[side] = scan(code, inside[side])
+                        if marker in "+-":
+                            changed = True
+                            if only:
+                                text = code.strip().lower()
+                                acts = (number == "1" and text.startswith("#!")) or text.startswith(EFFECTIVE_STARTS.get(low, ("\0",))) or any(m in text for m in EFFECTIVE)
+                                only = not seen and not acts
+                out.append({"path": r["path"], "block_id": r["block_id"], "comment_only": changed and only})
+                if len(out) == 4096:
+                    yield pa.RecordBatch.from_pylist(out, schema)
+                    out = []
+        yield pa.RecordBatch.from_pylist(out, schema)
+
+    schema = pa.schema([("path", pa.string()), ("block_id", pa.int32()), ("comment_only", pa.bool_())])
+    dealt = blocks.select("path", "language", "block_id", "diff_lines").repartition("path").sortWithinPartitions("path", "block_id")
+    return dealt.mapInArrow(run, "path string, block_id int, comment_only boolean")
