@@ -18,11 +18,11 @@ from tidemark.shared import kept, ranked, running
 BLOCK_TOKENS, CONTEXT, BATCH = 10_000, 10, 20
 
 
-def full_scan(tree: DataFrame) -> DataFrame:
-    """Every line of every file that isn't empty, as added."""
+def full_scan(tree: DataFrame, *more: Column) -> DataFrame:
+    """Every line of every file that isn't empty, as added; more: further columns of the tree."""
     lines = split_lines(F.col("text"))
     formatted = F.transform(lines, lambda x, i: diff_line(i + 1, F.lit("+"), x))
-    return tree.where("text <> ''").select("path", "language", F.lit("FULL").alias("change_type"), formatted.alias("diff_lines"), F.size(lines).alias("line_count"), F.size(lines).alias("added_count"))
+    return tree.where("text <> ''").select("path", "language", F.lit("FULL").alias("change_type"), formatted.alias("diff_lines"), F.size(lines).alias("line_count"), F.size(lines).alias("added_count"), *more)
 
 
 def compared(base: DataFrame, head: DataFrame) -> DataFrame:

@@ -66,7 +66,7 @@ def sync(spark, d):
 
     def targets(df):
         tree = df.select(F.col("file_name").alias("path"), F.lit("C").alias("language"), "text")
-        t = diffs.full_scan(tree).join(tree.select("path", F.col("text").alias("full_code")), "path")
+        t = diffs.full_scan(tree, F.col("text").alias("full_code"))
         return t.select(F.col("path").alias("file_name"), "language", "change_type", F.lit("").alias("old_file_name"), "full_code", "diff_lines", F.col("line_count").alias("code_line_num"), F.col("added_count").alias("add_code_line_num"))
 
     new = targets(docs.where(i % 13 != 0).withColumn("text", F.when(i % 7 == 0, F.concat("text", F.lit("\nnew line"))).otherwise(F.col("text"))))
