@@ -3,8 +3,10 @@
 import itertools
 import random
 
-from tidemark.operators import code, issues, ranges
-from tidemark.plans import reports
+import pyarrow as pa
+
+from tidemark.operators import code, diffs, issues, ranges
+from tidemark.plans import catalog, reports
 
 
 def test_similar_pairs_are_those_of_all_pairs(spark):
@@ -83,3 +85,25 @@ def test_comment_scan_takes_runs_of_code_as_one(spark):
     out = code.comment_only(df)
     assert [r.comment_only for r in out.orderBy("block_id").collect()] == [False, True, True, True, False]
     assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().optimizedPlan().toString()  # no frame for each file
+
+
+def test_full_scan_takes_columns_along(spark):
+    tree = spark.createDataFrame([("a.c", "C", "x\ny"), ("b.c", "C", "")], "path string, language string, text string")
+    assert [(r.path, r.line_count, r.full_code) for r in diffs.full_scan(tree, tree.text.alias("full_code")).collect()] == [("a.c", 2, "x\ny")]
+
+
+def test_marked_lines_are_dealt_by_file_once(spark):
+    had = spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        plan = catalog.QUERIES["reviewable_lines"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", had)
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_merged_issues_come_in_batches_of_many_files(spark):
+    rows = [(f"f{i}", 1, 1, "logic", 3, "7", "d", "", "", "", None) for i in range(3000)]
+    df = spark.createDataFrame(rows, "file_name string, block_id int, issue_id int, type string, severity int, issue_line_numbers string, description string, suggestion string, rule_id string, existing_code string, filter_status string")
+    sizes = issues.merged_in_file(df).mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long").collect()
+    assert sum(r.n for r in sizes) == 3000 and len(sizes) <= 2 * df.sparkSession.sparkContext.defaultParallelism + 8

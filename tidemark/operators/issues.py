@@ -290,13 +290,18 @@ def merged_in_file(issues: DataFrame) -> DataFrame:
         return [n in alive for n in range(len(rows))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, schema = ["file_name", "block_id", "issue_id", "survivor"], pa.schema([("file_name", pa.string()), ("block_id", pa.int32()), ("issue_id", pa.int32()), ("survivor", pa.bool_())])
+        schema = pa.schema([("file_name", pa.string()), ("block_id", pa.int32()), ("issue_id", pa.int32()), ("survivor", pa.bool_())])
         rows = chain.from_iterable(b.to_pylist() for b in batches)
+        made: list[tuple] = []
+        batch = lambda part: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part, strict=True), schema, strict=True)], schema=schema)
         for _, group in groupby(rows, key=lambda r: r["file_name"]):
             own = list(group)
-            for r, survives in zip(own, fold(own), strict=True):
-                r["survivor"] = survives
-            yield pa.RecordBatch.from_pylist([{c: r[c] for c in out} for r in own], schema)
+            made += [(r["file_name"], r["block_id"], r["issue_id"], survives) for r, survives in zip(own, fold(own), strict=True)]
+            if len(made) >= 8192:  # of many files: most have few issues
+                yield batch(made)
+                made = []
+        if made:
+            yield batch(made)
 
     order = ["file_name", "block_id", "issue_id", "key", "shown", "rule", "code"]
     return ready.repartition("file_name").sortWithinPartitions(*order).mapInArrow(run, "file_name string, block_id int, issue_id int, survivor boolean")
