@@ -451,7 +451,8 @@ def evidence_exact(spark, d):
 def _marked(spark, d):
     m = F.when(F.col("l_returnflag") == "A", "+").when(F.col("l_returnflag") == "R", "-").otherwise(" ")
     i = table(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("path"), F.col("l_partkey").cast("int").alias("line_no"), "l_linenumber", m.alias("marker"))
-    i = i.groupBy("path", "line_no").agg(F.min("marker").alias("marker"))
+    # dealt by file before it is grouped: a task sorts its share of files, not all that it read
+    i = i.repartition("path").groupBy("path", "line_no").agg(F.min("marker").alias("marker"))
     return i.withColumn("seq", F.row_number().over(Window.partitionBy("path").orderBy("line_no")))
 
 
