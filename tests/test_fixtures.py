@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.plans import reports
 from tidemark.functions import numeric, status, text
 from tidemark.operators import code, control, diffs, feedback, issues, report, rollup
 from tidemark.sources import trees, views
@@ -356,3 +357,9 @@ def test_trigger_again(state, changed, want):
     assert (got["state"], got["trigger_revision"]) == (want, 5)
     assert control.triggered(None, {"project_id": "p"}, True, BASE)["state"] == 0
     assert control.interrupted({"lease_owner": "w", "trigger_revision": 1, "state": 1}, "w", 1)["state"] == 0
+
+
+def test_finished_reads_nested_files_once(spark):
+    d = "/root/testdata/sf0.001"
+    assert not any("lineitem" in f for f in reports.finish_rollups(spark, d).inputFiles()), "everything is counted from the stored rows"
+    assert reports.report_files(spark, d)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1, "blocks and files are nested after one deal"

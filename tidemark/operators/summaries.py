@@ -14,6 +14,7 @@ from tidemark.functions.status import block_in_report, block_in_snapshot, file_i
 from tidemark.functions.text import counts_text, strip
 from tidemark.operators.feedback import SEVERE
 from tidemark.operators.report import SCORES, block_weight
+from tidemark.shared import kept
 
 B = "code_blocks"
 
@@ -157,6 +158,15 @@ def snapshot_rollup(files: DataFrame, snapshots: DataFrame) -> DataFrame:
     return out.join(issue_maps(files), "task_id", "left").join(tool_map(files), "task_id", "left")
 
 
+def _counts(rows: DataFrame, **arrays: str) -> DataFrame:
+    """By task, a map for each of arrays (name: column) of how often each value occurs; null for a task without values. One pass over rows, however many arrays."""
+    tagged = lambda k, c: F.transform(c, lambda x: F.struct(F.lit(k).alias("of"), x.alias("k")))
+    value = F.explode(F.flatten(F.array(*(tagged(k, c) for k, c in arrays.items()))))
+    n = rows.select("task_id", value.alias("v")).groupBy("task_id", "v.of", "v.k").agg(F.count("*").alias("n"))
+    entries = lambda k: F.array_sort(F.collect_list(F.when(F.col("of") == k, F.struct("k", "n"))))
+    return n.groupBy("task_id").agg(*(F.map_from_entries(F.nullif(entries(k), F.array().cast("array<struct<k:string,n:bigint>>"))).alias(k) for k in arrays))
+
+
 def finished(files: DataFrame, tasks: DataFrame, top: int = 10) -> DataFrame:
     """What a finished review makes of its task: status counts, tokens, histograms, static findings, the files with most issues, the summary's text and scores:
     those of reviewed files' blocks, weighed by changed lines whatever the type and not clamped; the task's score is their mean, truncated.
@@ -179,8 +189,12 @@ def finished(files: DataFrame, tasks: DataFrame, top: int = 10) -> DataFrame:
         _total(B, lambda b: _size(b["static_findings"])).alias("findings"),
         F.size(F.filter(shown, lambda i: F.coalesce(i["static_corroborated"], F.lit(False)))).alias("corroborated"),
         F.size(shown).alias("shown"),
+        F.transform(shown, lambda i: F.coalesce(F.nullif(i["type"], F.lit("")), F.lit("general"))).alias("kinds"),
+        F.transform(shown, lambda i: F.coalesce(i["severity"], F.lit(0)).cast("string")).alias("severities"),
+        F.transform(F.flatten(F.transform(B, lambda b: b["static_findings"])), lambda s: F.coalesce(F.nullif(s["analyzer"], F.lit("")), F.lit("unknown"))).alias("analyzers"),
         *(F.when(reviewed, c).otherwise(0).alias(k) for k, c in _weighed(B, F.lit(1), False).items()),
     )
+    per = kept(per)  # what is counted below comes from these rows; the nested files are read and reduced once
     is_ = lambda *w: F.col("status").isin(*w)
     out = per.groupBy("task_id").agg(
         F.count("*").alias("file_num"),
@@ -205,9 +219,8 @@ def finished(files: DataFrame, tasks: DataFrame, top: int = 10) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("task_id").orderBy(F.desc("comments"), "file_name"))
     best = F.array_sort(F.collect_list(F.struct((-F.col("comments")).alias("n"), "file_name")))
     first = per.where("comments > 0").select("task_id", "comments", "file_name").withColumn("place", place).where(F.col("place") <= top).groupBy("task_id").agg(best.alias("top"))
-    out = out.join(first, "task_id", "left").join(_counted(per, F.col("status"), "status_counts"), "task_id").join(issue_maps(files), "task_id", "left")
-    sources = files.select("task_id", F.explode(F.flatten(F.transform(B, lambda b: b["static_findings"]))).alias("s"))
-    out = out.join(_counted(sources, F.coalesce(F.nullif("s.analyzer", F.lit("")), F.lit("unknown")), "static_sources"), "task_id", "left")
+    out = out.join(first, "task_id", "left").join(_counted(per, F.col("status"), "status_counts"), "task_id")
+    out = out.join(_counts(per, issue_type_counts="kinds", severity_counts="severities", static_sources="analyzers"), "task_id", "left")
     out = tasks.select(F.col("id").alias("task_id"), "retry_count").join(out, "task_id")
     out = out.withColumns({"state": F.when(F.col("incomplete_file_num") > 0, 3).otherwise(2), "retry_count": F.coalesce("retry_count", F.lit(0)) + (F.col("incomplete_file_num") > 0).cast("int")})
     total = sum((F.col(s) for s in SCORES[1:]), F.col(SCORES[0]))

@@ -24,7 +24,7 @@ def _word(f):
 
 
 def report_files(spark, d):
-    i = role(spark, d, "issue")
+    i = role(spark, d, "issue").repartition("task_id")  # dealt by file once: blocks and files are then nested where they are
     kind = F.when(F.col("severity") % 3 == 0, "logic").when(F.col("severity") % 3 == 1, "security").otherwise("")
     i = i.groupBy("task_id", "block_id").agg(F.collect_list(F.struct(F.col("line_no").alias("issue_id"), "severity", kind.alias("type"), "feedback_type", "filter_status", (F.col("severity") >= 6).alias("static_corroborated"))).alias("issues"))
     picked = lambda keep, make: F.transform(F.filter("issues", keep), make)
