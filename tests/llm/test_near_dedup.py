@@ -93,3 +93,45 @@ def test_empty_table(spark):
 def test_given_documents_match_brute_force(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     assert result(df) == brute([tuple(r) for r in df.collect()])
+
+
+def near_texts(seed, copies, shared):
+    """Texts that have a passage of `shared` words in common, and copies of one text with a few words changed that link only in part."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    passage, base = [word() for _ in range(shared)], [word() for _ in range(150)]
+    rows = [(i, " ".join(passage + [word() for _ in range(100)])) for i in range(copies)]
+    for i in range(copies):
+        w = list(base)
+        for _ in range(rng.randrange(16)):
+            w[rng.randrange(len(w))] = word()
+        rows.append((copies + i, " ".join(w)))
+    return rows
+
+
+def branched(spark, monkeypatch, rows):
+    """The result, the rows that branching stored and those that came to the dense step."""
+    real, dense, made, left = near_dedup.kept_in_batches, near_dedup._dense, [], []
+
+    def counting(df, n):
+        out = real(df, n)
+        if {"path", "sketch"} <= set(out.columns):
+            made.append(out.count())
+        return out
+
+    with monkeypatch.context() as m:
+        m.setattr(near_dedup, "SMALL", 8)
+        m.setattr(near_dedup, "kept_in_batches", counting)
+        m.setattr(near_dedup, "_dense", lambda large, *more: left.append(large.count()) or dense(large, *more))
+        return result(rows_of(spark, rows)), sum(made), sum(left)
+
+
+def test_texts_that_share_a_passage_do_not_branch(spark, monkeypatch):
+    rows = near_texts(3, 120, 20)[:120]
+    assert branched(spark, monkeypatch, rows) == (brute(rows), 0, 0)
+
+
+def test_branching_grows_as_a_group_does(spark, monkeypatch):
+    (a, small, _), (b, large, _) = (branched(spark, monkeypatch, rows) for rows in (near_texts(4, 60, 45), near_texts(4, 120, 45)))
+    assert (a, b) == (brute(near_texts(4, 60, 45)), brute(near_texts(4, 120, 45)))
+    assert 0 < large <= 3 * small

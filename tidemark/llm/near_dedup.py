@@ -8,7 +8,9 @@ of its shingle set. In each of TREES independent trees a node of the tree choose
    class and node, however large a group of copies is. What links goes into components.
 2. Nodes that still hold several components are compared exhaustively if they are small; the large ones branch
    again. A node whose classes are in one component already is done: no link between texts is lost by that, as it
-   could not change a component. What is still large at the deepest level is a dense group: there every class outside
+   could not change a component. Before they branch, classes go that no pair could pass the sketch test with: those of whose
+   coordinates under SKETCH hold a token that another component's class of a large node has too (texts that only share
+   a passage). A class's children are counted before rows are made of them; one without several components gets none. What is still large at the deepest level is a dense group: there every class outside
    the group's largest component is held against all others, in blocks of full shingle sets that are bounded in classes and bytes.
 
 Pairs whose minhashes agree in under SKETCH of K coordinates are passed over (at similarity 0.75 that loses a pair
@@ -119,10 +121,21 @@ def _grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each row with the paths of its children: one, or two where the node chose a second coordinate."""
     for b in batches:
+        n = len(b)
         rows, paths = _choose(b.column("tree").to_numpy(), b.column("path").to_numpy().astype(np.uint64), _sketches(b.column("sketch")))
-        take = pa.array(rows)
-        yield pa.RecordBatch.from_arrays([b.column("tree").take(take), pa.array(paths), b.column("key").take(take), b.column("comp").take(take), b.column("sketch").take(take)], ["tree", "path", "key", "comp", "sketch"])
+        second, none = np.zeros(n, np.int64), np.ones(n, bool)
+        second[rows[n:]], none[rows[n:]] = paths[n:], False
+        yield pa.RecordBatch.from_arrays([b.column("tree"), pa.array(paths[:n]), pa.array(second, mask=none), *(b.column(c) for c in ("key", "comp", "sketch"))], ["tree", "path", "second", "key", "comp", "sketch"])
+
+
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A class's coordinates, each as one number with its token."""
+    for b in batches:
+        s = _sketches(b.column("sketch")).astype(np.uint64) | np.arange(K, dtype=np.uint64) << np.uint64(32)
+        take = pa.array(np.repeat(np.arange(len(s)), K))
+        yield pa.RecordBatch.from_arrays([b.column("key").take(take), b.column("comp").take(take), pa.array(s.ravel().astype(np.int64))], ["key", "comp", "token"])
 
 
 def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,6 +217,24 @@ def _labelled(rows: DataFrame, comps: DataFrame) -> DataFrame:
     return rows.drop("comp").join(comps, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
 
 
+def _linkable(large: DataFrame, classes: DataFrame) -> DataFrame:
+    """The rows of large nodes whose classes share SKETCH coordinates at least with classes of other components there, taken all together.
+
+    No other class can pass the sketch test with one of another component, so none is lost that was found before.
+    """
+    sketches = large.select("key", "comp").distinct().join(classes.select("key", "sketch"), "key")
+    tokens = kept_in_batches(sketches.mapInArrow(_tokens, "key binary, comp binary, token long"), 1024)
+    shared = tokens.groupBy("token").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token", "n")
+    able = joined_by_key(tokens.select("token", "key"), kept(shared), ["token"], "n").groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") >= SKETCH)
+    return kept(large.join(checked(able.select("key")), "key", "left_semi"))
+
+
+def _children(large: DataFrame) -> DataFrame:
+    """The children of large nodes, with the rows that they would have. Both paths stand in one stored row, so that children of one component can be left out before rows are made."""
+    both = kept_in_batches(large.select(*NODE, "key", "comp", "sketch").mapInArrow(_branch, "tree int, path long, second long, key binary, comp binary, sketch binary"), 1024)
+    return both.drop("second").unionAll(both.where("second is not null").select("tree", F.col("second").alias("path"), "key", "comp", "sketch"))
+
+
 def links(classes: DataFrame, docs: DataFrame) -> DataFrame:
     """Enough links (a, b) between classes (key, sketch, n_bytes, row) of docs to make the components."""
     nodes = kept_in_batches(classes.select("key", "sketch").mapInArrow(_grow, "tree int, path long, key binary"), 1024)
@@ -226,9 +257,9 @@ def links(classes: DataFrame, docs: DataFrame) -> DataFrame:
         if not large.limit(1).count():
             return found
         if level == 1:
-            large = _labelled(large, components(found))
+            large = _linkable(kept(_labelled(large, components(found))), classes)
         if level < DEEPEST:
-            rows = kept_in_batches(large.select(*NODE, "key", "comp", "sketch").mapInArrow(_branch, "tree int, path long, key binary, comp binary, sketch binary"), 1024)
+            rows = _children(large)
     return found.unionAll(_dense(large, classes, docs))
 
 
