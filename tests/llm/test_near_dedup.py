@@ -135,3 +135,41 @@ def test_branching_grows_as_a_group_does(spark, monkeypatch):
     (a, small, _), (b, large, _) = (branched(spark, monkeypatch, rows) for rows in (near_texts(4, 60, 45), near_texts(4, 120, 45)))
     assert (a, b) == (brute(near_texts(4, 60, 45)), brute(near_texts(4, 120, 45)))
     assert 0 < large <= 3 * small
+
+
+def counted(monkeypatch, name):
+    """How often near_dedup calls its function of this name."""
+    calls, real = [], getattr(near_dedup, name)
+    monkeypatch.setattr(near_dedup, name, lambda *a: calls.append(1) or real(*a))
+    return calls
+
+
+@pytest.mark.parametrize("few", [400_000, 0])
+def test_components_whether_labels_are_broadcast_or_dealt(spark, monkeypatch, few):
+    monkeypatch.setattr(near_dedup, "BROADCAST_ROWS", few, raising=False)
+    rng = random.Random(5)
+    pairs = [(0, i) for i in range(1, 40)] + [(i, i + 1) for i in range(100, 130)] + [(200 + rng.randrange(60), 200 + rng.randrange(60)) for _ in range(45)] + [(0, 1), (300, 300)]
+    up = {i: i for p in pairs for i in p}
+    for _ in up:
+        for a, b in pairs:
+            up[a] = up[b] = min(up[a], up[b])
+    key = lambda i: i.to_bytes(16, "big")
+    got = near_dedup.components(spark.createDataFrame([(key(a), key(b)) for a, b in pairs], "a binary, b binary")).collect()
+    assert sorted((bytes(r.key), bytes(r.comp)) for r in got) == sorted((key(i), key(c)) for i, c in up.items())
+
+
+def test_components_of_stars_end_after_one_look_at_the_neighbours(spark, monkeypatch):
+    tables = counted(monkeypatch, "kept")
+    got = near_dedup.components(spark.createDataFrame([(bytes([0]), bytes([i])) for i in range(1, 50)], "a binary, b binary")).collect()
+    assert {bytes(r.comp) for r in got} == {bytes([0])} and len(got) == 50
+    assert len(tables) <= 3
+
+
+@pytest.mark.parametrize("few", [400_000, 0])
+def test_pairs_of_further_levels_are_confirmed_together(spark, monkeypatch, few):
+    monkeypatch.setattr(near_dedup, "BROADCAST_ROWS", few, raising=False)
+    monkeypatch.setattr(near_dedup, "SMALL", 8)
+    calls, levels = counted(monkeypatch, "_confirmed"), counted(monkeypatch, "_children")
+    rows = near_texts(4, 60, 45)
+    assert result(rows_of(spark, rows)) == brute(rows)
+    assert len(levels) == near_dedup.DEEPEST - 1 and len(calls) == 3

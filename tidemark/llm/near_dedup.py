@@ -36,7 +36,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import alone, checked, fresh, joined_by_key, kept, kept_in_batches, table
+from tidemark.llm.common import BROADCAST_ROWS, alone, checked, fresh, joined_by_key, kept, kept_in_batches, table
 from tidemark.llm.shingles import chunks, mix, shingle_hashes, word_hashes
 
 #: Coordinates of the sketch, independent trees, largest node that is compared exhaustively, deepest level.
@@ -180,20 +180,29 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(links: DataFrame) -> DataFrame:
     """key, comp for all keys of links (a, b): the smallest key that can be reached.
 
-    Every round each key takes the smallest label among its own and its neighbours', then that label's own label,
-    until nothing changes. Rounds grow with the logarithm of a chain's length, in practice; all is written to the shared folder.
-    A key with very many links, and a label that very many keys have, are broadcast.
+    Every round each key takes the smallest label among its own and its neighbours', then that label's own label.
+    When no label changes by its neighbours', all keys of a component have one label, which is the smallest key's as no label is above its key.
+    Rounds grow with the logarithm of a chain's length, in practice; all is written to the shared folder.
+    Labels that were counted to be few are broadcast, so that a round deals rows once only; of more, a key with very many links, and a label that very many keys have.
     """
-    both = kept(links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    both = kept(links.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("x")).select("x.a", "x.b"))
     labels = kept(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("times")).select(F.col("a").alias("key"), F.least("a", "m").alias("comp"), "times"))
+    few = labels.count() <= BROADCAST_ROWS
     while True:
-        near = joined_by_key(both, labels.withColumnRenamed("key", "b"), ["b"], "times").groupBy("a").agg(F.min("comp").alias("near"))
-        new = kept(labels.join(near, labels.key == near.a).select("key", F.least("comp", "near").alias("comp"), F.col("comp").alias("old"), "times"))
-        jump = new.select(F.col("key").alias("comp"), F.col("comp").alias("up")).join(new.groupBy("comp").agg(F.count("*").alias("n")), "comp")
-        new = kept(joined_by_key(new, kept(jump), ["comp"], "n").select("key", F.least("comp", "up").alias("comp"), "old", "times"))
+        of_b = labels.withColumnRenamed("key", "b")
+        met = both.join(F.broadcast(of_b.drop("times")), "b") if few else joined_by_key(both, of_b, ["b"], "times")
+        own = labels.select("key", "comp", F.col("comp").alias("old"), "times")
+        near = met.select(F.col("a").alias("key"), "comp").unionByName(own, allowMissingColumns=True)
+        new = kept(near.groupBy("key").agg(*(f(c).alias(c) for f, c in ((F.min, "comp"), (F.max, "old"), (F.max, "times")))))
         if not new.where("comp <> old").limit(1).count():
-            return new.select("key", "comp")
-        labels = new.select("key", "comp", "times")
+            out = new.select("key", "comp")
+            return F.broadcast(out) if few else out
+        jump = new.select(F.col("key").alias("comp"), F.col("comp").alias("up"))
+        if few:
+            new = new.join(F.broadcast(jump), "comp")
+        else:
+            new = joined_by_key(new, kept(jump.join(new.groupBy("comp").agg(F.count("*").alias("n")), "comp")), ["comp"], "n")
+        labels = kept(new.select("key", F.col("up").alias("comp"), "times"))
 
 
 def _row_id(doc_id: str) -> Column:
@@ -201,14 +210,15 @@ def _row_id(doc_id: str) -> Column:
 
 
 def _texts(need: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """key and text of the classes in need (key). A class's text is that of one row; no other text travels."""
+    """key and text of the classes in need (key, repeats allowed). A class's text is that of one row; no other text travels."""
+    need = F.broadcast(need) if need.count() <= BROADCAST_ROWS else need.distinct()
     need = checked(classes.join(need, "key", "left_semi").select("key", "row.id", "row.text_key"))
     return kept(docs.select(_row_id("doc_id").alias("id"), F.xxhash64("text").alias("text_key"), "text").join(need, ["id", "text_key"]).select("key", "text").dropDuplicates(["key"]))
 
 
 def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose texts are linked."""
-    t = _texts(pairs.select(F.col("a").alias("key")).unionAll(pairs.select(F.col("b").alias("key"))).distinct(), classes, docs)
+    t = _texts(pairs.select(F.explode(F.array("a", "b")).alias("key")), classes, docs)
     with_a = pairs.join(t.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a")
     return kept_in_batches(with_a.join(t.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb").mapInArrow(_confirm, "a binary, b binary"), 64)
 
@@ -244,23 +254,28 @@ def links(classes: DataFrame, docs: DataFrame) -> DataFrame:
     pairs = nodes.where("key > low").select(F.col("low").alias("a"), F.col("key").alias("b")).distinct()
     pairs = pairs.join(s.select(F.col("key").alias("a"), F.col("sketch").alias("sa")), "a").join(s.select(F.col("key").alias("b"), F.col("sketch").alias("sb")), "b")
     found = _confirmed(kept_in_batches(pairs.select("a", "b", "sa", "sb").mapInArrow(_close, "a binary, b binary"), 1024), classes, docs)
-    rows = kept(_labelled(nodes.drop("low"), components(found)))
+    rows, waiting = kept(_labelled(nodes.drop("low"), components(found))), None
     for level in range(1, DEEPEST + 1):
         size = rows.groupBy(*NODE).agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").drop("lo", "hi")
         rows = joined_by_key(rows, kept(size), NODE, "n")
         rows = kept(rows.join(s, "key") if level == 1 else rows)
         inner = rows.where(F.col("n") <= SMALL).groupBy(*NODE).agg(*(F.collect_list(c).alias(c + ("es" if c == "sketch" else "s")) for c in ("key", "comp", "sketch")))
         pairs = kept_in_batches(inner.select("keys", "comps", "sketches").mapInArrow(_within, "a binary, b binary").distinct(), 1024)
-        more = _confirmed(pairs, classes, docs)
-        found = found.unionAll(more)
+        if level == 1:
+            found = found.unionAll(_confirmed(pairs, classes, docs))
+        else:
+            waiting = pairs if waiting is None else waiting.unionAll(pairs)
         large = rows.where(F.col("n") > SMALL).drop("n")
         if not large.limit(1).count():
-            return found
+            break
         if level == 1:
             large = _linkable(kept(_labelled(large, components(found))), classes)
         if level < DEEPEST:
             rows = _children(large)
-    return found.unionAll(_dense(large, classes, docs))
+    else:
+        found = found.unionAll(_dense(large, classes, docs))
+    # no label is made anew after the first level, so pairs of the further ones are confirmed together, each once
+    return found if waiting is None else found.unionAll(_confirmed(kept(waiting.distinct()), classes, docs))
 
 
 def _root(up: list[int], x: int) -> int:
@@ -315,7 +330,7 @@ def _dense(large: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     b = F.col("block")
     against_rest = F.transform(F.sequence(F.lit(0), F.col("of_rest") - 1), lambda x: F.when(inner, F.struct(x.alias("i"), b.alias("j"), F.lit(1).alias("k"))).otherwise(F.struct(F.least(x, b).alias("i"), F.greatest(x, b).alias("j"), F.lit(0).alias("k"))))
     against_core = F.transform(F.sequence(F.lit(0), F.col("of_core") - 1), lambda x: F.struct(b.alias("i"), x.alias("j"), F.lit(1).alias("k")))
-    texts = _texts(large.select("key").distinct(), classes, docs)
+    texts = _texts(large.select("key"), classes, docs)
     units = rows.join(texts, "key").select(*NODE, F.explode(F.when(inner, against_rest).otherwise(F.concat(against_rest, against_core))).alias("unit"), "key", "comp", "text")
     lists = units.groupBy(*NODE, "unit").agg(*(F.collect_list(c).alias(c + "s") for c in ("key", "comp", "text")))
     return kept_in_batches(lists.select("keys", "comps", "texts").mapInArrow(_in_block, "a binary, b binary").distinct(), 1)
