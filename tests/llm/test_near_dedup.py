@@ -2,6 +2,7 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from tidemark.llm import common, near_dedup
@@ -173,3 +174,34 @@ def test_pairs_of_further_levels_are_confirmed_together(spark, monkeypatch, few)
     rows = near_texts(4, 60, 45)
     assert result(rows_of(spark, rows)) == brute(rows)
     assert len(levels) == near_dedup.DEEPEST - 1 and len(calls) == 3
+
+
+def test_bitmaps_lose_no_linked_pair():
+    rng = np.random.default_rng(6)
+    kinds = {True: [], False: []}
+    for size in (1, 4, 40, 150, 600, 5000):
+        for share in np.linspace(0.3, 1, 57):
+            h = rng.integers(0, 2**63, 2 * size, dtype=np.uint64)
+            x, y = h[:size], h[int(size * (1 - share)) :][:size]
+            both = len(np.intersect1d(x, y))
+            s = [np.hstack([np.zeros((1, near_dedup.K), np.uint32), near_dedup.bitmaps(z, np.array([size])), np.array([[size]], np.uint32)]) for z in (x, y)]
+            linked = 100 * both >= 75 * (2 * size - both)
+            if linked or size <= 600 and both < 0.75 * size:
+                kinds[linked].append(bool(near_dedup._alike(*s)[0]))
+    assert all(kinds[True]) and len(kinds[True]) > 50
+    assert len(kinds[False]) > 50 and sum(kinds[False]) < 0.05 * len(kinds[False])
+
+
+def test_unlike_pairs_of_a_group_are_not_confirmed(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "SMALL", 8)
+    real, n = near_dedup._confirmed, [0, 0]
+
+    def counting(pairs, *more):
+        out = real(pairs, *more)
+        n[0], n[1] = n[0] + pairs.count(), n[1] + out.count()
+        return out
+
+    monkeypatch.setattr(near_dedup, "_confirmed", counting)
+    rows = near_texts(4, 120, 45)
+    assert result(rows_of(spark, rows)) == brute(rows)
+    assert 0 < n[0] <= 3 * n[1], n

@@ -14,7 +14,8 @@ of its shingle set. In each of TREES independent trees a node of the tree choose
    the group's largest component is held against all others, in blocks of full shingle sets that are bounded in classes and bytes.
 
 Pairs whose minhashes agree in under SKETCH of K coordinates are passed over (at similarity 0.75 that loses a pair
-with probability 4e-8); all others are confirmed on the full shingle sets. A pair of similarity 0.75 is in one node of some tree
+with probability 4e-8), and so are those that a bitmap of BITS bits for each set shows to be unlike: every bit that one set alone has
+is a shingle that the other lacks, so this bound loses no pair. All others are confirmed on the full shingle sets. A pair of similarity 0.75 is in one node of some tree
 at each level but with a probability under 1e-6 (a million pairs drawn, none missed). Nothing but counts comes to the driver.
 
 A node's rows meet the node's own figures, never each other, and nodes that very many classes share get them by a
@@ -45,6 +46,8 @@ K, TREES, SMALL, DEEPEST = 64, 20, 64, 3
 BLOCK, BLOCK_BYTES = 512, 4 << 20
 #: Similarity in hundredths, and the number of equal coordinates under which a pair is not confirmed.
 SIMILAR, SKETCH = 75, 28
+#: Bits of a set's bitmap. Of sets with many more shingles nearly all bits are set, so it passes over fewer of their pairs.
+BITS = 1024
 
 _rng = np.random.default_rng(75)
 _A, _B = _rng.integers(1, 2**63, K, dtype=np.uint64) | np.uint64(1), _rng.integers(0, 2**63, K, dtype=np.uint64)
@@ -73,6 +76,13 @@ def minhash(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
+def bitmaps(h: np.ndarray, per: np.ndarray) -> np.ndarray:
+    """A bitmap for each set of per hashes: the bits that its hashes fall on."""
+    bits = np.zeros((len(per), BITS), bool)
+    bits[np.repeat(np.arange(len(per)), per), (mix(h) % np.uint64(BITS)).astype(np.int64)] = True
+    return np.packbits(bits, axis=1).view(np.uint32)
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from hashlib import blake2b
 
@@ -82,7 +92,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h, per = _distinct(*shingle_hashes(words, counts))
             full = per > 0
             sketch = minhash(h, (np.cumsum(per) - per)[full]) if full.any() else np.zeros((0, K), np.uint32)
-            ends, rows = np.cumsum(counts), iter(sketch)
+            ends, rows = np.cumsum(counts), iter(np.hstack([sketch, bitmaps(h, per[full]), per[full, None].astype(np.uint32)]))
             keys = [blake2b(words[e - n : e].tobytes(), digest_size=16).digest() if n else None for e, n in zip(ends, counts, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id")[first:last].cast(pa.int64()), b.column("text_key")[first:last], pa.array(keys, pa.binary()), pa.array(per, pa.int64()), pa.array(np.diff(bounds), pa.int64()), pa.array([next(rows).tobytes() if x else None for x in full], pa.binary())],
@@ -106,8 +116,20 @@ def _choose(tree: np.ndarray, path: np.ndarray, sketch: np.ndarray) -> tuple[np.
     return np.concatenate(rows), np.concatenate(paths).astype(np.int64)
 
 
+def _whole(sketches: list[bytes]) -> np.ndarray:
+    """A row for each sketch: K minima, the bitmap and the set's size."""
+    return np.frombuffer(b"".join(sketches), np.uint32).reshape(-1, K + BITS // 32 + 1)
+
+
 def _sketches(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, K)
+    return _whole(column.to_pylist())[:, :K]
+
+
+def _alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which rows of whole sketches can be of linked sets: no more is shared than what is left without the bits that one set alone has."""
+    (u, n), (v, m) = ((z[:, K:-1], z[:, -1].astype(np.int64)) for z in (x, y))
+    most = np.minimum(n - np.bitwise_count(u & ~v).sum(1, np.int64), m - np.bitwise_count(v & ~u).sum(1, np.int64))
+    return 100 * most >= SIMILAR * (n + m - most)
 
 
 def _grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +163,8 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs (a, b) with two sketches: those worth confirming."""
     for b in batches:
-        same = (_sketches(b.column("sa")) == _sketches(b.column("sb"))).sum(1) >= SKETCH
+        x, y = (_whole(b.column(c).to_pylist()) for c in ("sa", "sb"))
+        same = ((x[:, :K] == y[:, :K]).sum(1) >= SKETCH) & _alike(x, y)
         yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(same)) for c in ("a", "b")], ["a", "b"])
 
 
@@ -150,10 +173,11 @@ def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         a, b = [], []
         for keys, comps, sketches in zip(*(batch.column(c).to_pylist() for c in ("keys", "comps", "sketches")), strict=True):
-            s = np.frombuffer(b"".join(sketches), np.uint32).reshape(-1, K)
+            s = _whole(sketches)
             c = np.unique(np.array(comps, object), return_inverse=True)[1]
             for i in range(len(keys) - 1):
-                for j in np.flatnonzero(((s[i + 1 :] == s[i]).sum(1) >= SKETCH) & (c[i + 1 :] != c[i])) + i + 1:
+                near = np.flatnonzero(((s[i + 1 :, :K] == s[i, :K]).sum(1) >= SKETCH) & (c[i + 1 :] != c[i])) + i + 1
+                for j in near[_alike(s[i : i + 1], s[near])]:
                     x, y = sorted((keys[i], keys[j]))
                     a.append(x)
                     b.append(y)
